@@ -34,6 +34,9 @@ SELECT CAST(floor(vec_id / 5) AS BIGINT) AS image_id,
        CAST(vec_id % 5 AS INT) AS variant, embedding
 FROM {embeddings}""",
     "pixels": _PIXELS.format(key="l_suppkey"),
+    "pixels_rgba": _PIXELS.format(key="l_suppkey").replace(
+        " AS b\n", " AS b, CAST(l_linenumber AS INT) * 37 AS a\n"
+    ),
     "logo_pixels": _PIXELS.format(key="l_partkey"),
     "files": """
 SELECT concat('/logos/', source, '/', CAST(doc_id AS STRING), '.txt') AS path,

@@ -5,8 +5,16 @@ from __future__ import annotations
 from catalog.fixtures import duck
 
 
-def lab_columns(r: str, g: str, b: str, p: str) -> str:
-    """Select-list items that end in ``{p}l, {p}a, {p}b``."""
+def staged(source: str, *stages: str) -> str:
+    """Nested selects, so that every stage is computed once."""
+    sql = source
+    for stage in stages:
+        sql = f"(SELECT *, {stage} FROM {sql})"
+    return sql
+
+
+def lab(source: str, r: str, g: str, b: str, p: str) -> str:
+    """``source`` with ``{p}l, {p}a, {p}b``."""
     def lin(c: str) -> str:
         return (
             f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92"
@@ -17,24 +25,34 @@ def lab_columns(r: str, g: str, b: str, p: str) -> str:
         return f"CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE 7.787::DOUBLE * {t} + 16.0::DOUBLE / 116 END"
 
     d = "::DOUBLE"
-    return f"""{lin(r)} AS {p}lr, {lin(g)} AS {p}lg, {lin(b)} AS {p}lb,
-  ({p}lr * 0.4124564{d} + {p}lg * 0.3575761{d} + {p}lb * 0.1804375{d}) / 0.95047{d} AS {p}x,
-  ({p}lr * 0.2126729{d} + {p}lg * 0.7151522{d} + {p}lb * 0.0721750{d}) / 1.0{d} AS {p}y,
-  ({p}lr * 0.0193339{d} + {p}lg * 0.1191920{d} + {p}lb * 0.9503041{d}) / 1.08883{d} AS {p}z,
-  {f(p + "x")} AS {p}fx, {f(p + "y")} AS {p}fy, {f(p + "z")} AS {p}fz,
-  116 * {p}fy - 16 AS {p}l, 500 * ({p}fx - {p}fy) AS {p}a, 200 * ({p}fy - {p}fz) AS {p}b"""
+    return staged(
+        source,
+        f"{lin(r)} AS {p}lr, {lin(g)} AS {p}lg, {lin(b)} AS {p}lb",
+        f"({p}lr * 0.4124564{d} + {p}lg * 0.3575761{d} + {p}lb * 0.1804375{d}) / 0.95047{d} AS {p}x,"
+        f" ({p}lr * 0.2126729{d} + {p}lg * 0.7151522{d} + {p}lb * 0.0721750{d}) / 1.0{d} AS {p}y,"
+        f" ({p}lr * 0.0193339{d} + {p}lg * 0.1191920{d} + {p}lb * 0.9503041{d}) / 1.08883{d} AS {p}z",
+        f"{f(p + 'x')} AS {p}fx, {f(p + 'y')} AS {p}fy, {f(p + 'z')} AS {p}fz",
+        f"116 * {p}fy - 16 AS {p}l, 500 * ({p}fx - {p}fy) AS {p}a, 200 * ({p}fy - {p}fz) AS {p}b",
+    )
+
 
+def both_labs(source: str) -> str:
+    """Both sides of a slot pair in LAB (``k_`` and ``m_``)."""
+    return lab(lab(source, "r1", "g1", "b1", "k_"), "r2", "g2", "b2", "m_")
 
-def de94_columns(p1: str, p2: str) -> str:
-    a = f"{p1}a - {p2}a"
-    b = f"{p1}b - {p2}b"
-    return f"""sqrt({p1}a * {p1}a + {p1}b * {p1}b) AS c1_, sqrt({p2}a * {p2}a + {p2}b * {p2}b) AS c2_,
-  greatest(({a}) * ({a}) + ({b}) * ({b}) - (c1_ - c2_) * (c1_ - c2_), 0) AS dh2_,
-  sqrt(({p1}l - {p2}l) * ({p1}l - {p2}l) + pow((c1_ - c2_) / (1 + 0.045::DOUBLE * c1_), 2)
-       + dh2_ / pow(1 + 0.015::DOUBLE * c1_, 2)) AS de"""
+
+def de94(source: str, p1: str = "k_", p2: str = "m_") -> str:
+    a, b = f"({p1}a - {p2}a)", f"({p1}b - {p2}b)"
+    return staged(
+        source,
+        f"sqrt({p1}a * {p1}a + {p1}b * {p1}b) AS c1_, sqrt({p2}a * {p2}a + {p2}b * {p2}b) AS c2_",
+        f"greatest({a} * {a} + {b} * {b} - (c1_ - c2_) * (c1_ - c2_), 0) AS dh2_",
+        f"sqrt(({p1}l - {p2}l) * ({p1}l - {p2}l) + pow((c1_ - c2_) / (1 + 0.045::DOUBLE * c1_), 2)"
+        " + dh2_ / pow(1 + 0.015::DOUBLE * c1_, 2)) AS de",
+    )
 
 
-def de2000_columns(p1: str, p2: str) -> str:
+def de2000(source: str, p1: str = "k_", p2: str = "m_") -> str:
     l1, a1, b1, l2, a2, b2 = (f"{p}{c}" for p in (p1, p2) for c in "lab")
     d = "::DOUBLE"
 
@@ -44,24 +62,27 @@ def de2000_columns(p1: str, p2: str) -> str:
             f"THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"
         )
 
-    return f"""pow((sqrt({a1} * {a1} + {b1} * {b1}) + sqrt({a2} * {a2} + {b2} * {b2})) / 2, 7) AS c7_,
-  1 + 0.5{d} * (1 - sqrt(c7_ / (c7_ + pow(25.0{d}, 7)))) AS g_,
-  {a1} * g_ AS x1_, {a2} * g_ AS x2_,
-  sqrt(x1_ * x1_ + {b1} * {b1}) AS q1_, sqrt(x2_ * x2_ + {b2} * {b2}) AS q2_,
-  {hue("x1_", b1)} AS h1_, {hue("x2_", b2)} AS h2_,
-  CASE WHEN q1_ * q2_ = 0 THEN 0 WHEN h2_ - h1_ > 180 THEN h2_ - h1_ - 360
+    return staged(
+        source,
+        f"pow((sqrt({a1} * {a1} + {b1} * {b1}) + sqrt({a2} * {a2} + {b2} * {b2})) / 2, 7) AS c7_",
+        f"1 + 0.5{d} * (1 - sqrt(c7_ / (c7_ + pow(25.0{d}, 7)))) AS g_",
+        f"{a1} * g_ AS x1_, {a2} * g_ AS x2_",
+        f"sqrt(x1_ * x1_ + {b1} * {b1}) AS q1_, sqrt(x2_ * x2_ + {b2} * {b2}) AS q2_,"
+        f" {hue('x1_', b1)} AS h1_, {hue('x2_', b2)} AS h2_",
+        f"""CASE WHEN q1_ * q2_ = 0 THEN 0 WHEN h2_ - h1_ > 180 THEN h2_ - h1_ - 360
        WHEN h2_ - h1_ < -180 THEN h2_ - h1_ + 360 ELSE h2_ - h1_ END AS dh_,
   CASE WHEN q1_ * q2_ = 0 THEN h1_ + h2_ WHEN abs(h2_ - h1_) <= 180 THEN (h1_ + h2_) / 2
        WHEN h1_ + h2_ < 360 THEN (h1_ + h2_ + 360) / 2 ELSE (h1_ + h2_ - 360) / 2 END AS hm_,
-  (q1_ + q2_) / 2 AS qm_, pow(({l1} + {l2}) / 2 - 50, 2) AS lm_,
-  1 - 0.17{d} * cos(radians(hm_ - 30)) + 0.24{d} * cos(radians(2 * hm_))
-    + 0.32{d} * cos(radians(3 * hm_ + 6)) - 0.20{d} * cos(radians(4 * hm_ - 63)) AS t_,
-  ({l2} - {l1}) / (1 + 0.015{d} * lm_ / sqrt(20 + lm_)) AS el_,
+  (q1_ + q2_) / 2 AS qm_, pow(({l1} + {l2}) / 2 - 50, 2) AS lm_""",
+        f"""1 - 0.17{d} * cos(radians(hm_ - 30)) + 0.24{d} * cos(radians(2 * hm_))
+    + 0.32{d} * cos(radians(3 * hm_ + 6)) - 0.20{d} * cos(radians(4 * hm_ - 63)) AS t_""",
+        f"""({l2} - {l1}) / (1 + 0.015{d} * lm_ / sqrt(20 + lm_)) AS el_,
   (q2_ - q1_) / (1 + 0.045{d} * qm_) AS ec_,
   2 * sqrt(q1_ * q2_) * sin(radians(dh_ / 2)) / (1 + 0.015{d} * qm_ * t_) AS eh_,
   -2 * sqrt(pow(qm_, 7) / (pow(qm_, 7) + pow(25.0{d}, 7)))
-     * sin(radians(60 * exp(-pow((hm_ - 275) / 25, 2)))) AS rt_,
-  sqrt(greatest(el_ * el_ + ec_ * ec_ + eh_ * eh_ + rt_ * ec_ * eh_, 0)) AS de"""
+     * sin(radians(60 * exp(-pow((hm_ - 275) / 25, 2)))) AS rt_""",
+        "sqrt(greatest(el_ * el_ + ec_ * ec_ + eh_ * eh_ + rt_ * ec_ * eh_, 0)) AS de",
+    )
 
 
 STRICT = """CASE WHEN {d} <= 1 THEN 95 - 5 * {d} WHEN {d} <= 3 THEN 90 - 20 * ({d} - 1)
@@ -74,19 +95,20 @@ LAB = """CASE WHEN {d} <= 2 THEN 100 - 5 * {d} WHEN {d} <= 10 THEN 90 - 7.5::DOU
   WHEN {d} <= 50 THEN 30 - 0.75::DOUBLE * ({d} - 10) ELSE 0 END"""
 
 
-def hsv_columns(r: str, g: str, b: str) -> str:
+def hsv(source: str, r: str = "r", g: str = "g", b: str = "b") -> str:
     """``hue`` in degrees, ``sat`` and ``val`` in percent, ``h180``, ``s255``, ``dist``."""
-    return f"""greatest({r}, {g}, {b}) AS mx_, least({r}, {g}, {b}) AS mn_, mx_ - mn_ AS sp_,
-  CASE WHEN sp_ = 0 THEN 0.0::DOUBLE WHEN mx_ = {r} THEN ({g} - {b})::DOUBLE / sp_
+    return staged(
+        source,
+        f"greatest({r}, {g}, {b}) AS mx_, greatest({r}, {g}, {b}) - least({r}, {g}, {b}) AS sp_,"
+        f" ({r} + {g} + {b}) / 3.0::DOUBLE AS mean_",
+        f"""CASE WHEN sp_ = 0 THEN 0.0::DOUBLE WHEN mx_ = {r} THEN ({g} - {b})::DOUBLE / sp_
        WHEN mx_ = {g} THEN ({b} - {r})::DOUBLE / sp_ + 2 ELSE ({r} - {g})::DOUBLE / sp_ + 4 END * 60 AS h0_,
-  CASE WHEN h0_ < 0 THEN h0_ + 360 ELSE h0_ END AS hue,
-  CASE WHEN mx_ = 0 THEN 0.0::DOUBLE ELSE sp_ * 100.0::DOUBLE / mx_ END AS sat,
-  mx_ * 100.0::DOUBLE / 255 AS val,
-  (floor(hue / 2 + 0.5::DOUBLE)::INT % 180)::INT AS h180,
-  CASE WHEN mx_ = 0 THEN 0 ELSE floor(sp_ * 255.0::DOUBLE / mx_ + 0.5::DOUBLE)::INT END AS s255,
-  ({r} + {g} + {b}) / 3.0::DOUBLE AS mean_,
   sqrt((({r} - mean_) * ({r} - mean_) + ({g} - mean_) * ({g} - mean_) + ({b} - mean_) * ({b} - mean_)) / 3.0::DOUBLE) AS sd_,
-  sat / 100 * 0.7::DOUBLE + sd_ / 255 * 0.3::DOUBLE AS dist"""
+  CASE WHEN mx_ = 0 THEN 0.0::DOUBLE ELSE sp_ * 100.0::DOUBLE / mx_ END AS sat, mx_ * 100.0::DOUBLE / 255 AS val,
+  CASE WHEN mx_ = 0 THEN 0 ELSE floor(sp_ * 255.0::DOUBLE / mx_ + 0.5::DOUBLE)::INT END AS s255""",
+        "CASE WHEN h0_ < 0 THEN h0_ + 360 ELSE h0_ END AS hue, sat / 100 * 0.7::DOUBLE + sd_ / 255 * 0.3::DOUBLE AS dist",
+        "(floor(hue / 2 + 0.5::DOUBLE)::INT % 180)::INT AS h180",
+    )
 
 
 FAMILY = """CASE WHEN s255 < 50 THEN 'grayscale' WHEN h180 < 15 OR h180 > 165 THEN 'red'
