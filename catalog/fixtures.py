@@ -64,6 +64,16 @@ SELECT l_suppkey % 20 AS ref_id, l_partkey % 300 AS cmp_id,
        CAST(l_linenumber % 5 AS INT) AS step,
        max(round(l_discount * 10, 4)) AS mv, max(round(l_tax * 12.5, 4)) AS em
 FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey % 300, CAST(l_linenumber % 5 AS INT)""",
+    "contours": """
+SELECT l_suppkey % 20 AS ref_id, l_partkey % 300 AS cmp_id,
+       CAST(l_linenumber % 5 AS INT) AS c1, CAST(CAST(l_quantity AS INT) % 5 AS INT) AS c2,
+       max((l_suppkey % 20 * 7 + l_linenumber % 5 * 13) % 50 + 1) AS area1,
+       max((l_partkey % 300 * 5 + CAST(l_quantity AS INT) % 5 * 11) % 50 + 1) AS area2,
+       min(round(l_discount * 10, 4)) AS hu,
+       min(CASE WHEN l_orderkey % 4 > 0 THEN round(l_tax * 12.5, 4) END) AS shape
+FROM {lineitem}
+GROUP BY l_suppkey % 20, l_partkey % 300, CAST(l_linenumber % 5 AS INT),
+         CAST(CAST(l_quantity AS INT) % 5 AS INT)""",
     "journal_lines": """
 WITH o AS (
   SELECT o_orderkey AS k, c_name, c_mktsegment,
@@ -85,6 +95,17 @@ UNION ALL SELECT 0, page_no, base + 6, concat('Used Since :', d) FROM o
 UNION ALL SELECT 0, page_no, base + 7, 'MUMBAI' FROM o
 UNION ALL SELECT 0, page_no, base + 8, concat('goods of ', lower(c_mktsegment)) FROM o
 UNION ALL SELECT 0, page_no, base + 9, 'THIS IS A CONDITION' FROM o""",
+    # one journal per market segment, one page per nation; the applications of an
+    # even journal are announced by a phrase, those of an odd one by a class line
+    "segment_lines": """
+WITH p AS (SELECT DISTINCT ascii(c_mktsegment) AS doc_id, c_nationkey AS page_no FROM {customer})
+SELECT doc_id, page_no, 0 AS line_no,
+       CASE WHEN page_no < doc_id % 7 THEN 'Contents'
+            WHEN doc_id % 2 = 0 THEN 'Applications advertised before registration'
+            ELSE 'see class 5 below' END AS line FROM p
+UNION ALL SELECT doc_id, page_no, 1,
+       CASE WHEN page_no < doc_id % 7 THEN 'Class 1' ELSE '  123 01/02/2020 ' END AS line FROM p
+UNION ALL SELECT doc_id, page_no, 2, 'end of page' FROM p""",
     # one logo per part: text, vector and colours share the id
     "logos": "SELECT p_partkey AS logo_id, p_name AS logo_text FROM {part}",
     # the first holder of each name is the registered reference
