@@ -305,12 +305,13 @@ _SHAPE_SQL = f"""{with_views("contours")}, {_SHAPE} SELECT ref_id, cmp_id, round
 
 
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # scores are short decimals that may lie half-way; 1e-9 settles those alike in SQL
     return plan_balanced(
         view(spark, sf_dir, "match_counts"),
         view(spark, sf_dir, "observations"),
         _sizes(spark, sf_dir),
         view(spark, sf_dir, "contours"),
-    ).withColumn("similarity_score", F.round("similarity_score", 12))
+    ).withColumn("similarity_score", F.round(F.col("similarity_score") + 1e-9, 6))
 
 
 def balanced_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,10 +323,10 @@ ba AS (SELECT bm.*, score AS f, coalesce(template_score, 0) AS t, coalesce(ssim_
   FROM bm LEFT JOIN ts USING (ref_id, cmp_id) LEFT JOIN ssm USING (ref_id, cmp_id) LEFT JOIN shp USING (ref_id, cmp_id)),
 bb AS (SELECT *, (f > 0.6)::INT + (t > 0.6)::INT + (s > 0.6)::INT + (h > 0.6)::INT AS ns,
    (f > 0.35)::INT + (t > 0.35)::INT + (s > 0.35)::INT + (h > 0.35)::INT AS ng2, (f > 0.1)::INT + (t > 0.1)::INT + (s > 0.1)::INT + (h > 0.1)::INT AS nw FROM ba),
-bc AS (SELECT *, round(least(0.95::DOUBLE, (f * 0.45::DOUBLE + t * 0.25::DOUBLE + s * 0.2::DOUBLE + h * 0.1::DOUBLE)
+bc AS (SELECT *, round(1e-9::DOUBLE + least(0.95::DOUBLE, (f * 0.45::DOUBLE + t * 0.25::DOUBLE + s * 0.2::DOUBLE + h * 0.1::DOUBLE)
    * CASE WHEN ns >= 2 THEN 1.25::DOUBLE WHEN ns >= 1 OR ng2 >= 2 THEN 1.15::DOUBLE WHEN ng2 >= 1 OR nw >= 2 THEN 1.08::DOUBLE ELSE 1 END
    * CASE WHEN f > 0.4 AND t > 0.3 THEN 1.12::DOUBLE WHEN f > 0.5 AND s > 0.4 THEN 1.08::DOUBLE ELSE 1 END
-   * CASE WHEN inliers >= 5 THEN 1.1::DOUBLE WHEN inliers > 0 THEN 1.05::DOUBLE ELSE 1 END), 12) AS x FROM bb)"""
+   * CASE WHEN inliers >= 5 THEN 1.1::DOUBLE WHEN inliers > 0 THEN 1.05::DOUBLE ELSE 1 END), 6) AS x FROM bb)"""
 _BALANCED_SQL = f"""{_BALANCED} SELECT ref_id, cmp_id, x AS similarity_score, kp1 AS keypoints_img1, kp2 AS keypoints_img2,
   inliers AS inlier_matches, method AS best_method,
   CASE WHEN x >= 0.75 THEN 'Very High' WHEN x >= 0.55 THEN 'High' WHEN x >= 0.35 THEN 'Medium' WHEN x >= 0.15 THEN 'Low' ELSE 'Very Low' END AS confidence_level FROM bc"""
