@@ -14,20 +14,22 @@ from marklens.operators.kmeans import kmeans_palette
 from marklens.operators.knn import knn_join
 from marklens.plans import color as J
 from marklens.plans.sanity import sanity_report as plan_sanity_report
+from marklens.session import cut_lineage
 
 N_COLORS, NEAREST = 8, 10
 
 
 def palettes(spark: SparkSession, sf_dir: str, pixels: str = "pixels") -> DataFrame:
-    """Top quantised colours of each image with their share of those."""
+    """Top quantised colours of each image with their share of those, as a table."""
     top = X.dominant_colors(view(spark, sf_dir, pixels), N_COLORS)
     total = top.groupBy("image_id").agg(F.sum("n").alias("_t"))
-    return top.join(total, "image_id").select(
+    palette = top.join(total, "image_id").select(
         "image_id",
         F.col("slot").cast("int").alias("slot"),
         *"rgb",
         (F.col("n") / F.col("_t")).alias("weight"),
     )
+    return cut_lineage(palette)
 
 
 def _near(vectors: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def _near(vectors: DataFrame) -> DataFrame:
 def color_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pairs of images with near palette vectors, and the palettes."""
     palette = palettes(spark, sf_dir)
-    return _near(P.lab_vector(palette)).select("ref_id", "cmp_id"), palette
+    return cut_lineage(_near(P.lab_vector(palette)).select("ref_id", "cmp_id")), palette
 
 
 _PAL = f"WITH {Q.palette_ctes('pixels', N_COLORS)}"

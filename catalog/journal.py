@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from catalog.fixtures import table, view
 from marklens.functions import text as T
 from marklens.plans import journal as J
+from marklens.session import cut_lineage
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered lines as a table."""
+    return cut_lineage(view(spark, sf_dir, "journal_lines"))
 
 
 def journal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order rendered as a journal record, read back as a row."""
-    rows = J.extract_trademarks(view(spark, sf_dir, "journal_lines"), "client")
+    rows = J.extract_trademarks(_lines(spark, sf_dir), "client")
     return rows.select("doc_id", "page_no", *J.COLUMNS, "db_type", "application_day")
 
 
@@ -45,7 +51,7 @@ FROM p GROUP BY doc_id"""
 
 def journal_logos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First image of each page attached to its records; images stand on even pages."""
-    lines = view(spark, sf_dir, "journal_lines")
+    lines = _lines(spark, sf_dir)
     pages = lines.filter(F.col("page_no") % 2 == 0)
     images = pages.select("doc_id", "page_no", (F.col("line_no") % 4 + 1).alias("img_index")).distinct()
     rows = J.extract_trademarks(lines, "client", images)

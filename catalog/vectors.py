@@ -11,6 +11,7 @@ from marklens.operators import knn as K
 from marklens.operators.consensus import consensus_score
 from marklens.plans import index as I
 from marklens.plans.projection import project_vectors
+from marklens.session import cut_lineage
 
 K_NEAREST = 10
 
@@ -110,7 +111,7 @@ def candidate_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         .filter("ref_id <> cmp_id")
         .distinct()
     )
-    return pairs, variants
+    return cut_lineage(pairs), variants
 
 
 def _consensus(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:

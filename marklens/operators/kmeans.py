@@ -1,8 +1,8 @@
 """k-means palettes of all images at once, over their colour histograms.
 
-Lloyd rounds as DataFrame steps: an image's centres ride along as one short
-array, a colour finds its nearest centre with array functions, and one aggregate
-per image gives the next centres. A hot image is combined before the shuffle.
+Lloyd rounds as DataFrame steps: an image's centres are one row of plain numbers,
+a colour finds the nearest in generated code, and one hash aggregate per image
+gives the next centres. A hot image is combined before the shuffle.
 Seeds are the most frequent colours, so results are repeatable.
 """
 
@@ -19,15 +19,31 @@ from marklens.session import cut_lineage
 _CUT_EVERY = 4
 
 
-def _nearest(space: Sequence[str]) -> Column:
-    """Index (from 1) of the nearest centre, the first one on a tie."""
+def _centre(j: int, i: int) -> str:
+    return f"_c{j}_{i}"
 
-    def distance(centre: Column) -> Column:
-        parts = [(F.col(c) - centre[f"x{i}"]) * (F.col(c) - centre[f"x{i}"]) for i, c in enumerate(space)]
-        return sum(parts[1:], parts[0])
 
-    distances = F.transform("centres", distance)
-    return F.array_position(distances, F.array_min(distances))
+def _assigned(colors: DataFrame, centres: DataFrame, space: Sequence[str], k: int) -> DataFrame:
+    """Add ``_at``, the nearest centre (from 1, the first one on a tie).
+
+    Plain columns all the way, so distances stay in generated code; a centre an
+    image does not have is null and never the nearest.
+    """
+
+    def distance(j: int) -> Column:
+        gaps = [F.col(c) - F.col(_centre(j, i)) for i, c in enumerate(space)]
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+    names = [f"_d{j}" for j in range(1, k + 1)]
+    measured = (
+        colors.join(centres, "image_id")
+        .withColumns({name: distance(j) for j, name in enumerate(names, 1)})
+        .withColumn("_least", F.least(*names) if k > 1 else F.col(names[0]))
+    )
+    at = F.when(F.col(names[0]) == F.col("_least"), 1)
+    for j, name in enumerate(names[1:], 2):
+        at = at.when(F.col(name) == F.col("_least"), j)
+    return measured.withColumn("_at", at).drop(*names, "_least")
 
 
 def kmeans_palette(
@@ -51,53 +67,38 @@ def kmeans_palette(
         [F.desc("n"), F.asc("r"), F.asc("g"), F.asc("b")],
         limit,
     )
-    entry = F.struct(
-        "rank", *[F.col(f"_{c}").cast("double").alias(f"x{i}") for i, c in enumerate(space)]
+    centres = seeds.groupBy("image_id").agg(
+        *[
+            F.max(F.when(F.col("rank") == j, F.col(f"_{c}")).cast("double")).alias(_centre(j, i))
+            for j in range(1, limit + 1)
+            for i, c in enumerate(space)
+        ]
     )
-    centres = seeds.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("centres"))
     if not isinstance(k, int):
         totals = histogram.groupBy("image_id").agg(F.sum("n").alias("total"))
-        centres = (
-            centres.join(totals, "image_id")
-            .withColumn("_k", k.cast("int"))
-            .filter(F.col("_k") >= 1)
-            .select("image_id", F.slice("centres", F.lit(1), F.col("_k")).alias("centres"))
-        )
-    colors = histogram.select("image_id", "n", *space)
-    for done in range(1, rounds + 1):
-        assigned = colors.join(centres, "image_id").withColumn("_at", _nearest(space))
-        sums = [F.first("centres").alias("centres")]
-        for j in range(1, limit + 1):
-            here = F.col("_at") == j
-            sums.append(F.sum(F.when(here, F.col("n"))).alias(f"_n{j}"))
-            for i, c in enumerate(space):
-                sums.append(F.sum(F.when(here, F.col("n") * F.col(c))).alias(f"_s{j}_{i}"))
-        moved = F.array(
+        sized = centres.join(totals, "image_id").withColumn("_k", k.cast("int"))
+        centres = sized.filter(F.col("_k") >= 1).select(
+            "image_id",
             *[
-                F.struct(
-                    F.lit(j).alias("rank"),
-                    *[
-                        F.coalesce(
-                            F.col(f"_s{j}_{i}").cast("double") / F.col(f"_n{j}"),
-                            F.get("centres", F.lit(j - 1))[f"x{i}"],
-                        ).alias(f"x{i}")
-                        for i in range(len(space))
-                    ],
-                )
+                F.when(F.col("_k") >= j, F.col(_centre(j, i))).alias(_centre(j, i))
                 for j in range(1, limit + 1)
-            ]
-        )
-        centres = (
-            assigned.groupBy("image_id")
-            .agg(*sums)
-            .select("image_id", F.slice(moved, F.lit(1), F.size("centres")).alias("centres"))
+                for i in range(len(space))
+            ],
         )
+    colors = histogram.select("image_id", "n", *space)
+    for done in range(1, rounds + 1):
+        centres = _moved(_assigned(colors, centres, space, limit), space, limit)
         if done % _CUT_EVERY == 0 and done < rounds:
             centres = cut_lineage(centres)
-    final = colors.join(centres, "image_id").withColumn("_at", _nearest(space))
+    final = _assigned(colors, centres, space, limit)
+    own = [F.col(_centre(1, i)) for i in range(len(space))]
+    for j in range(2, limit + 1):
+        own = [
+            F.when(F.col("_at") == j, F.col(_centre(j, i))).otherwise(own[i])
+            for i in range(len(space))
+        ]
     clusters = final.groupBy("image_id", F.col("_at").alias("cluster")).agg(
-        F.first(F.get("centres", (F.col("_at") - 1).cast("int"))).alias("c"),
-        F.sum("n").alias("n"),
+        *[F.max(x).alias(f"x{i}") for i, x in enumerate(own)], F.sum("n").alias("n")
     )
     totals = clusters.groupBy("image_id").agg(F.sum("n").alias("_total"))
     order = [F.desc("n"), F.asc("cluster")]
@@ -105,7 +106,32 @@ def kmeans_palette(
     return ranked.join(totals, "image_id").select(
         "image_id",
         "slot",
-        *[F.col(f"c.x{i}").alias(f"x{i}") for i in range(len(space))],
+        *[f"x{i}" for i in range(len(space))],
         "n",
         (F.col("n") / F.col("_total")).alias("weight"),
     )
+
+
+def _moved(assigned: DataFrame, space: Sequence[str], k: int) -> DataFrame:
+    """Centres after one round; a centre without colours stays where it was."""
+    sums = []
+    for j in range(1, k + 1):
+        here = F.col("_at") == j
+        sums.append(F.sum(F.when(here, F.col("n"))).alias(f"_n{j}"))
+        for i, c in enumerate(space):
+            sums.append(F.max(_centre(j, i)).alias(_centre(j, i)))
+            sums.append(F.sum(F.when(here, F.col("n") * F.col(c))).alias(f"_s{j}_{i}"))
+    return (
+        assigned.groupBy("image_id")
+        .agg(*sums)
+        .select(
+            "image_id",
+            *[
+                F.coalesce(
+                    F.col(f"_s{j}_{i}").cast("double") / F.col(f"_n{j}"), F.col(_centre(j, i))
+                ).alias(_centre(j, i))
+                for j in range(1, k + 1)
+                for i in range(len(space))
+            ],
+        )
+    )

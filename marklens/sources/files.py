@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marklens.functions.text import base_name
@@ -94,16 +94,9 @@ class _ZipMembers:
 
 def explode_archive(files: DataFrame, prefix: str = "xl/media/") -> DataFrame:
     """Images inside spreadsheet archives as ``path, member, image_name, image``."""
-    spark = files.sparkSession
-    spark.udtf.register("zip_members", _ZipMembers)
-    rows = spark.sql(
-        "SELECT path, member, image FROM {files}, LATERAL zip_members(content, {prefix})",
-        files=files.select("path", "content"),
-        prefix=F.lit(prefix),
-    )
+    members = _ZipMembers(F.col("content").outer(), F.lit(prefix))
+    rows = files.select("path", "content").lateralJoin(members).drop("content")
     # numbering restarts in each archive
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("path").orderBy("member"))
     ending = F.regexp_extract("member", r"\.([^./]+)$", 1)
     return rows.select(
