@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marklens.functions.vector import dot
 from marklens.operators.knn import unit_vectors
+from marklens.session import spread
 
 
 def variant_join(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def variant_join(pairs: DataFrame, variants: DataFrame) -> DataFrame:
     left = unit.select(F.col("image_id").alias("ref_id"), F.col("embedding").alias("_v1"))
     right = unit.select(F.col("image_id").alias("cmp_id"), F.col("embedding").alias("_v2"))
     return (
-        pairs.select("ref_id", "cmp_id")
+        spread(pairs.select("ref_id", "cmp_id"), "ref_id", "cmp_id")
         .join(left, "ref_id")
         .join(right, "cmp_id")
         .select("ref_id", "cmp_id", dot(F.col("_v1"), F.col("_v2")).alias("cosine"))

@@ -1,8 +1,9 @@
 """k-means palettes of all images at once, over their colour histograms.
 
 Lloyd rounds as DataFrame steps: an image's centres are one row of plain numbers,
-a colour finds the nearest in generated code, and one hash aggregate per image
-gives the next centres. A hot image is combined before the shuffle.
+a colour finds the nearest in generated code, and hash aggregates give the next
+centres. A hot image is combined before the shuffle. Centres are written to the
+checkpoint folder after each round, so plans stay short.
 Seeds are the most frequent colours, so results are repeatable.
 """
 
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from marklens.operators.grouping import top_k
 from marklens.session import cut_lineage
 
-_CUT_EVERY = 4
-
 
 def _centre(j: int, i: int) -> str:
     return f"_c{j}_{i}"
@@ -61,6 +60,9 @@ def kmeans_palette(
     limit = k if isinstance(k, int) else max_k
     if limit is None:
         raise ValueError("max_k is needed when k is an expression")
+    # every round reads the histogram, which is far smaller than the pixels behind it
+    wanted = dict.fromkeys(["image_id", "r", "g", "b", "n", *space])
+    histogram = cut_lineage(histogram.select(*wanted))
     seeds = top_k(
         histogram.select("image_id", "r", "g", "b", "n", *[F.col(c).alias(f"_{c}") for c in space]),
         ["image_id"],
@@ -86,52 +88,54 @@ def kmeans_palette(
             ],
         )
     colors = histogram.select("image_id", "n", *space)
-    for done in range(1, rounds + 1):
-        centres = _moved(_assigned(colors, centres, space, limit), space, limit)
-        if done % _CUT_EVERY == 0 and done < rounds:
-            centres = cut_lineage(centres)
-    final = _assigned(colors, centres, space, limit)
-    own = [F.col(_centre(1, i)) for i in range(len(space))]
-    for j in range(2, limit + 1):
-        own = [
-            F.when(F.col("_at") == j, F.col(_centre(j, i))).otherwise(own[i])
-            for i in range(len(space))
-        ]
-    clusters = final.groupBy("image_id", F.col("_at").alias("cluster")).agg(
-        *[F.max(x).alias(f"x{i}") for i, x in enumerate(own)], F.sum("n").alias("n")
+    centres = cut_lineage(centres)
+    for _ in range(rounds):
+        centres = cut_lineage(_moved(_assigned(colors, centres, space, limit), centres, space, limit))
+    clusters = (
+        _assigned(colors, centres, space, limit)
+        .groupBy("image_id", F.col("_at").alias("cluster"))
+        .agg(F.sum("n").alias("n"))
     )
     totals = clusters.groupBy("image_id").agg(F.sum("n").alias("_total"))
     order = [F.desc("n"), F.asc("cluster")]
     ranked = top_k(clusters, ["image_id"], order, limit, rank="slot")
-    return ranked.join(totals, "image_id").select(
-        "image_id",
-        "slot",
-        *[f"x{i}" for i in range(len(space))],
-        "n",
-        (F.col("n") / F.col("_total")).alias("weight"),
-    )
 
+    def own(i: int) -> Column:
+        picked = F.when(F.col("cluster") == 1, F.col(_centre(1, i)))
+        for j in range(2, limit + 1):
+            picked = picked.when(F.col("cluster") == j, F.col(_centre(j, i)))
+        return picked.alias(f"x{i}")
 
-def _moved(assigned: DataFrame, space: Sequence[str], k: int) -> DataFrame:
-    """Centres after one round; a centre without colours stays where it was."""
-    sums = []
-    for j in range(1, k + 1):
-        here = F.col("_at") == j
-        sums.append(F.sum(F.when(here, F.col("n"))).alias(f"_n{j}"))
-        for i, c in enumerate(space):
-            sums.append(F.max(_centre(j, i)).alias(_centre(j, i)))
-            sums.append(F.sum(F.when(here, F.col("n") * F.col(c))).alias(f"_s{j}_{i}"))
     return (
-        assigned.groupBy("image_id")
-        .agg(*sums)
+        ranked.join(totals, "image_id")
+        .join(centres, "image_id")
         .select(
             "image_id",
-            *[
-                F.coalesce(
-                    F.col(f"_s{j}_{i}").cast("double") / F.col(f"_n{j}"), F.col(_centre(j, i))
-                ).alias(_centre(j, i))
-                for j in range(1, k + 1)
-                for i in range(len(space))
-            ],
+            "slot",
+            *[own(i) for i in range(len(space))],
+            "n",
+            (F.col("n") / F.col("_total")).alias("weight"),
         )
     )
+
+
+def _moved(assigned: DataFrame, centres: DataFrame, space: Sequence[str], k: int) -> DataFrame:
+    """Centres after one round; a centre without colours stays where it was.
+
+    Colours are summed per image and centre first (combined before the shuffle),
+    then the few sums of an image become its row of centres.
+    """
+    axes = range(len(space))
+    means = (
+        assigned.groupBy("image_id", "_at")
+        .agg(F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.col(c)).alias(f"_s{i}") for i, c in enumerate(space)])
+        .select("image_id", "_at", *[(F.col(f"_s{i}").cast("double") / F.col("_n")).alias(f"_m{i}") for i in axes])
+    )
+    names = [(j, i) for j in range(1, k + 1) for i in axes]
+    wide = means.groupBy("image_id").agg(
+        *[F.max(F.when(F.col("_at") == j, F.col(f"_m{i}"))).alias(f"_new{j}_{i}") for j, i in names]
+    )
+    return centres.join(wide, "image_id").select(
+        "image_id",
+        *[F.coalesce(f"_new{j}_{i}", _centre(j, i)).alias(_centre(j, i)) for j, i in names],
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marklens.functions import scoring as S
 from marklens.functions.vector import euclidean
 from marklens.operators.grouping import top_k
+from marklens.session import spread
 
 PAIR = ["ref_id", "cmp_id"]
 # Fixed value: good matches are counted up to this number.
@@ -25,7 +26,7 @@ def _keypoint_pairs(pairs: DataFrame, features: DataFrame, value: str) -> DataFr
     second = features.select(
         F.col("image_id").alias("cmp_id"), F.col("kp_id").alias("kp2"), F.col(value).alias("_f2")
     )
-    return pairs.select(*PAIR).join(first, "ref_id").join(second, "cmp_id")
+    return spread(pairs.select(*PAIR), *PAIR).join(first, "ref_id").join(second, "cmp_id")
 
 
 def ratio_match(pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marklens.functions import color as C
 from marklens.functions.scoring import clamp_percent
 from marklens.functions.vector import cosine, euclidean, fit_length, l2_norm
+from marklens.session import spread
 
 _FIELDS = ("slot", "r", "g", "b", "weight")
 
@@ -173,13 +174,23 @@ def lab_vector(palette: DataFrame, n: int = 10) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, palette: DataFrame, pad_to: int | None) -> DataFrame:
-    """Pairs with the colour arrays of both sides (a missing palette is empty)."""
-    nested = nest_palette(palette, pad_to)
+    """Pairs with the colour arrays of both sides (a missing palette is empty).
+
+    LAB is taken once per palette colour, before the pairs multiply it. Pairs are
+    spread by their key, so the slot rows aggregate without another shuffle.
+    """
+    flat = pad_palette(palette, pad_to) if pad_to is not None else palette
+    fields = [F.col(f).cast("int").alias(f) for f in _FIELDS[:4]]
+    entry = F.struct(*fields, "weight", "lab_l", "lab_a", "lab_b")
+    nested = (
+        C.with_lab(flat).groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("colors"))
+    )
     first = nested.select(F.col("image_id").alias("ref_id"), F.col("colors").alias("_c1"))
     second = nested.select(F.col("image_id").alias("cmp_id"), F.col("colors").alias("_c2"))
-    return (
+    joined = (
         pairs.select("ref_id", "cmp_id").join(first, "ref_id", "left").join(second, "cmp_id", "left")
     )
+    return spread(joined, "ref_id", "cmp_id")
 
 
 def _slot_pairs(sides: DataFrame) -> DataFrame:
@@ -192,16 +203,11 @@ def _slot_pairs(sides: DataFrame) -> DataFrame:
             "cmp_id",
             *[F.col(f"_s1.{f}").alias(f"{f}1") for f in _FIELDS],
             *[F.col(f"_s2.{f}").alias(f"{f}2") for f in _FIELDS],
+            *[F.col(f"_s{i}.lab_{c}").alias(f"lab{i}_{c}") for i in (1, 2) for c in "lab"],
         )
     )
 
 
-def _with_labs(df: DataFrame) -> DataFrame:
-    return C.with_lab(
-        C.with_lab(df, "r1", "g1", "b1", "lab1_"), "r2", "g2", "b2", "lab2_"
-    )
-
-
 def _weighted_best(slots: DataFrame, value: Column, best) -> DataFrame:
     """Best value per first-side slot, then the mean weighted by that side."""
     return (
@@ -254,7 +260,7 @@ def strict_color_score(
     pairs: DataFrame, palette: DataFrame, metric: str = "de2000", slots: int = 8
 ) -> DataFrame:
     """Strict palette similarity with a penalty for different colour families."""
-    rows = _with_labs(_slot_pairs(_sides(pairs, palette, slots)).filter(F.col("weight1") >= 0.05))
+    rows = _slot_pairs(_sides(pairs, palette, slots)).filter(F.col("weight1") >= 0.05)
     means = _weighted_best(C.DELTA_E[metric](rows, "lab1_", "lab2_"), F.col("delta_e"), F.min)
     overlap = family_overlap(pairs, palette)
     penalty = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("family_overlap") * 2)
@@ -272,7 +278,7 @@ def perceptual_color_score(
 ) -> DataFrame:
     """Weighted best colour similarity; 0 when a side has no usable colour."""
     usable = (F.col("weight") > 0.01) & (F.greatest("r", "g", "b") > 0)
-    rows = _with_labs(_slot_pairs(_sides(pairs, palette.filter(usable), None)))
+    rows = _slot_pairs(_sides(pairs, palette.filter(usable), None))
     scored = C.DELTA_E[metric](rows, "lab1_", "lab2_")
     means = _weighted_best(scored, C.perceptual_curve(F.col("delta_e")), F.max)
     return _score(pairs, means, F.coalesce("_mean", F.lit(0.0)), "color_similarity")
@@ -280,7 +286,7 @@ def perceptual_color_score(
 
 def lab_color_score(pairs: DataFrame, palette: DataFrame, metric: str = "de94") -> DataFrame:
     """Coverage-weighted closeness of the nearest colours in LAB."""
-    rows = _with_labs(_slot_pairs(_sides(pairs, palette.filter(F.col("weight") > 0), None)))
+    rows = _slot_pairs(_sides(pairs, palette.filter(F.col("weight") > 0), None))
     scored = C.DELTA_E[metric](rows, "lab1_", "lab2_")
     best = (
         scored.groupBy("ref_id", "cmp_id", "slot1")

@@ -42,3 +42,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_fits(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast when the row bound holds, else leave the join to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that are small now but costly later on their keys.
+
+    Takes the session's shuffle partitions as the number, which AQE then keeps:
+    it would fold a few hundred thousand narrow rows into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
