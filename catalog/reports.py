@@ -167,7 +167,7 @@ FROM res WHERE infringement_detected"""
 
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infringing pairs through the nested report and back."""
-    return R.flatten_report(R.to_report(R.infringements(results(spark, sf_dir)))).select(*_SHOW)
+    return R.flatten_report(R.to_report(R.filter_status(results(spark, sf_dir), "infringement"))).select(*_SHOW)
 
 
 # --- matching ----------------------------------------------------------------

@@ -153,22 +153,25 @@ def dashboard_stats(results: DataFrame, minimum: float = 0.0) -> DataFrame:
 
 # --- nested report -----------------------------------------------------------
 
-_KEYS = ("ref_id",)
+REPORT_ROWS = 100_000
 
 
-def to_report(results: DataFrame) -> DataFrame:
-    """One row per reference: its results as a sorted array and their counts.
+def to_report(results: DataFrame, part_rows: int = REPORT_ROWS) -> DataFrame:
+    """A reference's results as a sorted array, with its counts: ``ref_id, part, ...``.
 
-    A row grows with the results of one reference; filter the pairs (threshold or
-    top-k) before, as a report does.
+    A reference with more than ``part_rows`` results is spread over several rows,
+    its parts, so no array grows without bound; the counts always cover all parts.
     """
-    fields = [c for c in results.columns if c not in _KEYS]
+    counts = per_reference(results)
+    fields = [c for c in results.columns if c != "ref_id"]
     entry = F.struct((-F.coalesce("final_similarity", F.lit(0.0))).alias("_order"), *fields)
+    part = F.pmod(F.xxhash64("cmp_id"), F.ceil(F.col("result_count") / F.lit(part_rows)))
     nested = F.sort_array(F.collect_list(entry))
-    return results.groupBy("ref_id").agg(
-        F.transform(nested, lambda x: x.dropFields("_order")).alias("results"),
-        F.count("*").alias("result_count"),
-        F.count_if("infringement_detected").alias("infringement_count"),
+    return (
+        results.join(counts, "ref_id")
+        .withColumn("part", part)
+        .groupBy("ref_id", "part", "result_count", "infringement_count")
+        .agg(F.transform(nested, lambda x: x.dropFields("_order")).alias("results"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklens.functions.text import base_name
@@ -71,37 +71,39 @@ def scan_pixels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@F.udtf(returnType="member string, image binary")
+@F.udtf(returnType="member string, number int, image binary")
 class _ZipMembers:
-    """Members of a zip container under a prefix; broken members are skipped."""
+    """Numbered members of a zip container under a prefix; broken ones are skipped."""
 
     def eval(self, content: bytes, prefix: str):
         import io
         import zipfile
+        import zlib
 
         try:
             archive = zipfile.ZipFile(io.BytesIO(content))
         except zipfile.BadZipFile:
             return
         with archive:
+            number = 0
             for name in sorted(archive.namelist()):
-                if name.startswith(prefix) and not name.endswith("/"):
-                    try:
-                        yield name, archive.read(name)
-                    except (zipfile.BadZipFile, NotImplementedError, OSError):
-                        continue
+                if not name.startswith(prefix) or name.endswith("/"):
+                    continue
+                try:
+                    image = archive.read(name)
+                except (zipfile.BadZipFile, NotImplementedError, OSError, zlib.error):
+                    continue
+                number += 1
+                yield name, number, image
 
 
 def explode_archive(files: DataFrame, prefix: str = "xl/media/") -> DataFrame:
     """Images inside spreadsheet archives as ``path, member, image_name, image``."""
     members = _ZipMembers(F.col("content").outer(), F.lit(prefix))
     rows = files.select("path", "content").lateralJoin(members).drop("content")
-    # numbering restarts in each archive
-    number = F.row_number().over(Window.partitionBy("path").orderBy("member"))
     ending = F.regexp_extract("member", r"\.([^./]+)$", 1)
-    return rows.select(
-        "path", "member", F.concat(F.lit("image_"), number, F.lit("."), ending).alias("image_name"), "image"
-    )
+    name = F.concat(F.lit("image_"), F.col("number").cast("string"), F.lit("."), ending)
+    return rows.select("path", "member", name.alias("image_name"), "image")
 
 
 def dataset_footprint(spark: SparkSession, folder: str) -> DataFrame:

@@ -139,6 +139,9 @@ def test_reports(spark, tmp_path):
     assert R.filter_status(res, "clear").count() == 2
     assert R.on_failure(res, ["final_similarity"]).count() == 2
     assert R.on_failure(res, ["final_similarity"], "keep", "text2").filter("text2 = 'PROCESSING FAILED' AND final_similarity = 0").count() == 1
+    parts = R.to_report(res, part_rows=1)
+    assert sum(len(r.results) for r in parts.collect()) == 3
+    assert {r.result_count for r in parts.filter("ref_id = 1").collect()} == {2}
     report = R.to_report(res)
     R.write_report(report, str(tmp_path / "report"))
     nested = spark.read.schema(report.schema).json(str(tmp_path / "report"))
