@@ -17,6 +17,7 @@ from marklens.operators import reporting as R
 from marklens.operators.knn import unit_vectors
 from marklens.plans.balanced import balanced_compare as plan_balanced
 from marklens.plans.dashboard import dashboard
+from marklens.session import cut_lineage
 from marklens.sources import cache as cache_table
 from marklens.sources import files as file_source
 
@@ -176,7 +177,7 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _descriptor_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nearest images as pairs; eight keypoints of eight numbers per image."""
     vectors = view(spark, sf_dir, "vectors")
-    pairs = neighbours(unit_vectors(vectors)).select("ref_id", "cmp_id")
+    pairs = cut_lineage(neighbours(unit_vectors(vectors)).select("ref_id", "cmp_id"))
     keypoints = vectors.select("image_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("kp_id"))
     return pairs, keypoints.select(
         "image_id", "kp_id", doubles(F.slice("embedding", F.col("kp_id") * 8 + 1, F.lit(8))).alias("descriptor")

@@ -9,7 +9,6 @@ from catalog.fixtures import view, with_views
 from marklens.functions import text as T
 from marklens.functions.scoring import is_infringement
 from marklens.operators import text_pairs as P
-from marklens.operators.grouping import top_k
 
 MIN_SCORE = 70.0
 
@@ -223,6 +222,7 @@ def _sql_clean(expr: str, lead_ins, once: bool) -> str:
     return out
 
 
+# Lead-ins of the extractors, as the SQL sees them.
 _SHORT = ("The text in the image reads:", "The text in the image is:")
 _LONG = (
     "The text in the image reads:", "The text in the image is:", "The image contains the text:",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from marklens.operators import dedup as D
 from marklens.operators import reporting as R
-from marklens.operators.knn import unit_vectors
 from marklens.plans import index as I
 from marklens.plans.projection import project_vectors
 from marklens.sources import cache, files, index_store, trademarks
