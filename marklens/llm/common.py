@@ -93,3 +93,11 @@ def gram_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 def n_words(column: str = "text"):
     """Native word count of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def packed(records: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Group numbers that occur, and the bytes of each group's records in their order."""
+    order = np.argsort(groups, kind="stable")
+    which, start = np.unique(groups[order], return_index=True)
+    end = np.append(start[1:], len(records))
+    return which, [records[order[a:b]].tobytes() for a, b in zip(start, end, strict=False)]

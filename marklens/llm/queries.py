@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licenses, mixing, neighbours, packing, quality, warc
+from . import html_text, language, licenses, mixing, neighbours, ngram_join, packing, quality, substring_dedup, warc
 from .common import read
 
 
@@ -30,6 +30,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-gram sets reach 4/5."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose whole text is a known licence."""
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
@@ -55,6 +60,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeat an earlier window of 20 words, removed from every document."""
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -63,9 +73,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_multi_index_hashing, op2_language_id, op4_license_scan, op5_html_extraction,
-        op6_quality_rules, op7_warc, op8_source_mix, op10_best_fit_packing,
+        op1_multi_index_hashing, op2_language_id, op3_ngram_jaccard, op4_license_scan, op5_html_extraction,
+        op6_quality_rules, op7_warc, op8_source_mix, op9_substring_dedup, op10_best_fit_packing,
     )
 }
 
-ORACLE = {"op4_license_scan": licenses.oracle()}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+_JACCARD = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+same AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (
+  SELECT a, b FROM same JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
+
+_SUBSTRING = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS p FROM ranked, (SELECT unnest(range(0, 20)) AS k) WHERE r > 1),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+ORACLE = {"op3_ngram_jaccard": _JACCARD, "op4_license_scan": licenses.oracle(), "op9_substring_dedup": _SUBSTRING}
