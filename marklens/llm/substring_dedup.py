@@ -237,8 +237,8 @@ def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
     for slot, _ in frequent.collect():  # at most SLOTS rows
         long[slot] = True
     likely = held * (WINDOW - ANCHOR + 2) // 2  # windows of the repeated anchors
-    groups = max(4 * parallelism(spark), likely // group + 1)
-    doc_groups = max(4 * parallelism(spark), likely // (4 * group) + 1)
+    groups = max(parallelism(spark), likely // group + 1)
+    doc_groups = max(parallelism(spark), likely // (4 * group) + 1)
     share = spark.sparkContext.broadcast
     found = _suffixes(docs, share(filter_), bits, share(long), groups, doc_groups)
     marks = found.groupBy("grp").applyInArrow(_trees(doc_groups), "grp int, data binary")
