@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -78,14 +79,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+@functools.cache
+def _factors(width: int) -> np.ndarray:
+    return np.random.default_rng(width).integers(1, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` word hashes, in order."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    odd = np.random.default_rng(width * 1000 + seed).integers(1, 2**63, width, dtype=np.uint64)
     total = np.full(n, width, np.uint64)
-    for i, factor in enumerate(odd * np.uint64(2) + np.uint64(1)):
+    for i, factor in enumerate(_factors(width)):
         total += words[i : i + n] * factor
     return mixed(total)
 
