@@ -96,6 +96,10 @@ LABELLED = """
 8 0 5 1 5 1 1 0 0 0 0
 30 0 40 0 40 0 0 1 0 0 0
 5 0 5 1 70 0 0 1 0 0 0
+2 0 40 0 0 0 0 1 0 0 0
+3 0 60 0 0 0 1 0 0 0 0
+9 0 30 0 20 0 0 1 0 0 0
+12 0 45 0 60 0 1 0 0 0 0
 """
 
 
