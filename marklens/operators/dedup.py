@@ -10,27 +10,10 @@ from pyspark.sql import functions as F
 from marklens.functions.text import base_name
 from marklens.operators.grouping import first_per_group
 
-# Bytes per sample, and the sizes up to which less is sampled.
-SAMPLE_BYTES = 8192
-WHOLE_UP_TO = 8192
-NO_MIDDLE_UP_TO = 16384
 
-
-def content_key(content: Column, length: Column) -> Column:
-    """Digest of the whole content when small, else of its first, middle and last part.
-
-    The middle is sampled only above 16 KiB. Equality is what counts, the digest
-    itself is not a stable value.
-    """
-    middle = F.when(
-        length > NO_MIDDLE_UP_TO,
-        F.substr(content, F.floor(length / 2).cast("int") + 1, F.lit(SAMPLE_BYTES)),
-    ).otherwise(F.lit(b""))
-    last = F.substr(
-        content, F.greatest(length - SAMPLE_BYTES + 1, F.lit(1)).cast("int"), F.lit(SAMPLE_BYTES)
-    )
-    sampled = F.concat(F.substring(content, 1, SAMPLE_BYTES), middle, last)
-    return F.md5(F.when(length <= WHOLE_UP_TO, content).otherwise(sampled))
+def content_key(content: Column) -> Column:
+    """Digest of the whole content; only equal contents are taken as copies."""
+    return F.sha2(content, 256)
 
 
 def file_signature(*columns: str) -> Column:
@@ -44,9 +27,9 @@ def with_keys(files: DataFrame, signature: Sequence[str]) -> DataFrame:
     keyed = files.withColumns(
         {
             "_name": base_name(F.col("path")),
-            "_bytes": F.octet_length(content).cast("long"),
+            "_key": content_key(content),
         }
-    ).withColumn("_key", content_key(content, F.col("_bytes")))
+    )
     wanted = ["path", "length", "_name", "_key", *signature]
     return keyed.select(*dict.fromkeys(wanted))
 
@@ -54,12 +37,12 @@ def with_keys(files: DataFrame, signature: Sequence[str]) -> DataFrame:
 def dedup_files(files: DataFrame, signature: Sequence[str] = ("length", "_name")) -> DataFrame:
     """One path per distinct file, the first in path order.
 
-    Equal signatures collapse first, then equal content among files of one size.
-    Both are aggregates: copies fold together before each shuffle, and only the
+    Files of equal signature and content collapse first, then equal content among files
+    of one size; a signature never decides alone. Both are aggregates: copies fold together before each shuffle, and only the
     digest travels, never the content.
     """
     keyed = with_keys(files, signature)
-    by_signature = first_per_group(keyed, list(signature), ["path"])
+    by_signature = first_per_group(keyed, [*signature, "_key"], ["path"])
     by_content = first_per_group(
         by_signature.select("path", "length", "_key"), ["length", "_key"], ["path"]
     )
@@ -69,7 +52,7 @@ def dedup_files(files: DataFrame, signature: Sequence[str] = ("length", "_name")
 def dedup_report(files: DataFrame, signature: Sequence[str] = ("length", "_name")) -> DataFrame:
     """Number of files and of duplicates removed per stage."""
     keyed = with_keys(files, signature)
-    by_signature = first_per_group(keyed, list(signature), ["path"])
+    by_signature = first_per_group(keyed, [*signature, "_key"], ["path"])
     groups = by_signature.groupBy("length", "_key").agg(F.count("*").alias("n"))
     after = groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("_kept"), F.count("*").alias("unique_files")
