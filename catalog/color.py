@@ -375,7 +375,7 @@ def sanity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, _ = color_pairs(spark, sf_dir)
     histograms = X.histogram_vector(X.hsv_histogram(view(spark, sf_dir, "pixels")))
     edges = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.slice("embedding", 1, 9).alias("edge")
+        F.col("vec_id").alias("image_id"), F.col("embedding").alias("edge")
     )
     report = plan_sanity_report(pairs, histograms, edges)
     numbers = ("color_distance", "color_similarity", "edge_similarity", "discriminative_score")
@@ -387,13 +387,13 @@ hx AS (SELECT image_id, CASE channel WHEN 'h' THEN 0 WHEN 's' THEN 50 ELSE 100 E
 hg AS (SELECT DISTINCT image_id, unnest(range(0, 150)) AS i FROM px),
 hv AS (SELECT hg.image_id, list(coalesce(share, 0) ORDER BY hg.i) AS h, list(coalesce(share, 0) ORDER BY coalesce(share, 0)) AS hs
        FROM hg LEFT JOIN hx ON hg.image_id = hx.image_id AND hg.i = hx.i GROUP BY hg.image_id),
-fx AS (SELECT hv.*, embedding[1:9]::DOUBLE[] AS e FROM hv JOIN embeddings ON vec_id = image_id),
+fx AS (SELECT hv.*, embedding::DOUBLE[] AS e FROM hv JOIN embeddings ON vec_id = image_id),
 r AS (SELECT ref_id, cmp_id, list_sum(list_transform(list_zip(a.hs, b.hs), lambda z: abs(z[1] - z[2]))) / 150 AS cd,
              list_cosine_similarity(a.h, b.h) AS c, list_cosine_similarity(a.e, b.e) AS e
-      FROM cp JOIN fx a ON a.image_id = ref_id JOIN fx b ON b.image_id = cmp_id)
+      FROM cp LEFT JOIN fx a ON a.image_id = ref_id LEFT JOIN fx b ON b.image_id = cmp_id)
 SELECT ref_id, cmp_id, round(cd, 6) AS color_distance, round(c, 6) AS color_similarity, round(e, 6) AS edge_similarity,
        cd <= 0.3 AS color_compatible, e >= 0.4 AS structure_compatible, round((c + e) / 2, 6) AS discriminative_score,
-       NOT (cd <= 0.3 AND e >= 0.4) AS warning FROM r"""
+       coalesce(NOT (cd <= 0.3 AND e >= 0.4), true) AS warning FROM r"""
 
 
 def color_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:

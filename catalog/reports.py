@@ -199,7 +199,7 @@ x AS (SELECT ref_id, cmp_id, a.kp_id AS k1, list_distance(a.d, b.d) AS d, b.kp_i
 r AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cmp_id, k1 ORDER BY d, k2) AS rn FROM x),
 g AS (SELECT ref_id, cmp_id, k1, max(CASE WHEN rn = 1 THEN d END) AS d1, max(CASE WHEN rn = 2 THEN d END) AS d2
       FROM r WHERE rn <= 2 GROUP BY ALL)
-SELECT ref_id, cmp_id, least(count(*) FILTER (d1 < 0.75 * d2), 101)::BIGINT AS good_matches FROM g GROUP BY ref_id, cmp_id"""
+SELECT ref_id, cmp_id, (count(*) FILTER (d1 < 0.75 * d2))::BIGINT AS good_matches FROM g GROUP BY ref_id, cmp_id"""
 
 
 def mutual_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,19 +273,18 @@ _TEMPLATE_SQL = f"""{with_views("observations")}, {_TEMPLATE} SELECT ref_id, cmp
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps 0, 1, 2 of the observations as image sizes 64, 128, 256."""
+    """Steps of the observations as image sizes: 64, 128, 256 and so on."""
     obs = view(spark, sf_dir, "observations")
-    size = F.when(F.col("step") == 0, 64).when(F.col("step") == 1, 128).when(F.col("step") == 2, 256)
-    return obs.withColumn("size", size)
+    return obs.withColumn("size", F.expr("shiftleft(64, step)"))
 
 
 def ssim_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ssim_score(_sizes(spark, sf_dir)).withColumn("ssim_score", F.round("ssim_score", 6))
 
 
-_SSIM = """sg AS (SELECT ref_id, cmp_id, count(*) AS c, sum(mv * CASE step WHEN 1 THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END) AS w, avg(mv) AS a
-   FROM observations WHERE step <= 2 GROUP BY ref_id, cmp_id),
-sx AS (SELECT ref_id, cmp_id, CASE WHEN c = 3 THEN w ELSE a END AS x FROM sg),
+_SSIM = """sg AS (SELECT ref_id, cmp_id, count(*) AS c, sum(mv * CASE step WHEN 1 THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END) AS w, avg(mv) AS a, max(step) AS ms
+   FROM observations WHERE mv IS NOT NULL GROUP BY ref_id, cmp_id),
+sx AS (SELECT ref_id, cmp_id, CASE WHEN c = 3 AND ms = 2 THEN w ELSE a END AS x FROM sg),
 ssm AS (SELECT ref_id, cmp_id, CASE WHEN x < 0.3 THEN 0 ELSE least(0.9::DOUBLE, (x - 0.3::DOUBLE) / 0.7::DOUBLE * 0.9::DOUBLE) END AS ssim_score FROM sx)"""
 _SSIM_SQL = f"""{with_views("observations")}, {_SSIM} SELECT ref_id, cmp_id, round(ssim_score, 6) AS ssim_score FROM ssm"""
 
@@ -320,8 +319,8 @@ def balanced_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BALANCED = f"""{with_views("match_counts", "observations", "contours")}, {_FEATURE}, {_BEST}, {_TEMPLATE}, {_SSIM}, {_SHAPE},
-ba AS (SELECT bm.*, score AS f, coalesce(template_score, 0) AS t, coalesce(ssim_score, 0) AS s, coalesce(shape_score, 0) AS h
-  FROM bm LEFT JOIN ts USING (ref_id, cmp_id) LEFT JOIN ssm USING (ref_id, cmp_id) LEFT JOIN shp USING (ref_id, cmp_id)),
+ba AS (SELECT ref_id, cmp_id, method, coalesce(inliers, 0)::INT AS inliers, coalesce(kp1, 0)::INT AS kp1, coalesce(kp2, 0)::INT AS kp2, coalesce(score, 0) AS f, coalesce(template_score, 0) AS t, coalesce(ssim_score, 0) AS s, coalesce(shape_score, 0) AS h
+  FROM bm FULL JOIN ts USING (ref_id, cmp_id) FULL JOIN ssm USING (ref_id, cmp_id) FULL JOIN shp USING (ref_id, cmp_id)),
 bb AS (SELECT *, (f > 0.6)::INT + (t > 0.6)::INT + (s > 0.6)::INT + (h > 0.6)::INT AS ns,
    (f > 0.35)::INT + (t > 0.35)::INT + (s > 0.35)::INT + (h > 0.35)::INT AS ng2, (f > 0.1)::INT + (t > 0.1)::INT + (s > 0.1)::INT + (h > 0.1)::INT AS nw FROM ba),
 bc AS (SELECT *, round(1e-9::DOUBLE + least(0.95::DOUBLE, (f * 0.45::DOUBLE + t * 0.25::DOUBLE + s * 0.2::DOUBLE + h * 0.1::DOUBLE)

@@ -135,12 +135,12 @@ FROM {pairs} p JOIN {pal1} a ON a.image_id = p.ref_id JOIN {pal2} b ON b.image_i
 def knn_ctes(vectors: str, k: int, name: str = "nn", metric: str = "ip", ident: str = "image_id") -> str:
     """``{name}(ref_id, cmp_id, score, rank)``: exact neighbours, self left out."""
     score = (
-        "round(list_dot_product(a.e, b.e), 6)"
+        "round(list_dot_product(a.e, b.e), 12)"
         if metric == "ip"
-        else "round(greatest(list_distance(a.e, b.e) * list_distance(a.e, b.e), 0), 6)"
+        else "round(greatest(list_distance(a.e, b.e) * list_distance(a.e, b.e), 0), 12)"
     )
     order = "s DESC" if metric == "ip" else "s"
     return f"""{name}_v AS (SELECT {ident} AS id, embedding::DOUBLE[] AS e FROM {vectors} WHERE embedding IS NOT NULL),
 {name}_s AS (SELECT a.id AS ref_id, b.id AS cmp_id, {score} AS s FROM {name}_v a, {name}_v b WHERE a.id <> b.id),
-{name} AS (SELECT ref_id, cmp_id, s AS score, rank FROM
+{name} AS (SELECT ref_id, cmp_id, round(s, 6) AS score, rank FROM
   (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY {order}, cmp_id) AS rank FROM {name}_s) WHERE rank <= {k})"""

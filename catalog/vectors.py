@@ -60,7 +60,7 @@ def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COSINE_THRESHOLD_SQL = f"""{with_views("vectors")}, {_UNIT}, {knn_ctes("unit", 1)}
-SELECT ref_id, cmp_id, s AS score FROM nn_s WHERE s >= 0.3"""
+SELECT ref_id, cmp_id, round(s, 6) AS score FROM nn_s WHERE s >= 0.3"""
 
 
 def _ivf(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
@@ -197,16 +197,16 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("image_id").alias("index_id"),
         "embedding",
     )
-    return I.index_stats(rows)
+    centroids = K.train_centroids(vectors, K.list_count(vectors.count()))
+    return I.index_stats(I.VectorIndex(rows, centroids))
 
 
 _INDEX_STATS_SQL = """
 WITH s AS (SELECT count(*) AS n, max(len(embedding))::INT AS d, count(DISTINCT vec_id % 400) AS p FROM embeddings),
-l AS (SELECT *, greatest(1, least(greatest(10, floor(sqrt(n))::BIGINT), n // 4, 256)) AS nl FROM s)
-SELECT n AS total_vectors, d AS dimension, CASE WHEN n >= 1000 THEN 'IVF' ELSE 'Flat' END AS index_type,
+l AS (SELECT *, greatest(1, least(greatest(10, floor(sqrt(n))::BIGINT), n // 4)) AS nl FROM s)
+SELECT n AS total_vectors, d AS dimension, 'IVF' AS index_type,
        n AS distinct_images, p AS distinct_paths,
-       CASE WHEN n >= 1000 THEN nl END AS nlist,
-       CASE WHEN n >= 1000 THEN least(greatest(1, nl // 4), 32) END AS nprobe FROM l"""
+       nl AS nlist, least(greatest(1, nl // 4), 32) AS nprobe FROM l"""
 
 
 def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

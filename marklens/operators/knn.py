@@ -26,17 +26,17 @@ from marklens.session import fits
 
 BLOCK_ROWS = 4096
 BROADCAST_CELLS = 4_000_000  # at most 32 MB of doubles
-DEFAULT_MAX_K = 10_000
-SCORE_DIGITS = 6
-# Bounds of the inverted-file index.
-MIN_LISTS, MAX_LISTS, MAX_PROBES, TRAIN_ROWS = 10, 256, 32, 1000
+#: Digits of a score in results; ranking uses all but the noise of summation.
+SCORE_DIGITS, RANK_DIGITS = 6, 12
+# Least lists and default probes of the inverted-file index.
+MIN_LISTS, MOST_PROBES = 10, 32
 
 _HITS = "query_id long, base_id long, score double"
 
 
-def clamp_k(k: int | None, rows: int, cap: int | None = None) -> int:
-    """Search depth: ``k`` (10,000 by default) within the index size and the cap."""
-    depth = min(DEFAULT_MAX_K if k is None else k, rows)
+def clamp_k(k: int, rows: int, cap: int | None = None) -> int:
+    """Search depth: ``k`` within the index size and, if one is asked for, the cap."""
+    depth = min(k, rows)
     return depth if cap is None else min(depth, cap)
 
 
@@ -53,12 +53,12 @@ def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def _scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded scores, larger is better (L2 is negated squared distance)."""
+    """Scores to rank by, larger is better (L2 is negated squared distance)."""
     products = q @ b.T
     if metric == "ip":
-        return np.round(products, SCORE_DIGITS)
+        return np.round(products, RANK_DIGITS)
     squares = (q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-    return -np.round(np.maximum(squares - 2.0 * products, 0.0), SCORE_DIGITS)
+    return -np.round(np.maximum(squares - 2.0 * products, 0.0), RANK_DIGITS)
 
 
 def _best_hits(
@@ -196,7 +196,8 @@ def vector_join(
 def _ranked(hits: DataFrame, k: int | None, metric: str) -> DataFrame:
     if k is not None:
         hits = top_k(hits, ["query_id"], [F.desc("score"), F.asc("base_id")], k)
-    return hits if metric == "ip" else hits.withColumn("score", F.abs(F.col("score")))
+    score = F.col("score") if metric == "ip" else F.abs(F.col("score"))
+    return hits.withColumn("score", F.round(score, SCORE_DIGITS))
 
 
 def knn_join(queries, base, k: int, metric: str = "ip", **options) -> DataFrame:
@@ -206,20 +207,20 @@ def knn_join(queries, base, k: int, metric: str = "ip", **options) -> DataFrame:
 
 def list_count(rows: int) -> int:
     """Number of inverted lists for an index of ``rows`` vectors."""
-    return max(1, min(max(MIN_LISTS, math.isqrt(rows)), rows // 4, MAX_LISTS))
+    return max(1, min(max(MIN_LISTS, math.isqrt(rows)), rows // 4))
 
 
-def probe_count(lists: int) -> int:
+def probe_count(lists: int, most: int = MOST_PROBES) -> int:
     """Lists a query visits by default."""
-    return min(max(1, lists // 4), MAX_PROBES)
+    return min(max(1, lists // 4), most)
 
 
 def train_centroids(
     base: DataFrame, lists: int, vector: str = "embedding", seed: int = 42
 ) -> DataFrame:
-    """Coarse centroids ``(centroid_id, centroid)``; at most 256 rows."""
-    if not 1 <= lists <= MAX_LISTS:
-        raise ValueError(f"lists must be within 1..{MAX_LISTS}")
+    """Coarse centroids ``(centroid_id, centroid)``; at most ``lists`` rows."""
+    if lists < 1:
+        raise ValueError("lists must be positive")
     features = unit_vectors(base, vector).select(array_to_vector(F.col(vector)).alias("features"))
     if lists == 1:
         schema = "centroid_id int, centroid array<double>"
@@ -230,12 +231,20 @@ def train_centroids(
     return base.sparkSession.createDataFrame(rows, "centroid_id int, centroid array<double>")
 
 
-def nearest_lists(df: DataFrame, centroids: DataFrame, probes: int, vector: str) -> DataFrame:
-    """Add ``centroid_id``, one row per list among the ``probes`` best of the row."""
-    table = centroids.limit(MAX_LISTS + 1).toPandas()
-    if len(table) > MAX_LISTS:
-        raise ValueError(f"more than {MAX_LISTS} centroids")
-    table = table.sort_values("centroid_id")
+def nearest_lists(
+    df: DataFrame, centroids: DataFrame, probes: int, vector: str, row_id: str = "index_id"
+) -> DataFrame:
+    """Add ``centroid_id``, one row per list among the ``probes`` best of the row.
+
+    Centroids over 32 MB are not broadcast but joined in blocks, by ``row_id``.
+    """
+    width = centroids.select(F.size("centroid")).first()[0]
+    if not fits(centroids, BROADCAST_CELLS // max(width, 1)):
+        lists = centroids.select("centroid_id", F.col("centroid").alias(vector))
+        hits = knn_join(df, lists, probes, query_id=row_id, base_id="centroid_id", vector=vector)
+        own = hits.select(F.col("query_id").alias(row_id), F.col("base_id").cast("int").alias("centroid_id"))
+        return df.join(own, row_id)
+    table = centroids.toPandas().sort_values("centroid_id")
     shared = df.sparkSession.sparkContext.broadcast(
         (table["centroid_id"].to_numpy(), _matrix(table["centroid"]))
     )
@@ -271,9 +280,10 @@ def ivf_knn_join(
     salted parts which every query of that list visits, so a list that holds a
     third of the index is searched by many tasks.
     """
-    probes = probe_count(centroids.count()) if probes is None else probes
+    lists = centroids.count()
+    probes = probe_count(lists) if probes is None else probes
     q = nearest_lists(
-        _prepared(queries, query_id, vector, "query_id"), centroids, probes, "vec"
+        _prepared(queries, query_id, vector, "query_id"), centroids, probes, "vec", "query_id"
     ).withColumnRenamed("centroid_id", "cell")
     b = index.filter(F.col(vector).isNotNull()).select(
         F.col(base_id).cast("long").alias("base_id"),
@@ -282,12 +292,14 @@ def ivf_knn_join(
     )
 
     def parts(df: DataFrame, name: str) -> DataFrame:
-        # one row per list, so at most 256
+        # one row per list
         return df.groupBy("cell").agg(
             F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_rows))).alias(name)
         )
 
-    sizes = F.broadcast(parts(b, "_nb").join(parts(q, "_nq"), "cell"))
+    sizes = parts(b, "_nb").join(parts(q, "_nq"), "cell")
+    if lists <= BROADCAST_CELLS // 3:
+        sizes = F.broadcast(sizes)
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str, id_name: str):
         return (

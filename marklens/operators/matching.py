@@ -11,8 +11,6 @@ from marklens.operators.grouping import top_k
 from marklens.session import spread
 
 PAIR = ["ref_id", "cmp_id"]
-# Fixed value: good matches are counted up to this number.
-MATCH_CEILING = 101
 # Order in which equal scores are resolved.
 METHOD_ORDER = ("SIFT", "ORB", "AKAZE")
 # Weights of the structural score by image size.
@@ -29,8 +27,13 @@ def _keypoint_pairs(pairs: DataFrame, features: DataFrame, value: str) -> DataFr
     return spread(pairs.select(*PAIR), *PAIR).join(first, "ref_id").join(second, "cmp_id")
 
 
-def ratio_match(pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Keypoints whose nearest neighbour is clearly nearer than the second."""
+def ratio_match(
+    pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.75, ceiling: int | None = None
+) -> DataFrame:
+    """Keypoints whose nearest neighbour is clearly nearer than the second.
+
+    All are counted, unless a ``ceiling`` is asked for.
+    """
     near = top_k(
         _keypoint_pairs(pairs, descriptors, "descriptor").select(
             *PAIR, "kp1", "kp2", euclidean(F.col("_f1"), F.col("_f2")).alias("d")
@@ -45,7 +48,9 @@ def ratio_match(pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.75) -
         .groupBy(*PAIR)
         .agg(F.count_if(F.col("d1") < F.col("d2") * ratio).alias("_n"))
     )
-    counted = F.least(F.coalesce("_n", F.lit(0)), F.lit(MATCH_CEILING)).cast("long")
+    counted = F.coalesce("_n", F.lit(0)).cast("long")
+    if ceiling is not None:
+        counted = F.least(counted, F.lit(ceiling).cast("long"))
     return (
         pairs.select(*PAIR).join(good, PAIR, "left").select(*PAIR, counted.alias("good_matches"))
     )
@@ -111,25 +116,29 @@ def template_score(observations: DataFrame) -> DataFrame:
     )
 
 
-def ssim_score(observations: DataFrame) -> DataFrame:
-    """Calibrated structural score over image sizes (``size``, ``mv``)."""
+def ssim_score(observations: DataFrame, weights: dict[int, float] = SIZE_WEIGHTS) -> DataFrame:
+    """Calibrated structural score over image sizes (``size``, ``mv``).
+
+    Exactly the sizes of ``weights`` give their weighted sum, any others the plain mean.
+    """
     value = F.greatest(F.lit(0.0), F.col("mv"))
     weight = F.lit(0.0)
-    for size, share in SIZE_WEIGHTS.items():
+    for size, share in weights.items():
         weight = F.when(F.col("size") == size, share).otherwise(weight)
-    known = F.col("size").isin(*SIZE_WEIGHTS)
+    known = F.coalesce(F.col("size").isin(*weights), F.lit(False))
     return (
-        observations.filter(known & F.col("mv").isNotNull())
+        observations.filter(F.col("mv").isNotNull())
         .groupBy(*PAIR)
         .agg(
             F.count_distinct("size").alias("_sizes"),
+            F.bool_and(known).alias("_known"),
             F.sum(value * weight).alias("_weighted"),
             F.avg(value).alias("_mean"),
         )
         .select(
             *PAIR,
             S.structure_calibration(
-                F.when(F.col("_sizes") == len(SIZE_WEIGHTS), F.col("_weighted")).otherwise(
+                F.when(F.col("_known") & (F.col("_sizes") == len(weights)), F.col("_weighted")).otherwise(
                     F.col("_mean")
                 )
             ).alias("ssim_score"),

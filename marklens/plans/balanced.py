@@ -12,15 +12,17 @@ from marklens.operators import matching as M
 def balanced_compare(
     match_counts: DataFrame, template: DataFrame, structure: DataFrame, shapes: DataFrame
 ) -> DataFrame:
-    """One fused 0..0.95 score with confidence per pair of ``match_counts``.
+    """One fused 0..0.95 score with confidence per pair that any of the tables holds.
 
-    A pair without observations of a method scores 0 there.
+    A pair without observations of a method scores 0 there; without match counts it
+    has no best method and counts of 0.
     """
     scored = M.best_method(M.method_scores(match_counts))
     for part in (M.template_score(template), M.ssim_score(structure), M.shape_score(shapes)):
-        scored = scored.join(part, M.PAIR, "left")
-    scored = scored.fillna(0.0, ["template_score", "ssim_score", "shape_score"])
-    inliers = F.coalesce("inlier_matches", F.lit(0))
+        scored = scored.join(part, M.PAIR, "outer")
+    scored = scored.fillna(0.0, ["feature_score", "template_score", "ssim_score", "shape_score"])
+    scored = scored.fillna(0, ["inlier_matches", "keypoints_img1", "keypoints_img2"])
+    inliers = F.col("inlier_matches")
     return (
         scored.withColumn(
             "similarity_score",

@@ -1,7 +1,7 @@
 """Building, extending and describing the vector index.
 
-An index row is ``index_id, path, filename, embedding`` (unit length) and, once
-the index is large enough, ``centroid_id``.
+An index row is ``index_id, path, filename, embedding`` (unit length) and, in an
+index with lists, ``centroid_id``.
 """
 
 from __future__ import annotations
@@ -14,12 +14,8 @@ from pyspark.sql import functions as F
 from marklens.functions.text import base_name, normal_path
 from marklens.operators.grouping import first_per_group
 from marklens.operators.knn import (
-    MAX_LISTS,
-    MAX_PROBES,
-    MIN_LISTS,
-    TRAIN_ROWS,
-    list_count,
     nearest_lists,
+    probe_count,
     train_centroids,
     unit_vectors,
 )
@@ -84,8 +80,8 @@ def assign_index_ids(rows: DataFrame, indexed: DataFrame | None) -> DataFrame:
 def build_vector_index(rows: DataFrame, lists: int | None = None) -> VectorIndex:
     """Index of ``path, embedding`` rows (``index_id`` is made unless it is there).
 
-    Zero vectors are left out and a path is indexed once. With at least 1000
-    vectors, or when ``lists`` is given, coarse centroids are trained.
+    Zero vectors are left out and a path is indexed once. With ``lists`` that
+    many coarse centroids are trained (``knn.list_count`` gives a usual number).
     """
     unit = unit_vectors(rows).withColumn("path", normal_path(F.col("path")))
     vectors = first_per_group(unit, ["path"], [c for c in ("index_id", "embedding") if c in unit.columns])
@@ -96,54 +92,42 @@ def build_vector_index(rows: DataFrame, lists: int | None = None) -> VectorIndex
 
 
 def with_lists(vectors: DataFrame, lists: int | None = None) -> VectorIndex:
-    """Assign rows to trained centroids; a small index stays flat."""
+    """Assign rows to trained centroids; without ``lists`` the index is flat."""
     if lists is None:
-        rows = vectors.count()
-        if rows < TRAIN_ROWS:
-            return VectorIndex(vectors, None)
-        lists = list_count(rows)
+        return VectorIndex(vectors, None)
     flat = vectors.drop("centroid_id")
     centroids = train_centroids(flat, lists)
     return VectorIndex(nearest_lists(flat, centroids, 1, "embedding"), centroids)
 
 
 def add_vectors(index: VectorIndex, rows: DataFrame) -> VectorIndex:
-    """Index extended by the rows whose path is new; centroids are trained again."""
+    """Index extended by the rows whose path is new; they go to the lists there are."""
     unit = unit_vectors(new_files(rows, index.vectors))
     fresh = first_per_group(unit, ["path"], ["embedding"])
     fresh = fresh.withColumn("filename", base_name(F.col("path")))
     fresh = assign_index_ids(fresh, index.vectors)
     columns = ["index_id", "path", "filename", "embedding"]
+    if index.centroids is not None:
+        fresh = nearest_lists(fresh, index.centroids, 1, "embedding")
+        columns.append("centroid_id")
     merged = index.vectors.select(*columns).unionByName(fresh.select(*columns))
-    return with_lists(merged)
+    return VectorIndex(merged, index.centroids)
 
 
-def index_stats(vectors: DataFrame) -> DataFrame:
-    """One row: vectors, dimension, type, distinct images and paths, list sizes."""
-    stats = vectors.agg(
+def index_stats(index: VectorIndex, probes: int | None = None) -> DataFrame:
+    """One row: vectors, dimension, type, distinct images and paths, lists and probes."""
+    lists = None if index.centroids is None else index.centroids.count()
+    if lists is not None and probes is None:
+        probes = probe_count(lists)
+    return index.vectors.agg(
         F.count("*").alias("total_vectors"),
         F.max(F.size("embedding")).alias("dimension"),
         F.count_distinct("index_id").alias("distinct_images"),
         F.count_distinct("path").alias("distinct_paths"),
-    )
-    n = F.col("total_vectors")
-    lists = F.greatest(
-        F.lit(1),
-        F.least(
-            F.greatest(F.lit(MIN_LISTS), F.floor(F.sqrt(n))),
-            F.floor(n / 4),
-            F.lit(MAX_LISTS),
-        ),
-    )
-    large = n >= TRAIN_ROWS
-    return (
-        stats.withColumn("index_type", F.when(large, "IVF").otherwise("Flat"))
-        .withColumn("nlist", F.when(large, lists))
-        .withColumn(
-            "nprobe",
-            F.when(
-                large,
-                F.least(F.greatest(F.lit(1), F.floor(F.col("nlist") / 4)), F.lit(MAX_PROBES)),
-            ),
-        )
+    ).withColumns(
+        {
+            "index_type": F.lit("Flat" if lists is None else "IVF"),
+            "nlist": F.lit(lists).cast("long"),
+            "nprobe": F.lit(None if lists is None else probes).cast("long"),
+        }
     )

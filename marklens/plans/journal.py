@@ -16,7 +16,6 @@ from marklens.operators.grouping import carry_forward
 
 KINDS = ("journal", "client")
 PAGE_BLOCK = 1024
-HEADER_LINES = 5
 _RECORD = ["doc_id", "page_no", "_start"]
 COLUMNS = (
     "journal_no", "journal_date", "class", "application_number", "application_date",
@@ -54,11 +53,8 @@ def start_pages(lines: DataFrame) -> DataFrame:
 
 
 def _journal_headers(lines: DataFrame) -> DataFrame:
-    """First header among the first lines of each page, as values of that page."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("line_no"))
-    head = lines.withColumn("_nth", nth).filter(
-        (F.col("_nth") <= HEADER_LINES) & F.col("line").rlike(J.JOURNAL_HEADER)
-    )
+    """First header of each page, as values of that page."""
+    head = lines.filter(F.col("line").rlike(J.JOURNAL_HEADER))
     first = F.min_by("line", "line_no")
     return head.groupBy("doc_id", "page_no").agg(first.alias("_head")).select(
         "doc_id",

@@ -17,17 +17,19 @@ def sanity_report(
 ) -> DataFrame:
     """Gates and similarities per pair; a failed gate warns, it drops nothing.
 
+    A pair of which an image lacks a feature stays, with nulls and a warning.
+
     ``histograms`` is ``image_id, histogram``; ``edges`` is ``image_id, edge``.
     """
-    features = histograms.join(edges, "image_id").select(
+    features = histograms.join(edges, "image_id", "outer").select(
         "image_id", doubles(F.col("histogram")).alias("h"), doubles(F.col("edge")).alias("e")
     )
     first = features.select(F.col("image_id").alias("ref_id"), F.col("h").alias("h1"), F.col("e").alias("e1"))
     second = features.select(F.col("image_id").alias("cmp_id"), F.col("h").alias("h2"), F.col("e").alias("e2"))
     return (
         pairs.select("ref_id", "cmp_id")
-        .join(first, "ref_id")
-        .join(second, "cmp_id")
+        .join(first, "ref_id", "left")
+        .join(second, "cmp_id", "left")
         .select(
             "ref_id",
             "cmp_id",
@@ -42,5 +44,5 @@ def sanity_report(
                 "discriminative_score": (F.col("color_similarity") + F.col("edge_similarity")) / 2,
             }
         )
-        .withColumn("warning", ~(F.col("color_compatible") & F.col("structure_compatible")))
+        .withColumn("warning", F.coalesce(~(F.col("color_compatible") & F.col("structure_compatible")), F.lit(True)))
     )

@@ -137,7 +137,7 @@ def test_knn_broadcast_and_blocked(spark, vectors, metric, monkeypatch):
 def test_k_larger_than_base(spark, vectors):
     few = vectors.filter("image_id < 4")
     assert len(hits(K.knn_join(few, few, 50, query_id="image_id", base_id="image_id"))) == 16
-    assert K.clamp_k(None, 20) == 20 and K.clamp_k(500, 2000, cap=100) == 100
+    assert K.clamp_k(30, 20) == 20 and K.clamp_k(500, 2000, cap=100) == 100
 
 
 def test_threshold_join(spark, vectors):
@@ -157,7 +157,8 @@ def test_ivf_equals_exact_with_all_probes(spark, vectors):
 
 
 def test_list_rules():
-    assert K.list_count(2000) == 44 and K.list_count(30) == 7 and K.list_count(10**9) == 256
+    assert K.list_count(2000) == 44 and K.list_count(30) == 7 and K.list_count(10**9) == 31622
+    assert K.probe_count(4000, most=500) == 500
     assert K.probe_count(44) == 11 and K.probe_count(256) == 32 and K.probe_count(3) == 1
 
 
@@ -186,5 +187,24 @@ def test_dense_ids_and_growth(spark, vectors):
     grown = I.add_vectors(index, rows)
     ids = [r.index_id for r in grown.vectors.orderBy("path").collect()]
     assert ids == list(range(299))
-    stats = I.index_stats(grown.vectors).first()
+    stats = I.index_stats(grown).first()
     assert (stats.total_vectors, stats.dimension, stats.index_type, stats.nlist) == (299, 16, "Flat", None)
+
+
+def test_growth_keeps_the_lists(spark, vectors, monkeypatch):
+    rows = vectors.select(F.concat(F.lit("/p/"), F.lpad(F.col("image_id").cast("string"), 4, "0")).alias("path"), "embedding")
+    index = I.build_vector_index(rows.filter("path < '/p/0200'"), lists=4)
+    grown = I.add_vectors(index, rows)
+    stats = I.index_stats(grown).first()
+    assert (stats.total_vectors, stats.index_type, stats.nlist, stats.nprobe) == (299, "IVF", 4, 1)
+    lists = {r.path: r.centroid_id for r in grown.vectors.collect()}
+    assert len(lists) == 299 and None not in lists.values()
+    monkeypatch.setattr(K, "BROADCAST_CELLS", 1)
+    apart = K.nearest_lists(grown.vectors.drop("centroid_id"), index.centroids, 1, "embedding")
+    assert {r.path: r.centroid_id for r in apart.collect()} == lists
+
+
+def test_near_ties_rank_by_the_raw_score(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0 + 1e-8, 0.0])], "image_id long, embedding array<double>")
+    best = K.knn_join(base.filter("image_id = 1"), base, 1, query_id="image_id", base_id="image_id").first()
+    assert best.base_id == 2
