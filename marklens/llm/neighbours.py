@@ -4,12 +4,14 @@ Vectors get binary codes from learned rotations. A code is cut into substrings a
 substring is an index of its own. By the pigeonhole principle every code within a
 Hamming radius agrees with the query in some substring up to a small distance, so a
 query visits only the cells of near substrings; what it finds is filtered by the whole
-code and reranked with the original vectors.
+code and reranked with the original vectors. A query that has found too few rows is asked
+again with a wider radius, at last with one that reaches every row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +27,8 @@ PARTS = BITS // SUB
 FIT_ROWS, FIT_QUERIES = 8000, 400
 #: Share of the true neighbours in the sample that the radius must cover.
 COVER = 0.97
+#: Widest radius worth probing for; beyond it, reading every row once costs less.
+WIDEST = 40
 #: Rows and queries that meet in one group, about.
 CELL, BLOCK = 16_384, 4096
 
@@ -54,7 +58,12 @@ class Coder:
         return self._codes(np.column_stack([x * scale[:, None], np.zeros(len(x))]))
 
     def radii(self) -> list[int]:
-        """Distance allowed in each substring so that none within ``radius`` is lost."""
+        """Distance allowed in each substring so that none within ``radius`` is lost.
+
+        With all bits allowed the first substring alone reaches every row.
+        """
+        if self.radius >= BITS:
+            return [SUB] + [-1] * (PARTS - 1)
         low, rest = divmod(self.radius, PARTS)
         return [low if i <= rest else low - 1 for i in range(PARTS)]
 
@@ -154,6 +163,11 @@ def _search(k: int, radius: int, allowed: list[int]):
     return run
 
 
+def wider(radius: int) -> int:
+    """The next radius for queries that ``radius`` leaves short."""
+    return radius * 2 if 0 < radius * 2 <= WIDEST else BITS
+
+
 def _near(bits: int, radius: int) -> list[int]:
     """Numbers of ``bits`` bits with at most ``radius`` ones."""
     return [
@@ -177,10 +191,45 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (usual[0] if usual else 0))
 
 
+def _by_part(df: DataFrame, head: int) -> DataFrame:
+    """One row per substring, with the cell that its first ``head`` bits name."""
+    part = df.select("*", F.posexplode("code").alias("part", "_sub"))
+    return part.withColumn("_cell", F.shiftright("_sub", SUB - head)).drop("_sub")
+
+
+def _probed(index: DataFrame, wanted: DataFrame, head: int, k: int, coder: Coder) -> DataFrame:
+    """cls, vec_id, score: the best ``k + 1`` ids within the radius of each query."""
+    allowed = coder.radii()
+    used = [i for i, r in enumerate(allowed) if r >= 0]
+    every = F.sequence(F.lit(0), F.lit((1 << head) - 1))
+    masks = {r: every if r >= head else F.array(*map(F.lit, _near(head, r))) for r in {allowed[i] for i in used}}
+    mask = F.coalesce(*(F.when(F.col("part") == i, masks[allowed[i]]) for i in used))
+    index, probes = (df.where(F.col("part").isin(used)) for df in (index, _by_part(wanted, head)))
+    probes = probes.select("*", F.explode(mask).alias("_mask"))
+    probes = probes.withColumn("_cell", F.col("_cell").bitwiseXOR(F.col("_mask"))).drop("_mask")
+    probes = stored(probes, "neighbours-probes")
+    # a cell with many rows or many queries is split; both numbers are counted first
+    sizes = index.groupBy("part", "_cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_salts"))
+    asks = probes.groupBy("part", "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    cells = sizes.join(asks, ["part", "_cell"])
+    deal = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(cells, ["part", "_cell"]).select("*", deal("_salts").alias("_salt"), each("_blocks").alias("_block"))
+    right = probes.join(cells, ["part", "_cell"]).select("*", deal("_blocks").alias("_block"), each("_salts").alias("_salt"))
+    keys, drop = ["part", "_cell", "_salt", "_block"], ["_salts", "_blocks"]
+    found = (
+        left.drop(*drop).groupBy(*keys).cogroup(right.drop(*drop).groupBy(*keys))
+        .applyInArrow(_search(k, coder.radius, allowed), "cls long, vec_id long, score double")
+    )
+    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("_r", best).where(F.col("_r") <= k + 1).drop("_r")
+
+
 def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """The ``k`` nearest by inner product of each vector whose id divides by ``every``.
 
-    query_id, rank, vec_id, score. Equal vectors are searched as one and stand in for
+    query_id, rank, vec_id, score. A query has fewer than ``k`` rows only where fewer
+    candidates exist: those left short are asked again with a wider radius. Equal vectors are searched as one and stand in for
     each other with their smallest ids, so groups of copies stay small and lose nothing.
     A repeated row (same id, same vector) counts once.
     """
@@ -195,41 +244,27 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
     asked = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("embedding", "cls"), "embedding")
     asked = stored(asked.select(F.col("vec_id").alias("query_id"), "cls"), "neighbours-queries")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    total, longest = classes.agg(F.count(F.lit(1)), F.max(norm)).first()
+    total, longest, held = classes.agg(F.count(F.lit(1)), F.max(norm), F.sum(F.size("ids"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if total < 2 and not classes.where(F.size("ids") > 1).head(1):
         return spark.createDataFrame([], schema)
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(FIT_ROWS).select("embedding").collect()
     coder = learn(np.array([r[0] for r in sample]), longest, k, total)
-    allowed = coder.radii()
     head = min(SUB, max(0, int(total // CELL).bit_length()))  # bits of a substring that name its cell
-
-    def by_part(df):
-        part = df.select("*", F.posexplode("code").alias("part", "_sub"))
-        return part.withColumn("_cell", F.shiftright("_sub", SUB - head)).drop("_sub")
-
-    index = by_part(_coded(classes, coder, "rows"))
+    index = _by_part(_coded(classes, coder, "rows"), head)
     wanted = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "embedding")
-    masks = {r: _near(head, r) if r >= 0 else [] for r in set(allowed)}
-    mask = F.coalesce(*(F.when(F.col("part") == i, F.array(*map(F.lit, masks[r])).cast("array<int>")) for i, r in enumerate(allowed)))
-    probes = by_part(_coded(wanted, coder, "queries")).select("*", F.explode(mask).alias("_mask"))
-    probes = probes.withColumn("_cell", F.col("_cell").bitwiseXOR(F.col("_mask"))).drop("_mask")
-    probes = stored(probes, "neighbours-probes")
-    # a cell with many rows or many queries is split; both numbers are counted first
-    sizes = index.groupBy("part", "_cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_salts"))
-    asks = probes.groupBy("part", "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    cells = sizes.join(asks, ["part", "_cell"])
-    deal = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(cells, ["part", "_cell"]).select("*", deal("_salts").alias("_salt"), each("_blocks").alias("_block"))
-    right = probes.join(cells, ["part", "_cell"]).select("*", deal("_blocks").alias("_block"), each("_salts").alias("_salt"))
-    keys, drop = ["part", "_cell", "_salt", "_block"], ["_salts", "_blocks"]
-    found = (
-        left.drop(*drop).groupBy(*keys).cogroup(right.drop(*drop).groupBy(*keys))
-        .applyInArrow(_search(k, coder.radius, allowed), "cls long, vec_id long, score double")
-    )
-    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("_r", best).where(F.col("_r") <= k + 1).drop("_r")
+    radius, answers = coder.radius, []
+    while True:
+        found = stored(_probed(index, _coded(wanted, coder, "queries"), head, k, replace(coder, radius=radius)), "neighbours-found")
+        if radius >= BITS:
+            break
+        enough = found.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k + 1, held))
+        wanted = stored(wanted.join(enough, "cls", "left_anti"), "neighbours-short")
+        if not wanted.head(1):
+            break
+        answers.append(found.join(enough.select("cls"), "cls", "left_semi"))
+        radius = wider(radius)
+    found = reduce(DataFrame.unionByName, answers, found)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     pairs = asked.join(found, "cls").where("query_id <> vec_id")
     return pairs.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

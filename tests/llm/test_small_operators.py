@@ -49,6 +49,20 @@ def test_vectors_left_out(spark):
     assert neighbours.search(df.where("vec_id > 10"), 20, 20).collect() == []
 
 
+def test_vectors_alone_are_filled(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 16))
+    data = [(i, centres[i % 12] + 0.05 * rng.standard_normal(16)) for i in range(1200)]
+    # isolated queries between dense clusters: no row is within the radius fitted on the clusters
+    data = [(i, 0.5 * rng.standard_normal(16) if i % 200 == 0 else x) for i, x in data]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in data], "vec_id long, embedding array<double>")
+    found = neighbours.search(df.repartition(4), every=20, k=20).collect()
+    got, want = {(r.query_id, r.rank, r.vec_id) for r in found}, nearest(data, 20, 20)
+    assert {t[:2] for t in got} == {t[:2] for t in want} and len(found) == len(want)
+    few = neighbours.search(df.where("vec_id < 11 OR vec_id = 200"), every=20, k=20).collect()
+    assert {(r.query_id, r.rank) for r in few} == {(q, r) for q in (0, 200) for r in range(1, 12)}
+
+
 def test_pigeonhole_radii():
     for radius in range(0, 60):
         allowed = neighbours.Coder(np.zeros(1), np.zeros((1, 1)), 1.0, radius).radii()
