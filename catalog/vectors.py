@@ -63,7 +63,7 @@ _COSINE_THRESHOLD_SQL = f"""{with_views("vectors")}, {_UNIT}, {knn_ctes("unit",
 SELECT ref_id, cmp_id, round(s, 6) AS score FROM nn_s WHERE s >= 0.3"""
 
 
-def _ivf(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
+def _ivf(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     vectors = view(spark, sf_dir, "vectors")
     lists = K.list_count(vectors.count())
     index = I.build_vector_index(
@@ -77,7 +77,7 @@ def _ivf(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
     queries = K.unit_vectors(vectors)
     hits = K.ivf_knn_join(
         queries, index.vectors, index.centroids, K_NEAREST,
-        probes=lists if probes is None else probes, query_id="image_id", skip_self=True,
+        probes=lists if full else None, query_id="image_id", skip_self=True,
     )
     return hits.select(
         F.col("query_id").alias("ref_id"),
@@ -89,13 +89,12 @@ def _ivf(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
 
 def ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lists probed: must equal the exact join."""
-    return _ivf(spark, sf_dir, None)
+    return _ivf(spark, sf_dir, True)
 
 
 def ivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default probes; recall against the exact join is tested, SQL has no counterpart."""
-    lists = K.list_count(table(spark, sf_dir, "embeddings").count())
-    return _ivf(spark, sf_dir, K.probe_count(lists))
+    """Fitted probes; recall against the exact join is tested, SQL has no counterpart."""
+    return _ivf(spark, sf_dir, False)
 
 
 def candidate_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,8 @@ BROADCAST_CELLS = 4_000_000  # at most 32 MB of doubles
 SCORE_DIGITS, RANK_DIGITS = 6, 12
 # Least lists and default probes of the inverted-file index.
 MIN_LISTS, MOST_PROBES = 10, 32
+#: Queries on which the number of probes is fitted, and the recall they must reach (0.9 with a margin).
+FIT_QUERIES, FIT_RECALL = 400, 0.95
 
 _HITS = "query_id long, base_id long, score double"
 
@@ -211,7 +213,7 @@ def list_count(rows: int) -> int:
 
 
 def probe_count(lists: int, most: int = MOST_PROBES) -> int:
-    """Lists a query visits by default."""
+    """Lists a query visits by rule, where none are fitted."""
     return min(max(1, lists // 4), most)
 
 
@@ -262,6 +264,35 @@ def nearest_lists(
     return df.withColumn("centroid_id", F.explode(pick(doubles(F.col(vector)))))
 
 
+def fitted_probes(q: DataFrame, b: DataFrame, centroids: DataFrame, k: int, skip_self: bool) -> int:
+    """Lists a query must visit so that a sample of the queries keeps FIT_RECALL of its neighbours.
+
+    ``q`` has ``query_id, vec`` and ``b`` has ``base_id, vec, cell``. The sample is compared
+    with the whole base once; a neighbour counts from the place of its list among all lists.
+    """
+    lists = centroids.toPandas().sort_values("centroid_id", ignore_index=True)
+    sample = q.orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES).toPandas()
+    if not len(sample):
+        return probe_count(len(lists))
+    picked = q.sparkSession.createDataFrame(
+        [(int(i), [float(x) for x in v]) for i, v in zip(sample["query_id"], sample["vec"])],
+        "query_id long, vec array<double>",
+    )
+    near = knn_join(picked, b, k, vector="vec", skip_self=skip_self).select("query_id", "base_id")
+    wanted = near.join(b.select("base_id", "cell"), "base_id").groupBy("query_id").agg(F.collect_list("cell").alias("cells"))
+    cells = {r["query_id"]: r["cells"] for r in wanted.collect()}
+    matrix, at = _matrix(lists["centroid"]), {c: i for i, c in enumerate(lists["centroid_id"])}
+    places = []
+    for query, vec in zip(sample["query_id"], sample["vec"]):
+        order = np.argsort(-(matrix @ np.asarray(vec, np.float64)), kind="stable")
+        place = np.empty(len(order), int)
+        place[order] = np.arange(1, len(order) + 1)
+        places.extend(place[at[c]] for c in cells.get(query, []))
+    if not places:
+        return probe_count(len(lists))
+    return int(np.quantile(places, FIT_RECALL, method="higher"))
+
+
 def ivf_knn_join(
     queries: DataFrame,
     index: DataFrame,
@@ -278,18 +309,18 @@ def ivf_knn_join(
 
     ``index`` carries ``centroid_id``. A list longer than a block is split in
     salted parts which every query of that list visits, so a list that holds a
-    third of the index is searched by many tasks.
+    third of the index is searched by many tasks. Without ``probes`` their number is
+    fitted on a sample of the queries, so it grows with the lists as recall needs it.
     """
     lists = centroids.count()
-    probes = probe_count(lists) if probes is None else probes
-    q = nearest_lists(
-        _prepared(queries, query_id, vector, "query_id"), centroids, probes, "vec", "query_id"
-    ).withColumnRenamed("centroid_id", "cell")
+    q = _prepared(queries, query_id, vector, "query_id")
     b = index.filter(F.col(vector).isNotNull()).select(
         F.col(base_id).cast("long").alias("base_id"),
         doubles(F.col(vector)).alias("vec"),
         F.col("centroid_id").alias("cell"),
     )
+    probes = fitted_probes(q, b, centroids, k, skip_self) if probes is None else probes
+    q = nearest_lists(q, centroids, probes, "vec", "query_id").withColumnRenamed("centroid_id", "cell")
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         # one row per list

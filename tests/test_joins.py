@@ -156,6 +156,18 @@ def test_ivf_equals_exact_with_all_probes(spark, vectors):
     assert found > 0.7
 
 
+def test_ivf_recall_with_many_lists(spark):
+    rng = random.Random(8)
+    rows = [(i, f"/p/{i}", [rng.gauss(0, 1) for _ in range(32)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "index_id long, path string, embedding array<double>")
+    index = I.build_vector_index(df, lists=160)
+    queries = K.unit_vectors(df.filter("index_id % 5 = 0"))
+    pairs = lambda found: {(r.query_id, r.base_id) for r in found.collect()}
+    exact = pairs(K.knn_join(queries, index.vectors, 10, query_id="index_id", base_id="index_id"))
+    got = pairs(K.ivf_knn_join(queries, index.vectors, index.centroids, 10, query_id="index_id"))
+    assert len(got & exact) >= 0.9 * len(exact)
+
+
 def test_list_rules():
     assert K.list_count(2000) == 44 and K.list_count(30) == 7 and K.list_count(10**9) == 31622
     assert K.probe_count(4000, most=500) == 500
