@@ -7,6 +7,7 @@ tree grown on a small labelled table tells article text from the rest.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -29,17 +30,23 @@ OUTER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 SCOPE_TAGS = frozenset("article main section nav header footer aside form menu dialog div ul ol dl table td figure details blockquote body".split())
 
-# Words in class, id and role that name page furniture.
+# Words in class, id and role that name page furniture; each is a whole part of a name.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|"
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|sidebar|side|widget|related|recommend\w*|share|sharing|social|comment\w*|"
     r"disqus|repl(?:y|ies)|respond|discussion|menu|nav\w*|breadcrumb\w*|pagination|pager|toolbar|footer|header|masthead|"
-    r"copyright|navigation|complementary|contentinfo|search|tags|paywall|warning)(?:$|[\s_-])",
+    r"copyright|navigation|complementary|contentinfo|search|tags|paywall|warning",
     re.I,
 )
+#: Furniture in which an <article> is a teaser or a comment, not the page's own.
+FOREIGN = re.compile(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|widget|related|recommend\w*|comment\w*|disqus|repl(?:y|ies)|respond|discussion", re.I)
+#: Words that make a name say how a page is laid out ("has-sidebar", "side-by-side").
+LAYOUT = frozenset("has no with without by layout".split())
+#: Names of an article itself; beside one of them the WEAK words are subjects or styles ("post tags").
+OWN, WEAK = frozenset("post article entry hentry story".split()), frozenset("tags side search notice alert warning".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outer", "hinted", "inside", "page_has_main")
 
@@ -154,14 +161,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     out: list[tuple[str, int, bool, bool, bool]] = []
     text: list[str] = []
     linked: list[str] = []
-    scopes: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    scopes: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
     in_link = False
 
     def close() -> None:
         whole = " ".join("".join(text).split())
         if whole:
             _, outer, hinted, inside = scopes[-1]
-            out.append((whole, len("".join(linked).split()), outer, hinted, inside))
+            out.append((whole, len("".join(linked).split()), outer, hinted > 0, inside))
         text.clear()
         linked.clear()
 
@@ -199,7 +206,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if name not in BLOCK_TAGS and name not in SCOPE_TAGS:
             if not closing and name not in VOID_TAGS and _hinted(attributes) and name != "a":
                 close()  # furniture set in an inline element
-                scopes.append((name, scopes[-1][1], True, scopes[-1][3]))
+                scopes.append((name, scopes[-1][1], max(_hinted(attributes), scopes[-1][2]), scopes[-1][3]))
             elif closing and scopes[-1][0] == name:
                 close()
                 scopes.pop()
@@ -215,18 +222,35 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         elif name not in VOID_TAGS and (name in SCOPE_TAGS or _hinted(attributes)):
             _, outer, hinted, inside = scopes[-1]
             body = name in ("body", "html")
-            hinted = hinted or (not body and name not in MAIN_TAGS and _hinted(attributes)) or (name in MAIN_TAGS and inside and _hinted(attributes))
-            scopes.append((name, outer or name in OUTER_TAGS, hinted, inside or name in MAIN_TAGS))
+            own = 0 if body else _hinted(attributes)
+            if name in MAIN_TAGS and not inside:
+                # the page's own text: a wrapper counts if it is hidden or, for an article, holds those of others
+                outer = name == "article" and any(s[0] in OUTER_TAGS and s[0] != "form" for s in scopes)
+                hinted = hinted if hinted > (1 if name == "article" else 2) else 0
+                own = own if own > 2 else 0
+            scopes.append((name, outer or name in OUTER_TAGS, max(hinted, own), inside or name in MAIN_TAGS))
     close()
     return out
 
 
-def _hinted(attributes: str) -> bool:
-    if not attributes.strip():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(HINT.search(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(attributes))
+@functools.lru_cache(1 << 16)
+def _hinted(attributes: str) -> int:
+    """0: nothing said; 1: furniture; 2: furniture with articles of others; 3: hidden."""
+    level = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NOT_SHOWN.search(value)):
+            return 3
+        if name in ("class", "id", "role"):
+            tokens = value.lower().split()
+            own = not OWN.isdisjoint(tokens)
+            for token in tokens:
+                parts = re.split("[_-]+", token)
+                if not LAYOUT.isdisjoint(parts) or {"content", "wrap"} <= set(parts) or (own and token in WEAK):
+                    continue
+                if any(map(HINT.fullmatch, parts)):
+                    level = max(level, 2 if any(map(FOREIGN.fullmatch, parts)) else 1)
+    return level
 
 
 def main_text(page: str, nodes: list[tuple]) -> str:

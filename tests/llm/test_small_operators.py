@@ -125,6 +125,30 @@ def test_article_text():
     assert text_of(page) == "\n\n".join(want)
 
 
+WRAPPERS = (
+    'class="layout has-sidebar"', 'class="content-with-sidebar"', 'class="no-sidebar"', 'class="side-by-side"', 'class="post tags"',
+    'class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden="x"', 'class="overlay"', "class='content-sidebar-wrap'",
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ("main", "article"))
+def test_wrappers_are_not_furniture(wrapper, inner):
+    body = "word " * 60
+    page = f"<body><div {wrapper}><{inner}><p>{body}</p></{inner}></div><div class='footer'>(c) Site</div>"
+    assert text_of(page) == body.strip()
+
+
+def test_furniture_stays_furniture():
+    body, other = "word " * 60, "other " * 60
+    for wrapper in ('hidden', 'style="color:red; display: none"', 'class="cookie-notice"', 'id="comments"', 'class="related_posts"', 'class="box sidebar"'):
+        page = f"<body><main><p>{body}</p><div {wrapper}><p>{other}</p><article><p>{other}</p></article></div></main>"
+        assert text_of(page) == body.strip()
+    assert text_of(f"<body><form id='f'><article class='post comment-open'><p>{body}</p></article></form></body>") == body.strip()
+    page = f"<body><article><p>{body}</p></article><div class='related'><article><p>{other}</p></article></div><div hidden><main><p>{other}</p></main></div>"
+    assert text_of(page) == body.strip()
+
+
 def test_pages_without_article():
     body = "word " * 40
     page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div><p>{body}</p><p>{body}</p><div class='footer'>(c) Site</div>"
