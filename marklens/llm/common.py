@@ -95,6 +95,11 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
+def row_key(*columns: str):
+    """64-bit key of a row by these columns; null differs from every value."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+
 def n_words(column: str = "text"):
     """Native word count of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

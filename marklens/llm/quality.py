@@ -77,10 +77,10 @@ def measure(text: bytes, chars: int, cache: WordHashes) -> tuple[list[int], list
     ]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the base counts and ``features`` of every whole text.
 
-    A null text counts as empty: all counts 0.
+    A null text counts as empty: all counts 0. ``carried`` names long columns to hand on.
     """
 
     def run(batches):
@@ -91,15 +91,15 @@ def statistics(docs: DataFrame) -> DataFrame:
             found = [measure(t, k, cache) for t, k in zip(texts, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("doc_id", *carried)),
                     *(pa.array([f[0][i] for f in found], pa.int64()) for i in range(len(COUNTS))),
                     pa.array([f[1] for f in found], pa.list_(pa.float64())),
                 ],
-                ["doc_id", *COUNTS, "features"],
+                ["doc_id", *carried, *COUNTS, "features"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", *COUNTS))
+    narrow = docs.select(F.col("doc_id").cast("long"), *carried, F.col("text").cast("string"))
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", *carried, *COUNTS))
     return narrow.mapInArrow(run, f"{kinds}, features array<double>")
 
 
@@ -206,14 +206,16 @@ def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return fit(x, np.array([r[1] for r in sample], float))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carried: tuple[str, ...] = ()) -> DataFrame:
     """Base counts, rule verdict, score and ``kept`` per document row.
 
+    ``carried`` names long columns of ``docs`` to hand on.
+
     Edge cases: a null or empty text has no words and fails the base rules; repeated
     rows give repeated results; without labels of both kinds only the base rules (and
     the one label seen) decide; an empty table gives an empty result.
     """
-    stats = stored(statistics(docs), "quality-statistics")
+    stats = stored(statistics(docs, carried), "quality-statistics")
     model = train(stats, labels)
 
     def run(batches):
@@ -226,7 +228,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")
     )
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", *COUNTS))
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", *carried, *COUNTS))
     return (
         stats.mapInArrow(run, f"{kinds}, score double")
         .withColumn("base_failed", failed)
