@@ -1,11 +1,11 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by prefix-partitioned window hashes.
 
 A window is WINDOW consecutive words. Suffixes (word positions) are split by their first
 words into groups of bounded memory: seven words, or all twenty where a seven-word
-prefix is too frequent. Each group sorts its suffixes, which is the leaf order of its
-suffix tree, and reads the tree's deep internal nodes off the common prefixes of
-neighbours: a node at WINDOW words or deeper with several leaves is a repeat, and all
-but its earliest leaf are removed.
+prefix is too frequent. Each group sorts its windows by three 32-bit hashes of their
+words; equal neighbours are a repeat, and all but the earliest are removed. No tree is
+built: a word goes if some window over it repeats, so nodes deeper than WINDOW words
+would remove the same words, and hashes hold a window in 24 bytes.
 
 Before that, a first pass finds out which suffixes can repeat at all: every window is
 represented by the smallest of its 5-grams (its anchor), equal windows have equal
