@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licenses, mixing, neighbours, ngram_join, packing, quality, substring_dedup, warc
+from . import (
+    html_text, language, lexical, licenses, mixing, neighbours, ngram_join, packing, quality, simhash, substring_dedup,
+    variants, warc,
+)
 from .common import read
 
 
@@ -70,11 +73,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their likely right spelling."""
+    return variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in two bits at most."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_multi_index_hashing, op2_language_id, op3_ngram_jaccard, op4_license_scan, op5_html_extraction,
         op6_quality_rules, op7_warc, op8_source_mix, op9_substring_dedup, op10_best_fit_packing,
+        op11_lexical_search, op12_spelling_variants, op13_simhash_dedup,
     )
 }
 
@@ -111,4 +130,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
-ORACLE = {"op3_ngram_jaccard": _JACCARD, "op4_license_scan": licenses.oracle(), "op9_substring_dedup": _SUBSTRING}
+ORACLE = {
+    "op3_ngram_jaccard": _JACCARD,
+    "op4_license_scan": licenses.oracle(),
+    "op9_substring_dedup": _SUBSTRING,
+    "op11_lexical_search": lexical.oracle(),
+    "op12_spelling_variants": variants.oracle(),
+}
