@@ -25,6 +25,10 @@ BLOCK_TAGS = frozenset(
     "search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object select head title button canvas audio video xmp noembed noframes".split())
+#: Of these, what runs to the end of the page if it is not closed; others then hide nothing.
+TO_THE_END = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Only elements of other languages close themselves with a slash.
+FOREIGN_TAGS = frozenset("svg math".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -97,6 +101,48 @@ LABELLED = """
 2 0 45 0 45 0 0 0 0 0 1
 6 0 3 1 55 0 0 0 0 0 1
 7 0 70 0 2 1 0 0 0 0 1
+5 0 0 0 32 0 0 0 0 0 1
+4 0 6 1 25 0 0 0 0 0 1
+3 0 8 0.9 40 0 0 0 0 0 1
+6 0 9 1 9 0 0 0 0 0 1
+32 0 5 0 32 0 0 0 0 0 1
+32 0 32 0 32 0 0 0 0 0 1
+32 0 32 0 3 0 0 0 0 0 1
+25 0 25 0.1 5 1 0 0 0 0 1
+20 0 0 0 20 0 0 0 0 0 1
+20 0 20 0 20 0 0 0 0 0 1
+20 0.2 20 0 0 0 0 0 0 0 1
+60 0 1 1 60 0 0 0 0 0 1
+60 0 60 0 60 0 0 0 0 0 1
+60 0 60 0 40 0 0 0 0 0 1
+14 0.3 20 0 20 0 0 0 0 0 1
+10 0 30 0 30 0 0 0 0 0 1
+9 0 9 0 9 0 0 0 0 0 1
+4 0 22 0 24 0 0 0 0 0 1
+2 0 30 0 18 0 0 0 0 0 1
+1 1 0 0 60 0 0 0 0 0 0
+2 1 0 0 20 0 0 0 0 0 0
+2 1 0 0 40 0 0 0 0 0 0
+3 1 0 0 120 0 0 0 0 0 0
+1 1 2 0 8 0 0 0 0 0 0
+2 1 60 0 0 0 0 0 0 0 0
+3 1 120 0 2 1 0 0 0 0 0
+2 1 40 0 30 0 0 0 0 0 0
+40 0 2 1 40 0 0 0 0 0 1
+60 0 60 0 0 0 0 0 0 0 1
+60 0 0 0 60 0 0 0 0 0 1
+120 0 130 0 0 0 0 0 0 0 1
+120 0 1 1 100 0 0 0 0 0 1
+150 0.05 3 0 140 0 0 0 0 0 1
+15 0 14 0 0 0 0 0 0 0 1
+15 0 1 1 14 0 0 0 0 0 1
+8 0 8 0 3 1 0 0 0 0 1
+8 0 4 0 7 0 0 0 0 0 1
+5 0 9 0 2 0 0 0 0 0 1
+4 1 60 0 3 1 0 0 0 0 0
+5 0.8 32 0 0 0 0 0 0 0 0
+7 0.9 1 1 30 0 0 0 0 0 0
+20 0.9 20 0 20 0 0 0 0 0 0
 20 0 0 0 0 0 0 0 0 0 1
 3 0 0 0 0 0 0 0 0 0 1
 30 0 40 0 40 0 1 0 0 0 0
@@ -110,9 +156,18 @@ LABELLED = """
 """
 
 
+#: Features that are asked first: a block for which one holds is never main text. So the
+#: tree is monotone in them, whatever the numbers around a block are.
+FURNITURE = (FEATURES.index("outer"), FEATURES.index("hinted"))
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> list[tuple]:
     """Decision tree by Gini impurity as a list of (feature, threshold, left, right, value)."""
     nodes: list[tuple] = []
+    for j in FURNITURE:
+        at = len(nodes)
+        nodes += [(j, 0.5, at + 2, at + 1, 0.5), (-1, 0.0, -1, -1, 0.0)]
+        x, y = x[x[:, j] == 0], y[x[:, j] == 0]
 
     def build(rows: np.ndarray, left_depth: int) -> int:
         at = len(nodes)
@@ -163,6 +218,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     linked: list[str] = []
     scopes: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
     in_link = False
+    unclosed: set[str] = set()
 
     def close() -> None:
         whole = " ".join("".join(text).split())
@@ -192,14 +248,18 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW_TAGS and not closing:
-            close_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if name in FOREIGN_TAGS and attributes.rstrip().endswith("/"):
+                continue
+            close_tag = None if name in unclosed else _closing(name).search(page, at)
+            if not close_tag:
+                unclosed.add(name)  # nor is there one further on
             if name == "head" and not close_tag:
                 close_tag = re.compile(r"(?=<body)", re.I).search(page, at)
-            if not attributes.rstrip().endswith("/"):
-                at = close_tag.end() if close_tag else (at if name in ("head", "button", "select", "svg") else end)
+            at = close_tag.end() if close_tag else end if name in TO_THE_END else at
             continue
         if name == "a":
             in_link = not closing
+            linked.append(" ")  # neighbouring links are words of their own
         elif name == "br":
             text.append(" ")
             linked.append(" ")
@@ -233,6 +293,12 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    """Closing tag of one of the RAW_TAGS."""
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
 @functools.lru_cache(1 << 16)
 def _hinted(attributes: str) -> int:
     """0: nothing said; 1: furniture; 2: furniture with articles of others; 3: hidden."""

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import n_words, stored
 
-#: Ranges of the seeded order that are summed up before single documents are looked at.
-RANGES = 4096
+#: Bits of the seeded order by which documents are summed up before single ones are looked at.
+RANGE_BITS = 16
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, limit: float) -> list[float]:
@@ -110,11 +110,12 @@ def mix(
     ``members`` is an array of source names (null is a source too), ``quotas`` the
     words wanted by source. Patterns and quotas are sums by source set, so the driver
     sees one row for each set of sources and never a document. A document is taken
-    whole, once more than another of its pattern at most; rows that agree in ``doc_id``
-    and size are chosen together. Empty documents take 0.
+    whole, once more than another of its pattern at most. Rows that agree in ``doc_id``
+    and size are chosen together, but for those at which the quota is reached: of them
+    as many rows as it asks for. Empty documents take 0.
     """
     key = F.to_json(F.sort_array(F.array_distinct(members)), {"ignoreNullFields": "false"})
-    sized = docs.withColumn("size", size).withColumn("_pattern", key)
+    sized = docs.withColumn("size", size).withColumn("_pattern", key).withColumn("_id", F.monotonically_increasing_id())
     sums = {r[0]: int(r[1]) for r in sized.groupBy("_pattern").agg(F.sum("size")).collect()}
     sources = {key: tuple(json.loads(key)) for key in sums}
     taken = route({sources[k]: n for k, n in sums.items()}, quotas, repeats)
@@ -123,7 +124,7 @@ def mix(
     # one row per set of sources, as above
     plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, _times long, _rest long"))
     ranked = sized.join(plan, "_pattern", "left").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
-    ranked = ranked.withColumn("_range", F.shiftrightunsigned("_hash", 52))
+    ranked = ranked.withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGE_BITS))
     before = Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
         ranked.where("_rest > 0")
@@ -141,24 +142,45 @@ def mix(
     )
     order = Window.partitionBy("_pattern").orderBy("_hash", "doc_id", "size")
     inside = inside.withColumn("_upto", F.col("_before") + F.sum(F.col("size") * F.col("_rows")).over(order))
-    chosen = inside.where("_upto - size * _rows / 2 <= _rest").select(
-        "_pattern", "_hash", F.col("size").alias("_size"), F.lit(True).alias("_in"),
-        F.col("doc_id").alias("_doc"),
-    )
+    start = F.col("_upto") - F.col("size") * F.col("_rows")
+    wanted = F.floor((F.col("_rest") - start) / F.col("size") + 0.5)
+    inside = inside.where("size > 0").withColumn("_take", F.least("_rows", F.greatest(wanted, F.lit(0)))).where("_take > 0")
+    group = ["_pattern", "_hash", "size", "_doc"]
+    inside = stored(inside.withColumnRenamed("doc_id", "_doc").select(*group, "_rows", "_take"), "mix-edge")
+    chosen = inside.where("_take = _rows").select(*(F.col(c).alias(f"{c}_2") for c in group), F.lit(True).alias("_in"))
+    part = _first_rows(ranked.where("_range = _edge"), inside.where("_take < _rows"))
     ranked = ranked.join(
         chosen,
-        (ranked["_pattern"] == chosen["_pattern"])
+        (ranked["_pattern"] == chosen["_pattern_2"])
         & (ranked["_range"] == ranked["_edge"])
-        & (ranked["_hash"] == chosen["_hash"])
-        & ranked["doc_id"].eqNullSafe(chosen["_doc"])
-        & (ranked["size"] == chosen["_size"]),
+        & (ranked["_hash"] == chosen["_hash_2"])
+        & ranked["doc_id"].eqNullSafe(chosen["_doc_2"])
+        & (ranked["size"] == chosen["size_2"]),
         "left",
-    ).drop(chosen["_pattern"], chosen["_hash"])
-    extra = F.when((F.col("_range") < F.col("_edge")) | F.coalesce("_in", F.lit(False)), 1).otherwise(0)
+    ).join(part, "_id", "left")
+    extra = F.when((F.col("_range") < F.col("_edge")) | F.coalesce("_in", "_in_part", F.lit(False)), 1).otherwise(0)
     times = F.coalesce("_times", F.lit(0)) + F.when(F.col("_rest") > 0, extra).otherwise(0)
     return ranked.withColumn("taken", (F.col("size") * times).cast("long")).drop(
-        "_pattern", "_times", "_rest", "_hash", "_range", "_edge", "_before", "_size", "_in", "_doc"
-    )
+        "_pattern", "_times", "_rest", "_hash", "_range", "_edge", "_before", "_in", "_in_part", "_id",
+        "_pattern_2", "_hash_2", "size_2", "_doc_2",
+    )
+
+
+def _first_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_id, _in_part) of the first ``_take`` rows of each group; at most one group a pattern.
+
+    Rows are numbered within the partitions that their ids name, so a group of many equal
+    rows is not one task.
+    """
+    asked = F.broadcast(groups.select("_pattern", F.col("_hash").alias("_hash_2"), F.col("size").alias("size_2"), "_doc", "_take"))
+    same = (F.col("_hash") == F.col("_hash_2")) & (F.col("size") == F.col("size_2")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    own = rows.join(asked, "_pattern").where(same).select("_pattern", "_id", "_take", F.shiftright("_id", 33).alias("_part"))
+    before = Window.partitionBy("_pattern").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("_pattern", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_pattern", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_pattern", "_part").orderBy("_id"))
+    numbered = own.withColumn("_place", place).join(starts, ["_pattern", "_part"])
+    return numbered.where("_start + _place <= _take").select("_id", F.lit(True).alias("_in_part"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0) -> list[tuple]:

@@ -43,8 +43,9 @@ def _bytes_of() -> dict[str, int]:
 class Encoder:
     """Ids of texts by a byte-level tokenizer file, as little-endian unsigned 32-bit.
 
-    The file's own vocabulary is put behind a faster merge loop; texts that hold one of
-    its special tokens go through the file's tokenizer itself.
+    The file's own vocabulary is put behind a faster merge loop. Texts that hold one of
+    its special tokens go through the file's tokenizer itself, and so do those on which
+    the fast loop gives up (a run of about a million blanks).
     """
 
     def __init__(self, path: str):
@@ -66,13 +67,21 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._plainly(text)
         data = text.encode()
         gaps = sum(map(data.count, _ASCII_SPACE))
         single = gaps == len(data.split()) - 1 and not any(s in data for s in _OTHER_SPACE)
-        ids = (self.single if single else self.any).encode_ordinary(text)
+        try:
+            ids = (self.single if single else self.any).encode_ordinary(text)
+        except BaseException as error:  # the loop's panic is no Exception
+            if type(error).__name__ != "PanicException":
+                raise
+            return self._plainly(text)
         return np.array(ids, "<u4").tobytes()
 
+    def _plainly(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document with an end id 0.
@@ -105,9 +114,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Least number of bins that any packing needs, by dual feasible functions."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def fewest_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """The same bound over all pieces together; the driver sees one count per length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        count[length] = n
+    return _bound(count, capacity)
+
+
+def _bound(count: np.ndarray, capacity: int) -> int:
+    """Bound for so many lengths of each size."""
     number = np.concatenate([[0], np.cumsum(count)])
     volume = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
     # Martello and Toth: over capacity - a counts as a whole bin, below a as nothing

@@ -257,9 +257,13 @@ def kept_words(text: bytes, runs: bytes | None) -> tuple[list[bytes], int]:
     return out + words[at:], len(words)
 
 
-def _joined(docs: DataFrame, group: int) -> DataFrame:
-    runs = removed_runs(docs, group)
-    return docs.join(runs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == runs["_doc"], "left").drop("_doc")
+def _joined(docs: DataFrame, rows: DataFrame, group: int) -> DataFrame:
+    """``rows`` (with the document's number ``_doc``) and the runs removed there."""
+    return rows.join(removed_runs(docs, group), "_doc", "left").drop("_doc")
+
+
+def _number():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc")
 
 
 def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -282,7 +286,8 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _joined(narrow, group).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = narrow.select("doc_id", "text", _number())
+    return _joined(narrow, rows, group).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -291,19 +296,21 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     A text that loses words becomes its kept words joined by blanks, others stay as they
     are. ``n_chars``, where there is such a column, is counted again.
     """
-    narrow = docs.select(*[F.col(c) for c in docs.columns])
-    names = [f.name for f in narrow.schema]
+    names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for batch in slices(batches, 256):
+            columns = batch.column("_row").flatten()
             texts = []
-            for text, runs in zip(raw(batch, "text"), batch.column("_runs").to_pylist(), strict=True):
+            for text, runs in zip(columns[at].cast(pa.binary()).to_pylist(), batch.column("_runs").to_pylist(), strict=True):
                 texts.append(text if not runs else b" ".join(kept_words(text or b"", runs)[0]))
-            yield batch.select(names).set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = _joined(narrow, group).mapInArrow(run, narrow.schema)
+    rows = docs.select(F.struct(*names).alias("_row"), _number())  # no name of the caller's meets one of ours
+    out = _joined(docs.select("doc_id", "text"), rows, group).select("_row", "_runs").mapInArrow(run, docs.schema)
     if "n_chars" in names:
-        kind = narrow.schema["n_chars"].dataType
+        kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
-    return out.select(*names)
+    return out

@@ -109,3 +109,18 @@ def test_partitions_exchange_documents(documents, spark):
 
 def test_empty_table(documents):
     assert packing.packed_documents(documents([]), PATH).collect() == []
+
+
+def test_very_long_runs(tokenizer):
+    encode = packing.Encoder(PATH)
+    for text in (" " * 2_000_000 + "x", "\u3000" * 1_500_000 + "x", "a" * 300_000):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == want
+
+
+def test_bound_over_all_pieces(documents):
+    docs = documents([(i, "word " * (i * 37 % 900)) for i in range(300)])
+    packed = packing.packed_documents(docs, PATH).cache()
+    least = packing.fewest_sequences(packed)
+    assert least == packing.lower_bound(np.array([r.length for r in packed.collect()]))
+    assert least <= packed.select("sequence_id").distinct().count() <= 1.02 * least + 1
