@@ -20,10 +20,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.unit_vectors(view(spark, sf_dir, "vectors"))
 
 
-def neighbours(vectors: DataFrame, k: int = K_NEAREST, metric: str = "ip") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K_NEAREST, metric: str = "ip", **options) -> DataFrame:
     """Every image's nearest other images as ``ref_id, cmp_id, score, rank``."""
     hits = K.knn_join(
-        vectors, vectors, k, metric, query_id="image_id", base_id="image_id", skip_self=True
+        vectors, vectors, k, metric, query_id="image_id", base_id="image_id", skip_self=True, **options
     )
     return hits.select(
         F.col("query_id").alias("ref_id"),
@@ -47,18 +47,32 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_vectors(spark, sf_dir), metric="l2")
 
 
+def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``knn_exact`` through pivot partitions: nothing of the tables is broadcast."""
+    return neighbours(_vectors(spark, sf_dir), broadcast_cells=0)
+
+
+def knn_l2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_vectors(spark, sf_dir), metric="l2", broadcast_cells=0)
+
+
 _KNN_L2_SQL = f"""{with_views("vectors")}, {_UNIT}, {knn_ctes("unit", K_NEAREST, metric="l2")}
 SELECT ref_id, cmp_id, score, rank FROM nn"""
 
 
-def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_threshold(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Every pair of images with a cosine of at least 0.3."""
     vectors = _vectors(spark, sf_dir)
     return K.vector_join(
-        vectors, vectors, min_score=0.3, query_id="image_id", base_id="image_id", skip_self=True
+        vectors, vectors, min_score=0.3, query_id="image_id", base_id="image_id", skip_self=True, **options
     ).select(F.col("query_id").alias("ref_id"), F.col("base_id").alias("cmp_id"), "score")
 
 
+def cosine_threshold_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through pivot partitions."""
+    return cosine_threshold(spark, sf_dir, broadcast_cells=0)
+
+
 _COSINE_THRESHOLD_SQL = f"""{with_views("vectors")}, {_UNIT}, {knn_ctes("unit", 1)}
 SELECT ref_id, cmp_id, round(s, 6) AS score FROM nn_s WHERE s >= 0.3"""
 
@@ -217,6 +231,9 @@ QUERIES = {
     "knn_exact": knn_exact,
     "knn_l2": knn_l2,
     "cosine_threshold": cosine_threshold,
+    "knn_pivots": knn_pivots,
+    "knn_l2_pivots": knn_l2_pivots,
+    "cosine_threshold_pivots": cosine_threshold_pivots,
     "ivf_full_probe": ivf_full_probe,
     "ivf_knn": ivf_knn,
     "consensus_strong": consensus_strong,
@@ -230,6 +247,9 @@ ORACLE = {
     "knn_exact": _KNN_SQL,
     "knn_l2": _KNN_L2_SQL,
     "cosine_threshold": _COSINE_THRESHOLD_SQL,
+    "knn_pivots": _KNN_SQL,
+    "knn_l2_pivots": _KNN_L2_SQL,
+    "cosine_threshold_pivots": _COSINE_THRESHOLD_SQL,
     "ivf_full_probe": _KNN_SQL,
     "consensus_strong": _consensus_sql(0.6),
     "consensus_weak": _consensus_sql(0.2),

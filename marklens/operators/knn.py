@@ -1,11 +1,11 @@
 """Nearest-neighbour and threshold joins over vectors.
 
-Both sides are cut into blocks of a few thousand rows. A task holds one query
-block and one base block, multiplies them with numpy and hands on only the best
-``k`` rows per query (or the rows over a threshold); the partial answers meet in
-a top-k. Answers are exact, and no id or cluster can make a task larger than two
-blocks. A query side that is proven small is broadcast instead, so the base is
-read once and not shuffled.
+A query side that is proven small is broadcast, so the base is read once and not
+shuffled. Beyond that the base is partitioned by pivots, and a query goes only to the
+partitions whose distance bound may beat what it has (see ``pivots``). A task holds one
+block of queries and one of base rows, multiplies them with numpy and hands on only the
+best ``k`` rows per query (or the rows over a threshold); the partial answers meet in
+a top-k. Answers are exact, and no id or cluster can make a task larger than two blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marklens.functions.vector import doubles, l2_norm, normalised
 from marklens.operators.grouping import top_k
+from marklens.operators.pivots import pivot_hits
 from marklens.session import fits
 
 BLOCK_ROWS = 4096
@@ -130,7 +131,7 @@ def _hits_broadcast(queries, base, k, metric, min_score, skip_self) -> DataFrame
     return base.mapInPandas(scan, _HITS)
 
 
-def _hits_blocked(queries, base, k, metric, min_score, skip_self) -> DataFrame:
+def hits_of_cells(queries, base, k, metric, min_score, skip_self) -> DataFrame:
     """Both sides carry ``cell`` columns; rows of equal cells meet."""
     cells = [c for c in queries.columns if c.startswith("cell")]
 
@@ -146,10 +147,6 @@ def _hits_blocked(queries, base, k, metric, min_score, skip_self) -> DataFrame:
     return queries.groupBy(*cells).cogroup(base.groupBy(*cells)).applyInPandas(meet, _HITS)
 
 
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
-
-
 def vector_join(
     queries: DataFrame,
     base: DataFrame,
@@ -161,11 +158,15 @@ def vector_join(
     vector: str = "embedding",
     skip_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
+    copies: list | None = None,
 ) -> DataFrame:
     """Exact top-k and/or threshold join: ``query_id, base_id, score[, rank]``.
 
     ``metric`` is ``ip`` (inner product, larger is better) or ``l2`` (squared
-    distance, smaller is better; ``min_score`` then is the largest distance).
+    distance, smaller is better; ``min_score`` then is the largest distance). A query side
+    of more than ``broadcast_cells`` numbers goes through pivot partitions; ``copies``
+    then receives the number of partitions visited, summed over the queries, per round.
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric: {metric}")
@@ -179,19 +180,10 @@ def vector_join(
     head = q.select(F.size("vec").alias("n")).first()
     if head is None:
         hits = q.sparkSession.createDataFrame([], _HITS)
-    elif fits(q, BROADCAST_CELLS // max(head["n"], 1)):
+    elif fits(q, broadcast_cells // max(head["n"], 1)):
         hits = _hits_broadcast(q, b, k, metric, floor, skip_self)
     else:
-        n_q, n_b = _blocks(q.count(), block_rows), _blocks(b.count(), block_rows)
-        q = (
-            q.withColumn("cell_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
-            .withColumn("cell_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)).cast("array<long>")))
-        )
-        b = (
-            b.withColumn("cell_b", F.pmod(F.xxhash64("base_id"), F.lit(n_b)))
-            .withColumn("cell_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
-        )
-        hits = _hits_blocked(q, b, k, metric, floor, skip_self)
+        hits = pivot_hits(q, b, k, metric, floor, skip_self, block_rows, copies=copies)
     return _ranked(hits, k, metric)
 
 
@@ -342,5 +334,5 @@ def ivf_knn_join(
 
     q = spread(q, "cell_q", "_nq", "cell_b", "_nb", "query_id")
     b = spread(b, "cell_b", "_nb", "cell_q", "_nq", "base_id")
-    hits = _hits_blocked(q, b, k, "ip", None, skip_self)
+    hits = hits_of_cells(q, b, k, "ip", None, skip_self)
     return _ranked(hits, k, "ip")
