@@ -39,40 +39,40 @@ FROM {embeddings}""",
     ),
     "logo_pixels": _PIXELS.format(key="l_partkey"),
     "files": """
-SELECT concat('/logos/', source, '/', CAST(doc_id AS STRING), '.txt') AS path,
+SELECT concat('/logos/', source, '/', CAST(doc_id AS STRING), '/', CAST(doc_id % 2 AS STRING), '.txt') AS path,
        CAST(length(text) AS BIGINT) AS length, text AS content
 FROM {documents}""",
     "scores": """
-SELECT l_suppkey % 20 AS ref_id, l_partkey AS cmp_id,
+SELECT l_suppkey AS ref_id, l_partkey AS cmp_id,
        max(round(l_quantity * 2, 2)) AS text_similarity,
        max(round(l_discount * 1000, 2)) AS color_similarity,
        max(round(l_tax * 1250, 2)) AS vit_similarity
-FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey""",
+FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "match_counts": """
-SELECT l_suppkey % 20 AS ref_id, l_partkey % 600 AS cmp_id,
+SELECT l_suppkey AS ref_id, l_partkey AS cmp_id,
        CASE WHEN l_linenumber % 3 = 0 THEN 'SIFT'
             WHEN l_linenumber % 3 = 1 THEN 'ORB' ELSE 'AKAZE' END AS method,
        max(CAST(l_quantity AS INT)) AS good_matches,
        max(CAST(floor(l_quantity * round(l_discount * 100) / 10) AS INT)) AS inliers,
        CAST(max(l_partkey % 220) AS INT) AS kp1, CAST(max(l_suppkey % 180) AS INT) AS kp2
 FROM {lineitem}
-GROUP BY l_suppkey % 20, l_partkey % 600,
+GROUP BY l_suppkey, l_partkey,
          CASE WHEN l_linenumber % 3 = 0 THEN 'SIFT'
               WHEN l_linenumber % 3 = 1 THEN 'ORB' ELSE 'AKAZE' END""",
     "observations": """
-SELECT l_suppkey % 20 AS ref_id, l_partkey % 300 AS cmp_id,
+SELECT l_suppkey AS ref_id, l_partkey AS cmp_id,
        CAST(l_linenumber % 5 AS INT) AS step,
        max(round(l_discount * 10, 4)) AS mv, max(round(l_tax * 12.5, 4)) AS em
-FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey % 300, CAST(l_linenumber % 5 AS INT)""",
+FROM {lineitem} GROUP BY l_suppkey, l_partkey, CAST(l_linenumber % 5 AS INT)""",
     "contours": """
-SELECT l_suppkey % 20 AS ref_id, l_partkey % 300 AS cmp_id,
+SELECT l_suppkey AS ref_id, l_partkey AS cmp_id,
        CAST(l_linenumber % 5 AS INT) AS c1, CAST(CAST(l_quantity AS INT) % 5 AS INT) AS c2,
-       max((l_suppkey % 20 * 7 + l_linenumber % 5 * 13) % 50 + 1) AS area1,
-       max((l_partkey % 300 * 5 + CAST(l_quantity AS INT) % 5 * 11) % 50 + 1) AS area2,
+       max((l_suppkey * 7 + l_linenumber % 5 * 13) % 50 + 1) AS area1,
+       max((l_partkey * 5 + CAST(l_quantity AS INT) % 5 * 11) % 50 + 1) AS area2,
        min(round(l_discount * 10, 4)) AS hu,
        min(CASE WHEN l_orderkey % 4 > 0 THEN round(l_tax * 12.5, 4) END) AS shape
 FROM {lineitem}
-GROUP BY l_suppkey % 20, l_partkey % 300, CAST(l_linenumber % 5 AS INT),
+GROUP BY l_suppkey, l_partkey, CAST(l_linenumber % 5 AS INT),
          CAST(CAST(l_quantity AS INT) % 5 AS INT)""",
     "journal_lines": """
 WITH o AS (

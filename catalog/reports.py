@@ -348,20 +348,20 @@ def dedup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dedup_files(view(spark, sf_dir, "files"))
 
 
-_BYTES = "hex(encode(content))"
+# whole contents, grouped as they are; a signature is the size and the base name
 _DEDUP = f"""{with_views("files")},
-h AS (SELECT path, length, {_BYTES} AS hx, length({_BYTES}) // 2 AS nb FROM files),
-k AS (SELECT path, length, CASE WHEN nb <= 8192 THEN hx ELSE concat(substr(hx, 1, 16384), '|',
-        CASE WHEN nb > 16384 THEN substr(hx, (nb // 2) * 2 + 1, 16384) ELSE '' END, '|', substr(hx, (nb - 8192) * 2 + 1, 16384)) END AS key FROM h)"""
-_DEDUP_SQL = f"""{_DEDUP} SELECT min(path) AS path, length FROM k GROUP BY length, key"""
+s AS (SELECT length, parse_filename(path) AS name, content, min(path) AS path, count(*) AS n FROM files GROUP BY ALL),
+k AS (SELECT length, content, min(path) AS path, count(*) AS n FROM s GROUP BY length, content)"""
+_DEDUP_SQL = f"""{_DEDUP} SELECT path, length FROM k"""
 
 
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dedup_report(view(spark, sf_dir, "files"))
 
 
-_DEDUP_REPORT_SQL = f"""{_DEDUP}, g AS (SELECT length, key, count(*) AS n FROM k GROUP BY length, key)
-SELECT sum(n)::BIGINT AS files, 0::BIGINT AS signature_duplicates, (sum(n) - count(*))::BIGINT AS content_duplicates, count(*) AS unique_files FROM g"""
+_DEDUP_REPORT_SQL = f"""{_DEDUP}
+SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files) - (SELECT count(*) FROM s) AS signature_duplicates,
+  (SELECT count(*) FROM s) - (SELECT count(*) FROM k) AS content_duplicates, (SELECT count(*) FROM k) AS unique_files"""
 
 
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:

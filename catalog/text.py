@@ -84,10 +84,10 @@ _BAND = """CASE WHEN {s} >= 90 THEN 'Very High Similarity - Texts are nearly ide
 
 # word-level parts shared by the two word-based scores
 _WORD_PARTS = """
-w0 AS (SELECT text, list_filter(string_split(lower(trim(text)), ' '), lambda x: x <> '') AS al FROM t),
-w AS (SELECT text, list_filter(al, lambda x, i: list_position(al, x) = i) AS ws FROM w0),
-v AS (SELECT DISTINCT unnest(ws) AS word FROM w),
-q AS (SELECT a.word AS w1, b.word AS w2, length(a.word) AS l1, length(b.word) AS l2,
+w0 AS MATERIALIZED (SELECT text, list_filter(string_split(lower(trim(text)), ' '), lambda x: x <> '') AS al FROM t),
+w AS MATERIALIZED (SELECT text, list_filter(al, lambda x, i: list_position(al, x) = i) AS ws FROM w0),
+v AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS word FROM w),
+q AS MATERIALIZED (SELECT a.word AS w1, b.word AS w2, length(a.word) AS l1, length(b.word) AS l2,
              least(length(a.word), length(b.word)) AS mn, greatest(length(a.word), length(b.word)) AS mx,
              jaro_winkler_similarity(a.word, b.word) AS jw, levenshtein(a.word, b.word) AS lev,
              len(list_intersect(list_distinct(string_split(a.word, '')), list_distinct(string_split(b.word, ''))))::DOUBLE
@@ -101,7 +101,7 @@ q AS (SELECT a.word AS w1, b.word AS w2, length(a.word) AS l1, length(b.word) AS
 
 _V1_CORE = f"""
 {_WORD_PARTS},
-ws AS (SELECT w1, w2, greatest(
+ws AS MATERIALIZED (SELECT w1, w2, greatest(
          CASE WHEN w1 <> w2 AND mn >= 4 THEN CASE WHEN jw >= 0.8 THEN jw * 85 WHEN jw >= 0.6 THEN jw * 70 ELSE 0 END ELSE 0 END,
          CASE WHEN o >= 60 THEN o * 0.8::DOUBLE WHEN o >= 40 THEN o * 0.6::DOUBLE ELSE 0 END,
          CASE WHEN suf >= 3 THEN suf::DOUBLE / mn * 70 ELSE 0 END,
@@ -110,7 +110,7 @@ ws AS (SELECT w1, w2, greatest(
               CASE WHEN lev <= 2 AND mx >= 5 THEN (mx - lev)::DOUBLE / mx * 75
                    WHEN lev <= 1 THEN (mx - lev)::DOUBLE / mx * 80 ELSE 0 END ELSE 0 END,
          CASE WHEN mn >= 4 AND (contains(w1, w2) OR contains(w2, w1)) THEN mn::DOUBLE / mx * 60 ELSE 0 END) AS sc FROM q),
-tp AS (SELECT a.text AS text1, b.text AS text2, a.ws AS ws1, b.ws AS ws2, len(a.ws) AS n1, len(b.ws) AS n2,
+tp AS MATERIALIZED (SELECT a.text AS text1, b.text AS text2, a.ws AS ws1, b.ws AS ws2, len(a.ws) AS n1, len(b.ws) AS n2,
               CASE WHEN len(a.ws) = 1 AND len(b.ws) = 1 THEN 95
                    WHEN len(list_intersect(a.ws, b.ws))::DOUBLE / greatest(len(a.ws), len(b.ws)) > 0.7 THEN 90
                    ELSE 70 END AS eq,
@@ -118,12 +118,12 @@ tp AS (SELECT a.text AS text1, b.text AS text2, a.ws AS ws1, b.ws AS ws2, len(a.
        FROM w a, w b WHERE len(a.ws) > 0 AND len(b.ws) > 0),
 e1 AS (SELECT text1, text2, ws2, eq, unnest(ws1) AS w1 FROM tp),
 e2 AS (SELECT text1, text2, eq, w1, unnest(ws2) AS w2 FROM e1),
-b1 AS (SELECT text1, text2, e2.w1, max(CASE WHEN e2.w1 = e2.w2 THEN greatest(sc, eq) ELSE sc END) AS best
+b1 AS MATERIALIZED (SELECT text1, text2, e2.w1, max(CASE WHEN e2.w1 = e2.w2 THEN greatest(sc, eq) ELSE sc END) AS best
        FROM e2 JOIN ws ON e2.w1 = ws.w1 AND e2.w2 = ws.w2 GROUP BY text1, text2, e2.w1),
 av AS (SELECT text1, text2, avg(best) AS m FROM b1 GROUP BY text1, text2),
-raw AS (SELECT tp.text1, tp.text2, m * 0.7::DOUBLE + ov * 0.3::DOUBLE AS f, least(n1, n2)::DOUBLE / greatest(n1, n2) AS r
+raw AS MATERIALIZED (SELECT tp.text1, tp.text2, m * 0.7::DOUBLE + ov * 0.3::DOUBLE AS f, least(n1, n2)::DOUBLE / greatest(n1, n2) AS r
         FROM tp JOIN av ON tp.text1 = av.text1 AND tp.text2 = av.text2),
-v1 AS (SELECT text1, text2, round(least(CASE WHEN r < 0.5 THEN f * (r * 0.5::DOUBLE + 0.5::DOUBLE) ELSE f END, 99.5), 2) AS s FROM raw)"""
+v1 AS MATERIALIZED (SELECT text1, text2, round(least(CASE WHEN r < 0.5 THEN f * (r * 0.5::DOUBLE + 0.5::DOUBLE) ELSE f END, 99.5), 2) AS s FROM raw)"""
 
 _TEXT_V1_SQL = f"""
 {_TEXTS},
@@ -222,25 +222,14 @@ def _sql_clean(expr: str, lead_ins, once: bool) -> str:
     return out
 
 
-# Lead-ins of the extractors, as the SQL sees them.
-_SHORT = ("The text in the image reads:", "The text in the image is:")
-_LONG = (
-    "The text in the image reads:", "The text in the image is:", "The image contains the text:",
-    "I can see the text:", "The text shown is:", "Text in image:", "Image text:",
-    "The text visible in the image is:", "Looking at the image, the text says:",
-)
-_SINGLE, _DOUBLE = "'", '"'
-_QUOTES = ", ".join(
-    _SINGLE + q.replace(_SINGLE, 2 * _SINGLE) + _SINGLE
-    for q in (2 * _DOUBLE, 2 * _SINGLE, 4 * _DOUBLE, 4 * _SINGLE)
-)
+_QUOTES = ", ".join("'" + q.replace("'", "''") + "'" for q in T.EMPTY_QUOTES)
 _OCR_CLEAN_SQL = f"""
 {with_views("ocr")},
 s AS (SELECT conv_id, turn,
              regexp_replace(regexp_replace(coalesce(raw_text, ''), '^\\s+', ''), '\\s+$', '') AS tx FROM ocr),
 u AS (SELECT *, CASE WHEN tx IN ({_QUOTES}) THEN '' ELSE tx END AS tq FROM s),
-c AS (SELECT conv_id, turn, {_sql_clean("tq", _SHORT, False)} AS clean_short,
-             {_sql_clean("tx", _LONG, True)} AS clean_long FROM u),
+c AS (SELECT conv_id, turn, {_sql_clean("tq", T.LEAD_INS_SHORT, False)} AS clean_short,
+             {_sql_clean("tx", T.LEAD_INS_LONG, True)} AS clean_long FROM u),
 n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(clean_short), '^\\s+', ''), '\\s+$', ''),
                                '\\s+', ' ', 'g') AS normalised FROM c),
 i AS (SELECT conv_id, turn, unnest(string_split(normalised, ' ')) AS w,

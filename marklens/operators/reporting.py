@@ -120,6 +120,26 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def reference_totals(flagged: DataFrame, refs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Comparisons, flagged pairs and rate of every reference, those without one included.
+
+    ``refs`` and ``marks`` are ``logo_id``. A reference is compared with every mark but
+    itself, so the comparisons follow from the sizes and no pair is listed for them.
+    """
+    everyone = marks.agg(F.count("*").alias("_marks"))
+    own = marks.groupBy(F.col("logo_id").alias("ref_id")).agg(F.count("*").alias("_own"))
+    hits = flagged.groupBy("ref_id").agg(F.count_if("infringement_detected").alias("_hits"))
+    # one row
+    listed = refs.select(F.col("logo_id").alias("ref_id")).distinct().crossJoin(F.broadcast(everyone))
+    counted = listed.join(own, "ref_id", "left").join(hits, "ref_id", "left").fillna(0, ["_own", "_hits"])
+    counted = counted.select(
+        "ref_id", (F.col("_marks") - F.col("_own")).alias("total_comparisons"), F.col("_hits").alias("infringement_count")
+    )
+    return counted.withColumn(
+        "infringement_rate", _rate(F.col("infringement_count"), F.col("total_comparisons"), 2)
+    )
+
+
 def score_bands(results: DataFrame, score: str = "similarity_score") -> DataFrame:
     """Mean and number of results in the five confidence bands of a 0..1 score."""
     s = F.col(score)
