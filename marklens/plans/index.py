@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from marklens.functions.text import base_name, normal_path
 from marklens.operators.grouping import first_per_group
 from marklens.operators.knn import (
+    ivf_knn_join,
+    knn_join,
     nearest_lists,
     probe_count,
     train_centroids,
@@ -46,14 +48,14 @@ def path_sets(listed: DataFrame, indexed: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def assign_index_ids(rows: DataFrame, indexed: DataFrame | None) -> DataFrame:
-    """Dense ids in path order after the largest id in use.
+def assign_index_ids(rows: DataFrame, indexed: DataFrame | None, first: int = 0) -> DataFrame:
+    """Dense ids in path order after the largest id in use, or from ``first`` on.
 
     Rows are range-sorted by path and kept in the checkpoint folder; a row's id is
     the size of the ranges before its own plus its place there. Only the range
     sizes, one number per partition, are ever brought together.
     """
-    start = F.lit(0)
+    start = F.lit(first)
     if indexed is not None:
         start = F.lit(indexed.agg(F.coalesce(F.max("index_id"), F.lit(-1))).first()[0] + 1)
     ordered = cut_lineage(rows.orderBy("path"))
@@ -100,20 +102,49 @@ def with_lists(vectors: DataFrame, lists: int | None = None) -> VectorIndex:
     return VectorIndex(nearest_lists(flat, centroids, 1, "embedding"), centroids)
 
 
-def add_vectors(index: VectorIndex, rows: DataFrame) -> VectorIndex:
-    """Index extended by the rows whose path is new; they go to the lists there are."""
+def fresh_vectors(index: VectorIndex, rows: DataFrame, first: int | None = None) -> DataFrame:
+    """The rows whose path is new, with ids (after those in use, or from ``first``) and lists."""
     unit = unit_vectors(new_files(rows, index.vectors))
-    fresh = first_per_group(unit, ["path"], ["embedding"])
+    fresh = first_per_group(unit.select("path", "embedding"), ["path"], ["embedding"])
     fresh = fresh.withColumn("filename", base_name(F.col("path")))
-    fresh = assign_index_ids(fresh, index.vectors)
-    columns = ["index_id", "path", "filename", "embedding"]
+    fresh = assign_index_ids(fresh, index.vectors) if first is None else assign_index_ids(fresh, None, first)
     if index.centroids is not None:
         fresh = nearest_lists(fresh, index.centroids, 1, "embedding")
+    return fresh
+
+
+def add_vectors(index: VectorIndex, rows: DataFrame) -> VectorIndex:
+    """Index extended by the rows whose path is new; they go to the lists there are."""
+    fresh = fresh_vectors(index, rows)
+    columns = ["index_id", "path", "filename", "embedding"]
+    if index.centroids is not None:
         columns.append("centroid_id")
     merged = index.vectors.select(*columns).unionByName(fresh.select(*columns))
     return VectorIndex(merged, index.centroids)
 
 
+def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """``query_id, index_id, path, filename, score, rank`` of the best rows of every query.
+
+    ``queries`` is ``query_id, embedding``. With lists, those that any query probes are
+    named to the scan: of a stored index only their folders are read.
+    """
+    q = unit_vectors(queries)
+    if index.centroids is None:
+        rows = index.vectors
+        hits = knn_join(q, rows, k, query_id="query_id", base_id="index_id")
+    else:
+        rows = index.vectors
+        if probes is not None:
+            probed = nearest_lists(q, index.centroids, probes, "embedding", "query_id").select("centroid_id").distinct()
+            rows = rows.where(F.col("centroid_id").isin([r[0] for r in probed.collect()]))  # at most the lists
+        hits = ivf_knn_join(q, rows, index.centroids, k, probes)
+    named = rows.select("index_id", "path", "filename")
+    return hits.withColumnRenamed("base_id", "index_id").join(named, "index_id").select(
+        "query_id", "index_id", "path", "filename", "score", F.col("rank").cast("long").alias("rank")
+    )
+
+
 def index_stats(index: VectorIndex, probes: int | None = None) -> DataFrame:
     """One row: vectors, dimension, type, distinct images and paths, lists and probes."""
     lists = None if index.centroids is None else index.centroids.count()

@@ -1,44 +1,22 @@
-"""Incremental index: new feature files are appended once."""
+"""Incremental index: new feature files are added once, to the index that batches use."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marklens.functions.text import base_name, normal_path
-from marklens.operators.grouping import first_per_group
-from marklens.operators.knn import unit_vectors
+from marklens.sources.index_store import append_vectors
 
 FEATURES = "path string, embedding array<float>"
-INDEX = "path string, filename string, embedding array<double>"
 
 
 def _append(index_path: str):
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        unit = unit_vectors(batch).withColumn("path", normal_path(F.col("path")))
-        fresh = first_per_group(unit.select("path", "embedding"), ["path"], ["embedding"])
-        if _exists(spark, index_path):
-            known = spark.read.schema(INDEX).parquet(index_path).select("path")
-            fresh = fresh.join(known, "path", "left_anti")
-        fresh.select("path", base_name(F.col("path")).alias("filename"), "embedding").write.mode(
-            "append"
-        ).parquet(index_path)
+        append_vectors(batch.sparkSession, index_path, batch)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(INDEX).parquet(path).limit(1).count()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-    return True
-
-
 def index_stream(
     spark: SparkSession, features: str, index_path: str, checkpoint: str
 ) -> StreamingQuery:

@@ -104,9 +104,33 @@ def test_index_store_and_stream(spark, tmp_path):
     index_stream(spark, features, out, progress).awaitTermination()
     frame.write.mode("append").parquet(features)  # half of it was there before
     index_stream(spark, features, out, progress).awaitTermination()
-    streamed = {r.path: list(r.embedding) for r in spark.read.parquet(out).collect()}
+    rows = index_store.load_index(spark, out).vectors.collect()
+    streamed = {r.path: list(r.embedding) for r in rows}
     batch = {r.path: list(r.embedding) for r in flat.vectors.collect()}
-    assert streamed == batch and spark.read.parquet(out).count() == 40
+    assert streamed == batch and sorted(r.index_id for r in rows) == list(range(40))
+    # one index for both: the stream goes on where the batch build ended
+    index_store.append_vectors(spark, str(tmp_path / "store"), spark.createDataFrame([("/q/1", [1.0, 2.0, 3.0])], "path string, embedding array<float>"))
+    grown = index_store.load_index(spark, str(tmp_path / "store")).vectors
+    assert grown.where("path = '/q/1'").first().index_id == 40 and grown.count() == 41
+    index_store.remove_gone(spark, str(tmp_path / "store"), frame.where("path <> '/p/005'"))
+    left = {r.path for r in index_store.load_index(spark, str(tmp_path / "store")).vectors.collect()}
+    assert len(left) == 39 and not left & {"/q/1", "/p/005"}
+    index_store.append_vectors(spark, str(tmp_path / "store"), frame)
+    index_store.compact(spark, str(tmp_path / "store"))
+    rows = index_store.load_index(spark, str(tmp_path / "store")).vectors
+    assert rows.where("path = '/p/005'").first().index_id == 41 and rows.count() == 40
+
+
+def test_search_reads_the_probed_lists_only(spark, tmp_path):
+    rows = [(f"/p/{i:03d}", [float(i % 7) - 3, 1.0, float(i % 3)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "path string, embedding array<float>")
+    index_store.save_index(I.build_vector_index(frame, lists=5), str(tmp_path / "store"))
+    index = index_store.load_index(spark, str(tmp_path / "store"))
+    queries = frame.limit(1).select(F.lit(1).cast("long").alias("query_id"), "embedding")
+    hits = I.search_index(index, queries, 3, probes=1)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [centroid_id" in plan.replace("isnotnull(", "") or "centroid_id#" in plan.split("PartitionFilters", 1)[1][:80]
+    assert [r.path for r in hits.orderBy("rank").collect()][0] == "/p/000"
 
 
 def test_trademark_sink(spark, tmp_path):
