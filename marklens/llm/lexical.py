@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marklens.session import spread
+
 from .common import CACHE_WORDS, raw, slices, stored
 
 #: Bytes of a term stay (digits, letters, all beyond ASCII), A-Z become a-z, the rest separates.
@@ -152,8 +154,9 @@ def build_index(counts: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     rows = counts.where(F.size("keys") > 0).withColumn("m", normaliser)
     sizes = rows.groupBy("m").agg((F.sum(F.size("keys")) / POSTINGS + 1).cast("long").alias("parts"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(sizes, "m")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts")))
-    return rows.select("m", "part", "doc_id", "keys", "tfs").groupBy("m", "part").applyInArrow(_segment, _SEGMENT)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts"))).select("m", "part", "doc_id", "keys", "tfs")
+    # dealt by stratum and part: the join's own partitioning would keep a stratum together
+    return spread(rows, "m", "part").groupBy("m", "part").applyInArrow(_segment, _SEGMENT)
 
 
 def _impact(tf, m):
