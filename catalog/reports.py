@@ -225,6 +225,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cmp_id, kp1 ORDER BY d,
 SELECT ref_id, cmp_id, kp1::INT AS kp1, kp2::INT AS kp2, d AS distance FROM r WHERE f = 1 AND b = 1 AND d < 4"""
 
 
+def mutual_match_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 256 bits: comparisons of the vector's values at four distances."""
+    vectors = view(spark, sf_dir, "vectors")
+    pairs = cut_lineage(neighbours(unit_vectors(vectors)).select("ref_id", "cmp_id"))
+    at = lambda i: F.get("embedding", i.cast("int"))
+
+    def word(w):
+        first = lambda i: (w % 2) * 32 + i
+        other = lambda i: F.pmod(first(i) + 1 + F.col("kp_id") * 4 + F.floor(w / 2), F.lit(64))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(at(first(i)) > at(other(i)), F.pow(F.lit(2.0), i)).otherwise(0.0))
+        return F.aggregate(bits, F.lit(0.0), lambda acc, x: acc + x).cast("long")
+
+    keypoints = vectors.select("image_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("kp_id"))
+    codes = keypoints.select("image_id", "kp_id", F.transform(F.sequence(F.lit(0), F.lit(7)), word).alias("code"))
+    return M.mutual_match(pairs, codes, 100)
+
+
+_MUTUAL_WIDE_SQL = f"""{with_views("vectors")}, {_UNIT}, {knn_ctes("unit", 10)},
+kw AS (SELECT image_id, k AS kp_id, list_transform(range(0, 8), lambda w: list_sum(list_transform(range(0, 32),
+         lambda i: CASE WHEN embedding[(w % 2) * 32 + i + 1] > embedding[((w % 2) * 32 + i + 1 + k * 4 + w // 2) % 64 + 1] THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT) AS code
+       FROM vectors, (SELECT unnest(range(0, 8)) AS k)),
+x AS (SELECT ref_id, cmp_id, a.kp_id AS kp1, b.kp_id AS kp2,
+        list_sum(list_transform(range(1, 9), lambda w: bit_count(xor(a.code[w], b.code[w]))))::INT AS d
+      FROM nn JOIN kw a ON a.image_id = ref_id JOIN kw b ON b.image_id = cmp_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cmp_id, kp1 ORDER BY d, kp2) AS f,
+             row_number() OVER (PARTITION BY ref_id, cmp_id, kp2 ORDER BY d, kp1) AS b FROM x)
+SELECT ref_id, cmp_id, kp1::INT AS kp1, kp2::INT AS kp2, d AS distance FROM r WHERE f = 1 AND b = 1 AND d < 100"""
+
+
 def feature_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = view(spark, sf_dir, "match_counts")
     scored = M.method_scores(counts)
@@ -404,7 +433,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_fusion, per_reference, summary_rollup, dashboard_stats, dashboard_page, dashboard_pages,
-        top_results, reference_ranking, all_infringements, report_roundtrip, ratio_match, mutual_match,
+        top_results, reference_ranking, all_infringements, report_roundtrip, ratio_match, mutual_match, mutual_match_wide,
         feature_score, best_method, template_score, ssim_score, shape_score, balanced_compare, score_bands,
         dedup_files, dedup_report, cache_misses, path_names, dataset_footprint,
     )
@@ -422,6 +451,7 @@ ORACLE = {
     "report_roundtrip": _INFRINGEMENTS_SQL,
     "ratio_match": _RATIO_SQL,
     "mutual_match": _MUTUAL_SQL,
+    "mutual_match_wide": _MUTUAL_WIDE_SQL,
     "feature_score": _FEATURE_SQL,
     "best_method": _BEST_SQL,
     "template_score": _TEMPLATE_SQL,

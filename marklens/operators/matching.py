@@ -2,29 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions import scoring as S
-from marklens.functions.vector import euclidean
 from marklens.operators.grouping import top_k
-from marklens.session import spread
+from marklens.session import cut_lineage
 
 PAIR = ["ref_id", "cmp_id"]
+#: Images of a block, and keypoints of the first side that are compared at once.
+IMAGE_BLOCK, KEYPOINT_ROWS = 128, 256
 # Order in which equal scores are resolved.
 METHOD_ORDER = ("SIFT", "ORB", "AKAZE")
 # Weights of the structural score by image size.
 SIZE_WEIGHTS = {64: 0.2, 128: 0.6, 256: 0.2}
 
 
-def _keypoint_pairs(pairs: DataFrame, features: DataFrame, value: str) -> DataFrame:
-    first = features.select(
-        F.col("image_id").alias("ref_id"), F.col("kp_id").alias("kp1"), F.col(value).alias("_f1")
-    )
-    second = features.select(
-        F.col("image_id").alias("cmp_id"), F.col("kp_id").alias("kp2"), F.col(value).alias("_f2")
+def _nested(features: DataFrame, value: str) -> DataFrame:
+    """One row per image: its keypoints in order and their numbers in a row."""
+    numbers = F.col(value)
+    if not features.schema[value].dataType.typeName() == "array":
+        numbers = F.array(numbers)
+    return (
+        features.filter(F.col(value).isNotNull())
+        .groupBy("image_id")
+        .agg(F.sort_array(F.collect_list(F.struct("kp_id", numbers.alias("v")))).alias("_f"))
+        .select("image_id", F.col("_f.kp_id").cast("array<long>").alias("kps"), F.flatten("_f.v").alias("numbers"))
     )
-    return spread(pairs.select(*PAIR), *PAIR).join(first, "ref_id").join(second, "cmp_id")
+
+
+def _per_pair(pairs: DataFrame, features: DataFrame, value: str, match, names: list[str]) -> DataFrame:
+    """``match(kps1, rows1, kps2, rows2)`` of every pair, as columns ``names`` of bigints.
+
+    Pairs are dealt to cells of two blocks of images, so an image goes once to each cell
+    in which it has a pair, and a task holds about ``2 * IMAGE_BLOCK`` images. Sides
+    without keypoints are empty.
+    """
+    images = cut_lineage(_nested(features, value))
+    blocks = images.count() // IMAGE_BLOCK + 1
+
+    def block(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(blocks)).alias(f"_{column}")
+
+    dealt = pairs.select(F.col("ref_id").cast("long"), F.col("cmp_id").cast("long"), block("ref_id"), block("cmp_id"))
+    cell = ["_ref_id", "_cmp_id"]
+    kind = images.schema["numbers"].dataType.simpleString()
+    none = [F.lit(None).cast("array<long>").alias("kps"), F.lit(None).cast(kind).alias("numbers")]
+    rows = dealt.select(*cell, F.lit(0).alias("side"), "ref_id", "cmp_id", *none)
+    for side, own in ((1, "ref_id"), (2, "cmp_id")):
+        wanted = dealt.select(*cell, own).distinct()
+        held = wanted.join(images, F.col(own) == F.col("image_id"))
+        ids = [F.col(own).alias("ref_id"), F.lit(None).cast("long").alias("cmp_id")]
+        rows = rows.unionByName(held.select(*cell, F.lit(side).alias("side"), *ids, "kps", "numbers"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        first, second = table.column("ref_id").to_pylist(), table.column("cmp_id").to_pylist()
+        sides: list[dict] = [{}, {}, {}]
+        for i in np.flatnonzero(side).tolist():
+            kps = table.column("kps")[i].values.to_numpy(zero_copy_only=False)
+            numbers = table.column("numbers")[i].values.to_numpy(zero_copy_only=False)
+            if len(numbers) % len(kps):
+                raise ValueError(f"image {first[i]}: features of several lengths")
+            sides[side[i]][first[i]] = kps, numbers.reshape(len(kps), -1)
+        empty = np.zeros(0, np.int64), None
+        parts, sizes, chosen = [], [], np.flatnonzero(side == 0).tolist()
+        for i in chosen:
+            (kp1, a), (kp2, b) = sides[1].get(first[i], empty), sides[2].get(second[i], empty)
+            found = match(kp1, a, kp2, b)
+            parts.append(found)
+            sizes.append(len(found[0]))
+        columns = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(len(names))]
+        at = pa.array(np.repeat(chosen, sizes).astype(np.int64))
+        ids = [table.column(c).combine_chunks().take(at) for c in PAIR]
+        return pa.table([*ids, *[pa.array(c, pa.int64()) for c in columns]], [*PAIR, *names])
+
+    schema = ", ".join(f"{name} long" for name in [*PAIR, *names])
+    return rows.groupBy(*cell).applyInArrow(run, schema)
+
+
+def _clear_matches(ratio: float):
+    def match(kp1, a, kp2, b):
+        """Number of keypoints whose nearest is clearly nearer than the second."""
+        count = 0
+        if len(kp1) and len(kp2) > 1:
+            square_a, square_b = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+            for start in range(0, len(a), KEYPOINT_ROWS):
+                block, own = a[start : start + KEYPOINT_ROWS], square_a[start : start + KEYPOINT_ROWS]
+                rough = own[:, None] + square_b - 2 * (block @ b.T)
+                # the product is inexact, so all that may be among the two nearest are measured
+                slack = 1e-9 * (own + square_b.max())
+                i, j = np.nonzero(rough <= (np.partition(rough, 1, 1)[:, 1] + slack)[:, None])
+                exact = np.linalg.norm(block[i] - b[j], axis=1)
+                order = np.lexsort((exact, i))
+                begin = np.searchsorted(i, np.arange(len(block)))
+                near = exact[order]
+                count += int((near[begin] < near[begin + 1] * ratio).sum())
+        return [np.array([count], np.int64)]
+
+    return match
 
 
 def ratio_match(
@@ -32,44 +110,54 @@ def ratio_match(
 ) -> DataFrame:
     """Keypoints whose nearest neighbour is clearly nearer than the second.
 
-    All are counted, unless a ``ceiling`` is asked for.
+    One matrix product per pair; only the count leaves the task. All are counted, unless
+    a ``ceiling`` is asked for. A pair with a missing side, or with one keypoint on the
+    second, has none. Descriptors are unique by ``image_id, kp_id``, finite and of one
+    length; null ones are no keypoints.
     """
-    near = top_k(
-        _keypoint_pairs(pairs, descriptors, "descriptor").select(
-            *PAIR, "kp1", "kp2", euclidean(F.col("_f1"), F.col("_f2")).alias("d")
-        ),
-        [*PAIR, "kp1"],
-        [F.asc("d"), F.asc("kp2")],
-        2,
-    )
-    good = (
-        near.groupBy(*PAIR, "kp1")
-        .agg(F.min("d").alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("d2"))
-        .groupBy(*PAIR)
-        .agg(F.count_if(F.col("d1") < F.col("d2") * ratio).alias("_n"))
-    )
-    counted = F.coalesce("_n", F.lit(0)).cast("long")
+    plain = descriptors.withColumn("descriptor", F.col("descriptor").cast("array<double>"))
+    counted = _per_pair(pairs, plain, "descriptor", _clear_matches(ratio), ["good_matches"])
     if ceiling is not None:
-        counted = F.least(counted, F.lit(ceiling).cast("long"))
-    return (
-        pairs.select(*PAIR).join(good, PAIR, "left").select(*PAIR, counted.alias("good_matches"))
-    )
+        counted = counted.withColumn("good_matches", F.least("good_matches", F.lit(ceiling).cast("long")))
+    return counted
+
+
+def _mutual_nearest(max_distance: int):
+    def match(kp1, a, kp2, b):
+        """Keypoints and distance of the pairs that are nearest from both sides."""
+        if not len(kp1) or not len(kp2):
+            return [np.zeros(0, np.int64)] * 3
+        if a.shape[1] != b.shape[1]:
+            raise ValueError("codes of several lengths")
+        forward = np.zeros(len(a), np.int64)
+        best, back = np.full(len(b), np.iinfo(np.int64).max), np.zeros(len(b), np.int64)
+        for start in range(0, len(a), KEYPOINT_ROWS):
+            block = a[start : start + KEYPOINT_ROWS]
+            apart = np.zeros((len(block), len(b)), np.int64)
+            for word in range(b.shape[1]):
+                apart += np.bitwise_count((block[:, word, None] ^ b[:, word]).view(np.uint64))
+            forward[start : start + len(block)] = apart.argmin(1)  # the first of equals
+            row = apart.argmin(0)
+            least = apart[row, np.arange(len(b))]
+            nearer = least < best
+            best[nearer], back[nearer] = least[nearer], row[nearer] + start
+        own = np.arange(len(a))
+        kept = (back[forward] == own) & (best[forward] < max_distance)
+        return [kp1[kept], kp2[forward[kept]], best[forward[kept]]]
+
+    return match
 
 
 def mutual_match(pairs: DataFrame, codes: DataFrame, max_distance: int = 40) -> DataFrame:
-    """Keypoints that are each other's nearest by Hamming distance, under a bound."""
-    rows = _keypoint_pairs(pairs, codes, "code").select(
-        *PAIR,
-        "kp1",
-        "kp2",
-        F.bit_count(F.col("_f1").bitwiseXOR(F.col("_f2"))).cast("int").alias("d"),
-    )
-    forward = rows.groupBy(*PAIR, "kp1").agg(F.min(F.struct("d", "kp2")).alias("_b"))
-    back = rows.groupBy(*PAIR, "kp2").agg(F.min(F.struct("d", "kp1")).alias("_b"))
-    return (
-        forward.select(*PAIR, "kp1", F.col("_b.kp2").alias("kp2"), F.col("_b.d").alias("distance"))
-        .join(back.select(*PAIR, "kp2", F.col("_b.kp1").alias("kp1")), [*PAIR, "kp1", "kp2"])
-        .filter(F.col("distance") < max_distance)
+    """Keypoints that are each other's nearest by Hamming distance, under a bound.
+
+    A ``code`` is a bigint, or an array of bigints for wider codes. Equal distances go to
+    the smaller ``kp_id``. Only matches leave the task.
+    """
+    found = _per_pair(pairs, codes, "code", _mutual_nearest(max_distance), ["kp1", "kp2", "distance"])
+    number = codes.schema["kp_id"].dataType
+    return found.select(
+        *PAIR, F.col("kp1").cast(number), F.col("kp2").cast(number), F.col("distance").cast("int")
     )
 
 
