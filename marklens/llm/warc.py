@@ -20,10 +20,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, stored
+from .common import parallelism, scratch, slices, stored
 
 #: Bytes of a file whose records are read by one group, and the gap still read over.
 SPAN, GAP = 4 << 20, 64 << 10
+#: Compressed bytes that one task reads, about.
+TASK = 32 << 20
 #: An archive is closed and a new one begun beyond this size.
 ARCHIVE = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
@@ -84,9 +86,9 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
         F.col("page_id").cast("long"), F.col("url").cast("string"),
         F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("_key", F.unhex(F.sha2("payload", 256)))
-    # equal payloads fold before the shuffle
-    first = p.groupBy("_key").agg(F.max("page_id").alias("_first"))
-    p = p.join(first, "_key")
+    # only digests are counted; the few that repeat then meet the rows
+    first = p.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    p = p.join(first.drop("_n"), "_key", "left")
     revisit = (F.octet_length("payload") >= least) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return p.select("page_id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -149,6 +151,9 @@ def fetch(index: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     spans = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("_span"))
+    # an index row is small but stands for a record: tasks are counted by the bytes behind it
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spans = spans.repartition(max(parallelism(index.sparkSession), size // TASK + 1), "file", "_span")
     return spans.groupBy("file", "_span").applyInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
