@@ -176,6 +176,65 @@ FROM s JOIN c{rounds} c ON s.image_id = c.image_id AND s.j = c.j"""
     )
 
 
+def _shown_clusters(clusters: DataFrame) -> DataFrame:
+    return clusters.select(
+        "image_id",
+        F.col("slot").cast("long").alias("slot"),
+        *[F.round(f"x{i}", 6).alias(f"x{i}") for i in range(3)],
+        "n",
+        F.round("weight", 6).alias("weight"),
+    )
+
+
+def kmeans_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of k-means with six colours per image in LAB."""
+    hist = C.with_lab(X.color_histogram(view(spark, sf_dir, "pixels")))
+    return _shown_clusters(kmeans_palette(hist, 6, rounds=3, space=("lab_l", "lab_a", "lab_b")))
+
+
+def kmeans_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of k-means with a colour per hundred pixels, eight at most."""
+    hist = X.color_histogram(view(spark, sf_dir, "pixels"))
+    return _shown_clusters(kmeans_palette(hist, F.expr("total div 100"), rounds=3, max_k=8))
+
+
+def _kmeans_space_sql(points: str, k: str, rounds: int) -> str:
+    parts = [
+        f"px AS ({duck('pixels')})",
+        "h0 AS (SELECT image_id, r, g, b, count(*) AS n FROM px GROUP BY ALL)",
+        f"h AS MATERIALIZED ({points})",
+        f"""c0 AS (SELECT image_id, j, p AS x, q AS y, s AS z FROM
+            (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS j,
+                    sum(n) OVER (PARTITION BY image_id) AS total FROM h) WHERE j <= {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (SELECT image_id, p, q, s, n, arg_min(j, (d, j)) AS j FROM
+            (SELECT h.*, c.j, (p - x) * (p - x) + (q - y) * (q - y) + (s - z) * (s - z) AS d
+             FROM h JOIN c{i} c ON h.image_id = c.image_id) GROUP BY image_id, r, g, b, p, q, s, n)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS (SELECT c.image_id, c.j, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y, coalesce(m.z, c.z) AS z
+                FROM c{i} c LEFT JOIN (SELECT image_id, j, sum(n * p) / sum(n) AS x, sum(n * q) / sum(n) AS y,
+                  sum(n * s) / sum(n) AS z FROM a{i} GROUP BY image_id, j) m ON c.image_id = m.image_id AND c.j = m.j)"""
+            )
+    return (
+        "WITH " + ",\n".join(parts) + f""",
+t AS (SELECT image_id, j, sum(n)::BIGINT AS n FROM a{rounds} GROUP BY image_id, j)
+SELECT t.image_id, row_number() OVER (PARTITION BY t.image_id ORDER BY n DESC, t.j) AS slot,
+       round(x, 6) AS x0, round(y, 6) AS x1, round(z, 6) AS x2, n,
+       round(n::DOUBLE / sum(n) OVER (PARTITION BY t.image_id), 6) AS weight
+FROM t JOIN c{rounds} c ON t.image_id = c.image_id AND t.j = c.j"""
+    )
+
+
+_KMEANS_LAB_SQL = _kmeans_space_sql(f"SELECT *, k_l AS p, k_a AS q, k_b AS s FROM {Q.lab('h0', 'r', 'g', 'b', 'k_')} k", "6", 3)
+_KMEANS_SIZE_SQL = _kmeans_space_sql(
+    "SELECT *, r::DOUBLE AS p, g::DOUBLE AS q, b::DOUBLE AS s FROM h0", "least(8, total // 100)", 3
+)
+
+
 def palette_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours over 13 % kept where at least three are left, padded to eight."""
     pruned = P.prune_palette(palettes(spark, sf_dir), N_COLORS, 0.13, 3)
@@ -420,6 +479,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         color_spaces, dominant_colors, hsv_hist, guarded_pixels, pixel_masks, kmeans_palette_2,
+        kmeans_lab, kmeans_by_size,
         palette_prune, palette_distinct, color_strict, family_overlap, color_perceptual,
         color_lab, color_rgb, color_cosine, color_euclidean, color_vector_39, lab_vector_40,
         color_index_search, color_scan, color_scan_summary, sanity_report,
@@ -432,6 +492,8 @@ ORACLE = {
     "guarded_pixels": _GUARDED_SQL,
     "pixel_masks": _MASKS_SQL,
     "kmeans_palette_2": _kmeans_sql(N_COLORS, 2),
+    "kmeans_lab": _KMEANS_LAB_SQL,
+    "kmeans_by_size": _KMEANS_SIZE_SQL,
     "palette_prune": _PRUNE_SQL,
     "palette_distinct": _DISTINCT_SQL,
     "color_strict": _STRICT_SQL,

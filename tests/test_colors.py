@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marklens.functions import color as C
+from marklens.operators import kmeans
 from marklens.operators import palette as P
 from marklens.operators import pixels as X
 from marklens.operators.kmeans import kmeans_palette
@@ -51,6 +53,22 @@ def test_kmeans_matches_numpy(spark, pixels):
     assert len(alone) == 1 and alone[0].weight == 1
 
 
+def test_kmeans_of_large_images_is_the_same(spark, pixels, monkeypatch):
+    hist = C.with_lab(X.color_histogram(pixels))
+    options = {"rounds": 4, "space": ("lab_l", "lab_a", "lab_b"), "max_k": 5}
+    size = F.least(F.lit(5), F.expr("total div 3"))
+
+    def rows():
+        return sorted((r.image_id, r.slot, r.x0, r.x1, r.x2, r.n, r.weight) for r in kmeans_palette(hist, size, **options).collect())
+
+    whole = rows()
+    monkeypatch.setattr(kmeans, "IMAGE_COLORS", 1)
+    steps = rows()
+    assert [r[:2] + r[5:6] for r in whole] == [r[:2] + r[5:6] for r in steps]
+    assert np.allclose([r[2:5] for r in whole], [r[2:5] for r in steps])
+    assert kmeans_palette(hist.limit(0), 3).collect() == []
+
+
 def test_palette_jobs(spark, pixels):
     strict = J.strict_palette(pixels, rounds=3)
     assert strict.groupBy("image_id").count().filter("count <> 8").count() == 0
