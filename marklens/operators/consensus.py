@@ -1,48 +1,45 @@
-"""Variant-by-variant comparison and the consensus score of a pair."""
+"""Variant-by-variant comparison and the consensus score of a pair.
+
+The variants of an image travel together, and a pair is one matrix product of both sides;
+only cosines or their statistics leave the task.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklens.functions.vector import dot
 from marklens.operators.knn import unit_vectors
-from marklens.session import spread
+from marklens.operators.pairwise import PAIR, per_pair
 
 
 def variant_join(pairs: DataFrame, variants: DataFrame) -> DataFrame:
     """Cosine of every variant of ``ref_id`` with every variant of ``cmp_id``."""
-    unit = unit_vectors(variants)
-    left = unit.select(F.col("image_id").alias("ref_id"), F.col("embedding").alias("_v1"))
-    right = unit.select(F.col("image_id").alias("cmp_id"), F.col("embedding").alias("_v2"))
-    return (
-        spread(pairs.select("ref_id", "cmp_id"), "ref_id", "cmp_id")
-        .join(left, "ref_id")
-        .join(right, "cmp_id")
-        .select("ref_id", "cmp_id", dot(F.col("_v1"), F.col("_v2")).alias("cosine"))
-    )
+
+    def match(_, a, __, b):
+        return [np.zeros(0) if a is None or b is None else (a @ b.T).ravel()]
+
+    return per_pair(pairs, unit_vectors(variants), "embedding", match, {"cosine": "double"})
 
 
 def consensus_score(
     pairs: DataFrame, variants: DataFrame, threshold: float = 0.6, min_consensus: int = 3
 ) -> DataFrame:
-    """Largest cosine where enough variants agree, else the median."""
-    cosines = variant_join(pairs, variants)
-    stats = cosines.groupBy("ref_id", "cmp_id").agg(
-        F.median("cosine").alias("median_similarity"),
-        F.avg("cosine").alias("mean_similarity"),
-        F.max("cosine").alias("max_similarity"),
-        F.count_if(F.col("cosine") > threshold).alias("_high"),
-        F.count("*").alias("_all"),
-    )
-    return stats.select(
-        "ref_id",
-        "cmp_id",
-        "median_similarity",
-        "mean_similarity",
-        "max_similarity",
-        (F.col("_high") / F.col("_all")).alias("consensus_ratio"),
-        F.when(F.col("_high") < min_consensus, F.col("median_similarity"))
-        .otherwise(F.col("max_similarity"))
-        .alias("vit_score"),
-    )
+    """Largest cosine where enough variants agree, else the median.
+
+    Pairs with an image that has no variant are left out; repeated pairs count once.
+    """
+    names = ("median_similarity", "mean_similarity", "max_similarity", "consensus_ratio", "vit_score")
+
+    def match(_, a, __, b):
+        if a is None or b is None:
+            return [np.zeros(0)] * len(names)
+        cosines = (a @ b.T).ravel()
+        high = int((cosines > threshold).sum())
+        median, most = np.median(cosines), cosines.max()
+        score = median if high < min_consensus else most
+        return [np.array([x]) for x in (median, cosines.mean(), most, high / len(cosines), score)]
+
+    wanted = pairs.select(*PAIR).distinct()
+    return per_pair(wanted, unit_vectors(variants), "embedding", match, dict.fromkeys(names, "double"))

@@ -3,86 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions import scoring as S
 from marklens.operators.grouping import top_k
-from marklens.session import cut_lineage
+from marklens.operators.pairwise import PAIR, per_pair
 
-PAIR = ["ref_id", "cmp_id"]
-#: Images of a block, and keypoints of the first side that are compared at once.
-IMAGE_BLOCK, KEYPOINT_ROWS = 128, 256
+#: Keypoints of the first side that are compared at once.
+KEYPOINT_ROWS = 256
 # Order in which equal scores are resolved.
 METHOD_ORDER = ("SIFT", "ORB", "AKAZE")
 # Weights of the structural score by image size.
 SIZE_WEIGHTS = {64: 0.2, 128: 0.6, 256: 0.2}
 
 
-def _nested(features: DataFrame, value: str) -> DataFrame:
-    """One row per image: its keypoints in order and their numbers in a row."""
-    numbers = F.col(value)
-    if not features.schema[value].dataType.typeName() == "array":
-        numbers = F.array(numbers)
-    return (
-        features.filter(F.col(value).isNotNull())
-        .groupBy("image_id")
-        .agg(F.sort_array(F.collect_list(F.struct("kp_id", numbers.alias("v")))).alias("_f"))
-        .select("image_id", F.col("_f.kp_id").cast("array<long>").alias("kps"), F.flatten("_f.v").alias("numbers"))
-    )
-
-
-def _per_pair(pairs: DataFrame, features: DataFrame, value: str, match, names: list[str]) -> DataFrame:
-    """``match(kps1, rows1, kps2, rows2)`` of every pair, as columns ``names`` of bigints.
-
-    Pairs are dealt to cells of two blocks of images, so an image goes once to each cell
-    in which it has a pair, and a task holds about ``2 * IMAGE_BLOCK`` images. Sides
-    without keypoints are empty.
-    """
-    images = cut_lineage(_nested(features, value))
-    blocks = images.count() // IMAGE_BLOCK + 1
-
-    def block(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).alias(f"_{column}")
-
-    dealt = pairs.select(F.col("ref_id").cast("long"), F.col("cmp_id").cast("long"), block("ref_id"), block("cmp_id"))
-    cell = ["_ref_id", "_cmp_id"]
-    kind = images.schema["numbers"].dataType.simpleString()
-    none = [F.lit(None).cast("array<long>").alias("kps"), F.lit(None).cast(kind).alias("numbers")]
-    rows = dealt.select(*cell, F.lit(0).alias("side"), "ref_id", "cmp_id", *none)
-    for side, own in ((1, "ref_id"), (2, "cmp_id")):
-        wanted = dealt.select(*cell, own).distinct()
-        held = wanted.join(images, F.col(own) == F.col("image_id"))
-        ids = [F.col(own).alias("ref_id"), F.lit(None).cast("long").alias("cmp_id")]
-        rows = rows.unionByName(held.select(*cell, F.lit(side).alias("side"), *ids, "kps", "numbers"))
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        first, second = table.column("ref_id").to_pylist(), table.column("cmp_id").to_pylist()
-        sides: list[dict] = [{}, {}, {}]
-        for i in np.flatnonzero(side).tolist():
-            kps = table.column("kps")[i].values.to_numpy(zero_copy_only=False)
-            numbers = table.column("numbers")[i].values.to_numpy(zero_copy_only=False)
-            if len(numbers) % len(kps):
-                raise ValueError(f"image {first[i]}: features of several lengths")
-            sides[side[i]][first[i]] = kps, numbers.reshape(len(kps), -1)
-        empty = np.zeros(0, np.int64), None
-        parts, sizes, chosen = [], [], np.flatnonzero(side == 0).tolist()
-        for i in chosen:
-            (kp1, a), (kp2, b) = sides[1].get(first[i], empty), sides[2].get(second[i], empty)
-            found = match(kp1, a, kp2, b)
-            parts.append(found)
-            sizes.append(len(found[0]))
-        columns = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(len(names))]
-        at = pa.array(np.repeat(chosen, sizes).astype(np.int64))
-        ids = [table.column(c).combine_chunks().take(at) for c in PAIR]
-        return pa.table([*ids, *[pa.array(c, pa.int64()) for c in columns]], [*PAIR, *names])
-
-    schema = ", ".join(f"{name} long" for name in [*PAIR, *names])
-    return rows.groupBy(*cell).applyInArrow(run, schema)
-
-
 def _clear_matches(ratio: float):
     def match(kp1, a, kp2, b):
         """Number of keypoints whose nearest is clearly nearer than the second."""
@@ -116,7 +51,7 @@ def ratio_match(
     length; null ones are no keypoints.
     """
     plain = descriptors.withColumn("descriptor", F.col("descriptor").cast("array<double>"))
-    counted = _per_pair(pairs, plain, "descriptor", _clear_matches(ratio), ["good_matches"])
+    counted = per_pair(pairs, plain, "descriptor", _clear_matches(ratio), {"good_matches": "long"}, order="kp_id")
     if ceiling is not None:
         counted = counted.withColumn("good_matches", F.least("good_matches", F.lit(ceiling).cast("long")))
     return counted
@@ -154,7 +89,7 @@ def mutual_match(pairs: DataFrame, codes: DataFrame, max_distance: int = 40) ->
     A ``code`` is a bigint, or an array of bigints for wider codes. Equal distances go to
     the smaller ``kp_id``. Only matches leave the task.
     """
-    found = _per_pair(pairs, codes, "code", _mutual_nearest(max_distance), ["kp1", "kp2", "distance"])
+    found = per_pair(pairs, codes, "code", _mutual_nearest(max_distance), dict.fromkeys(("kp1", "kp2", "distance"), "long"), order="kp_id")
     number = codes.schema["kp_id"].dataType
     return found.select(
         *PAIR, F.col("kp1").cast(number), F.col("kp2").cast(number), F.col("distance").cast("int")

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from marklens.operators import matching as M
+from marklens.operators import pairwise
+from marklens.operators.consensus import consensus_score, variant_join
 
 
 def keypoints(seed, images=12, bits=256):
@@ -34,7 +36,7 @@ def all_pairs(images):
 
 @pytest.mark.parametrize("bound,block", [(40, 128), (45, 3)])
 def test_wide_codes(spark, monkeypatch, bound, block):
-    monkeypatch.setattr(M, "IMAGE_BLOCK", block)
+    monkeypatch.setattr(pairwise, "IMAGE_BLOCK", block)
     monkeypatch.setattr(M, "KEYPOINT_ROWS", 7)
     images = keypoints(bound)
     rows = [(i, kp, words(c)) for i, codes in images.items() for kp, c in enumerate(codes)]
@@ -57,7 +59,7 @@ def test_wide_codes(spark, monkeypatch, bound, block):
 
 @pytest.mark.parametrize("block", [128, 2])
 def test_ratio(spark, monkeypatch, block):
-    monkeypatch.setattr(M, "IMAGE_BLOCK", block)
+    monkeypatch.setattr(pairwise, "IMAGE_BLOCK", block)
     monkeypatch.setattr(M, "KEYPOINT_ROWS", 5)
     gen = np.random.default_rng(block)
     centres = gen.normal(size=(8, 16)) * 100
@@ -90,3 +92,28 @@ def test_no_pairs(spark):
     one = spark.createDataFrame([(1, 2)], "ref_id long, cmp_id long")
     features = spark.createDataFrame([], "image_id long, kp_id int, descriptor array<double>")
     assert [tuple(r) for r in M.ratio_match(one, features).collect()] == [(1, 2, 0)]
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_consensus(spark, monkeypatch, block):
+    monkeypatch.setattr(pairwise, "IMAGE_BLOCK", block)
+    gen = np.random.default_rng(3)
+    centres = gen.normal(size=(3, 8))
+    images = {i: centres[i % 3] + gen.normal(size=((0, 1, 3, 5)[i % 4], 8)) for i in range(12)}
+    rows = [(i, v.tolist()) for i, m in images.items() for v in m] + [(2, None), (3, [0.0] * 8)]
+    variants = spark.createDataFrame(rows, "image_id long, embedding array<double>")
+    listed = all_pairs(images)
+    pairs = spark.createDataFrame(listed, "ref_id long, cmp_id long")
+    want, several = {}, 0
+    for a, b in set(listed):
+        x, y = images.get(a, ()), images.get(b, ())
+        if len(x) and len(y):
+            c = [float(p @ q / np.linalg.norm(p) / np.linalg.norm(q)) for p in x for q in y]
+            high = sum(v > 0.3 for v in c)
+            several += high >= 3
+            want[a, b] = (np.median(c), np.mean(c), max(c), high / len(c), max(c) if high >= 3 else np.median(c))
+    got = {(r.ref_id, r.cmp_id): tuple(r)[2:] for r in consensus_score(pairs, variants, 0.3).collect()}
+    assert got.keys() == want.keys() and 0 < several < len(want)
+    np.testing.assert_allclose([got[p] for p in want], list(want.values()))
+    once = spark.createDataFrame(sorted(set(listed)), "ref_id long, cmp_id long")
+    assert variant_join(once, variants).count() == sum(len(images.get(a, ())) * len(images.get(b, ())) for a, b in set(listed))
