@@ -1,20 +1,25 @@
-"""Substring dedup by prefix-partitioned window hashes.
-
-A window is WINDOW consecutive words. Suffixes (word positions) are split by their first
-words into groups of bounded memory: seven words, or all twenty where a seven-word
-prefix is too frequent. Each group sorts its windows by three 32-bit hashes of their
-words; equal neighbours are a repeat, and all but the earliest are removed. No tree is
-built: a word goes if some window over it repeats, so nodes deeper than WINDOW words
-would remove the same words, and hashes hold a window in 24 bytes.
-
-Before that, a first pass finds out which suffixes can repeat at all: every window is
-represented by the smallest of its 5-grams (its anchor), equal windows have equal
-anchors, and only windows whose anchor occurs twice go on.
+"""Substring dedup by prefix-partitioned suffix trees over words.
+
+A repeat is an inner node of depth WINDOW or more in the suffix tree of all texts; below
+such a node all leaves but the earliest are removed. The tree is never built whole:
+
+* Equal windows of WINDOW words share their smallest 5-gram (the anchor). A first pass
+  keeps the anchors that occur twice; only suffixes whose window has one can repeat.
+* Suffixes that follow each other under one anchor travel as one stretch of words, to
+  the group of that anchor. Suffixes of very frequent anchors travel alone, to the group
+  of their whole window, and end there: their nodes have depth WINDOW.
+* In a group, prefixes of one, two or more words split the suffixes until each part fits
+  SUBTREE. A part's suffixes are sorted by their words; the common prefix lengths of
+  neighbours give its inner nodes.
+
+Suffixes end after DEPTH words, so longer repeats are chains of nodes of that depth. Each
+suffix of a longer repeat has its own node, so the removed words are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +29,23 @@ from pyspark.sql import functions as F
 from .common import WordHashes, gram_hashes, mixed, packed, parallelism, raw, slices, stored
 
 WINDOW = 20
+#: Words of a suffix; nodes have depths from WINDOW to DEPTH.
+DEPTH = 32
 ANCHOR = 5
-#: Words of the three parts of a window; a prefix ends after a part.
-PARTS = (7, 7, 6)
-#: Groups of anchors (powers of two), and bits of the filter of repeated ones at least
-#: and at most (8 to 64 MB). A filter that fills up only lets more windows through.
-ANCHOR_GROUPS, FILTER_LOW, FILTER_HIGH = 8, 26, 29
-#: Suffixes in a group, about; prefixes with more suffixes are lengthened.
-GROUP = 1 << 20
+#: Groups of anchors as written (powers of two), anchors in a group about, and bits of the
+#: filter of repeated ones at least and at most (8 to 64 MB). A filter that fills up only
+#: lets more windows through.
+ANCHOR_GROUPS, ANCHORS, FILTER_LOW, FILTER_HIGH = 8, 1 << 21, 26, 29
+#: Suffixes in a group, about, and in a subtree; longer prefixes split larger ones.
+GROUP, SUBTREE = 1 << 20, 1 << 16
 SLOTS = 1 << 20
 FLUSH = 1 << 19
 LAST = (1 << 63) - 1
-_SUFFIX = np.dtype([("a", "<u4"), ("b", "<u4"), ("c", "<u4"), ("pos", "<u4"), ("doc", "<i8")])
-_MARK = np.dtype([("doc", "<i8"), ("pos", "<u4")])
+#: Place of a stretch's first word, places with the same stretch, suffixes, words.
+_STRETCH = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("count", "<u4"), ("n", "<u2"), ("size", "<u2")])
+#: Windows removed: the first one's place and how many follow each other.
+_MARK = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("n", "<u4")])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_words(texts: list[bytes | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +69,7 @@ def windows(words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Anchors of all windows by group, and frequent seven-word prefixes (grp -1)."""
+    """Anchors of all windows by group, and slots of frequent anchors (grp -1)."""
 
     def run(batches):
         cache, held, size = WordHashes(), [], 0
@@ -83,8 +92,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             # neighbouring windows mostly have one anchor: count each place once
             held.append(least[np.unique(at, return_index=True)[1]])
             size += len(held[-1])
-            slot = gram_hashes(words, PARTS[0])[starts] >> np.uint64(44)
-            counts += np.bincount(slot.astype(np.int64), minlength=SLOTS)
+            counts += np.bincount((least >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
             total += len(starts)
             if size >= FLUSH:
                 yield flush()
@@ -100,13 +108,27 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "grp int, data binary, slot long, count long")
 
 
-def _filter_piece(bits: int):
-    """Function over a group of anchors: its stretch of the filter, and sums."""
+def _finer(anchors: DataFrame, bits: int) -> DataFrame:
+    """The anchors cut into 2 ** bits groups instead of 2 ** ANCHOR_GROUPS."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("data").to_pylist():
+                value = np.frombuffer(blob, np.uint64)
+                which, blobs = packed(value, (value >> np.uint64(64 - bits)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(blobs, pa.binary())], ["grp", "data"])
+
+    anchors = anchors.select("grp", "data")
+    return anchors.mapInArrow(run, "grp int, data binary") if bits > ANCHOR_GROUPS else anchors
+
+
+def _filter_piece(bits: int, groups: int):
+    """Function over a group of anchors (of 2 ** groups): its stretch of the filter, and sums."""
 
     def run(table: pa.Table) -> pa.Table:
         values = np.sort(np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64))
         again = np.unique(values[1:][values[1:] == values[:-1]])
-        piece = np.zeros(1 << (bits - ANCHOR_GROUPS), np.uint8)
+        piece = np.zeros(1 << (bits - groups), np.uint8)
         piece[(again >> np.uint64(64 - bits)).astype(np.int64) & (len(piece) - 1)] = 1
         held = int(np.isin(values, again).sum())
         return pa.table({
@@ -117,72 +139,96 @@ def _filter_piece(bits: int):
     return run
 
 
-def repeats(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in tree order and, for each, whether an equal window starts earlier.
+def _spans(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all words of the stretches one after another, and each one's place inside."""
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(begin, size) + inside, inside
+
+
+def _marks(doc: np.ndarray, pos: np.ndarray, n: np.ndarray | int, groups: int) -> tuple[np.ndarray, list[bytes]]:
+    """Removed windows packed by group of documents, numbered from below zero.
 
-    Sorting by the window's three parts and then by place gives the leaves of the tree;
-    neighbours that agree in all parts hang below one node of depth WINDOW.
+    Windows that follow each other become one mark.
     """
-    high = suffixes["a"].astype(np.uint64) << np.uint64(32) | suffixes["b"]
-    s = suffixes[np.lexsort((suffixes["pos"], suffixes["doc"], suffixes["c"], high))]
-    deep = np.zeros(len(s), bool)
-    deep[1:] = (s["a"][1:] == s["a"][:-1]) & (s["b"][1:] == s["b"][:-1]) & (s["c"][1:] == s["c"][:-1])
-    # below a node, the first leaf is the earliest; leaves at the same place are one
-    node = np.cumsum(~deep)
-    first = np.flatnonzero(~deep)[node - 1] if len(s) else node
-    later = (s["doc"] != s["doc"][first]) | (s["pos"] != s["pos"][first])
-    return s, later
-
-
-def _marks(s: np.ndarray, groups: int) -> tuple[np.ndarray, list[bytes]]:
-    """Removed window starts packed by group of documents, numbered from below zero."""
-    m = np.zeros(len(s), _MARK)
-    m["doc"], m["pos"] = s["doc"], s["pos"]
-    grp = (mixed(m["doc"].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.lexsort((m["pos"], m["doc"]))
-    which, blobs = packed(m[order], grp[order])
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order].astype(np.int64)
+    n = np.broadcast_to(n, len(order))[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
+    m = np.zeros(int(new.sum()), _MARK)
+    m["doc"], m["pos"] = doc[new], pos[new]
+    if len(m):
+        m["n"] = np.add.reduceat(n, np.flatnonzero(new))
+    which, blobs = packed(m, (mixed(m["doc"].view(np.uint64)) % np.uint64(groups)).astype(np.int64))
     return -1 - which, blobs
 
 
-def _suffixes(docs: DataFrame, filter_, bits: int, long, groups: int, doc_groups: int) -> DataFrame:
-    """Suffixes that may repeat by prefix group (grp >= 0), and marks found on the way.
+def _stretches(docs: DataFrame, filter_, bits: int, long, groups: int, doc_groups: int) -> DataFrame:
+    """Stretches of suffixes that may repeat by group (grp >= 0), and marks found on the way.
 
-    A task builds the tree of its own suffixes first: of equal windows it passes on only
-    the earliest, so a window that many documents share arrives once per task.
+    Of equal stretches a task passes on only the earliest, with their number, so a passage
+    that many documents share arrives once per task.
     """
 
     def run(batches):
         cache, held, size = WordHashes(), [], 0
 
         def flush():
-            s, later = repeats(np.concatenate(held))
-            marks = _marks(s[later], doc_groups)
-            s = s[~later]
-            s = s[np.append(True, (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1]) | (s["c"][1:] != s["c"][:-1]))] if len(s) else s
-            key = s["a"].astype(np.uint64)
-            whole = mixed(mixed(key << np.uint64(32) | s["b"]) + s["c"])
-            key = np.where(long.value[s["a"] >> np.uint32(12)], whole, mixed(key))
-            grp = (key % np.uint64(groups)).astype(np.int64)
-            which, blobs = packed(s, grp)
+            s, key, digest, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((s["pos"], s["doc"], digest))
+            start = (np.cumsum(s["size"], dtype=np.int64) - s["size"])[order]
+            s, key, digest = s[order], key[order], digest[order]
+            new = np.ones(len(s), bool)
+            new[1:] = digest[1:] != digest[:-1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            moved = np.ones(len(s), bool)  # another place than the one before
+            moved[1:] = new[1:] | (s["doc"][1:] != s["doc"][:-1]) | (s["pos"][1:] != s["pos"][:-1])
+            later = moved & ~new
+            marks = _marks(s["doc"][later], s["pos"][later], s["n"][later], doc_groups)
+            s["count"] = np.bincount(first[moved], minlength=len(s))
+            s, key, start = s[new], key[new], start[new]
+            grp = (mixed(key) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(grp, kind="stable")
+            s, start, grp = s[order], start[order], grp[order]
+            which, heads = packed(s, grp)
+            sizes = s["size"].astype(np.int64)
+            words = words[_spans(start, sizes)[0]]
+            ends = np.cumsum(sizes)[np.append(np.flatnonzero(grp[1:] != grp[:-1]), len(grp) - 1)]
+            blobs = [words[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([which, marks[0]]).astype(np.int32)), pa.array(blobs + marks[1], pa.binary())], ["grp", "data"]
+                [
+                    pa.array(np.concatenate([which, marks[0]]).astype(np.int32)),
+                    pa.array(heads + marks[1], pa.binary()),
+                    pa.array(blobs + [b""] * len(marks[1]), pa.binary()),
+                ],
+                ["grp", "heads", "words"],
             )
 
         for batch in slices(batches, 128):
             words, which, place = read_words(raw(batch, "text"), cache)
-            starts, _, least = windows(words, which)
-            at = least >> np.uint64(64 - bits)
-            starts = starts[filter_.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]
+            starts, at, least = windows(words, which)
+            bit = least >> np.uint64(64 - bits)
+            likely = filter_.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+            starts, at, least = starts[likely], at[likely], least[likely]
             if not len(starts):
                 continue
-            s = np.zeros(len(starts), _SUFFIX)
-            seven, six = gram_hashes(words, PARTS[0]), gram_hashes(words, PARTS[2])
-            s["a"], s["b"] = seven[starts] >> np.uint64(32), seven[starts + PARTS[0]] >> np.uint64(32)
-            s["c"] = six[starts + PARTS[0] + PARTS[1]] >> np.uint64(32)
-            s["pos"] = place[starts]
-            s["doc"] = batch.column("doc_id").to_numpy(zero_copy_only=False)[which[starts]]
-            held.append(s)
-            size += len(s)
+            alone = long.value[least >> np.uint64(44)]
+            new = np.ones(len(starts), bool)
+            new[1:] = alone[1:] | (at[1:] != at[:-1])
+            first = np.flatnonzero(new)
+            begin, alone = starts[first], alone[first]
+            n = np.diff(np.append(first, len(starts)))
+            end = np.searchsorted(which, which[begin], "right")
+            sizes = np.where(alone, WINDOW, np.minimum(n - 1 + DEPTH, end - begin))
+            span, inside = _spans(begin, sizes)
+            digest = mixed(words[span] + inside.astype(np.uint64) * _STEP)
+            digest = np.add.reduceat(digest, np.cumsum(sizes) - sizes) + (sizes * 64 + n).astype(np.uint64) * _STEP
+            s = np.zeros(len(begin), _STRETCH)
+            s["doc"] = batch.column("doc_id").to_numpy(zero_copy_only=False)[which[begin]]
+            s["pos"], s["n"], s["size"] = place[begin], n, sizes
+            key = np.where(alone, digest, least[first])
+            held.append((s, key, digest, (words[span] >> np.uint64(32)).astype(np.uint32)))
+            size += len(starts)
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -190,45 +236,145 @@ def _suffixes(docs: DataFrame, filter_, bits: int, long, groups: int, doc_groups
             yield flush()
 
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "grp int, data binary")
+    return narrow.mapInArrow(run, "grp int, heads binary, words binary")
+
 
+def _prefix_parts(words: np.ndarray, begin: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Suffixes (by number) split by prefixes of as many words as it takes.
 
-def _trees(doc_groups: int):
-    """Function over a prefix group: marks of its repeats. Groups of marks pass through."""
+    A part holds all suffixes of its prefixes. Only suffixes that agree in a whole window
+    stay together whatever their number.
+    """
+    left = [(np.arange(len(begin)), 0)]
+    while left:
+        part, depth = left.pop()
+        if len(part) <= most or depth == WINDOW:
+            yield part
+            continue
+        word = words[begin[part] + depth]
+        order = np.argsort(word, kind="stable")
+        part, word = part[order], word[order]
+        cuts = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(part))
+        at = 0
+        while at < len(cuts) - 1:
+            # several short prefixes make one part
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + most, "right")) - 1)
+            left.append((part[cuts[at] : cuts[to]], depth + (to == at + 1)))
+            at = to
+
+
+class Subtree:
+    """Suffixes of some prefixes as the leaves of their suffix tree.
+
+    ``lcp[i]``: words that leaf i shares with the one before it. ``size``: a leaf's words.
+    """
+
+    def __init__(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.ndarray):
+        inside = np.arange(DEPTH)
+        text = words[np.minimum(begin[:, None] + inside, len(words) - 1)]
+        text[inside >= size[:, None]] = 0
+        pairs = text[:, 0::2].astype(np.uint64) << np.uint64(32) | text[:, 1::2]
+        order = np.lexsort(pairs.T[::-1])
+        text, self.size, self.doc, self.pos, self.count = text[order], size[order], doc[order], pos[order], count[order]
+        differ = text[1:] != text[:-1]
+        same = np.where(differ.any(1), differ.argmax(1), DEPTH)
+        self.lcp = np.append(0, np.minimum(same, np.minimum(self.size[1:], self.size[:-1])))
+        place = np.lexsort((self.pos, self.doc))
+        self.rank = np.empty(len(place), np.int64)
+        self.rank[place] = np.arange(len(place))
+        self.place = place
+
+    def below(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First leaf of each stretch of leaves that share ``depth`` words, and its earliest leaf."""
+        start = np.flatnonzero(self.lcp < depth)
+        return start, self.place[np.minimum.reduceat(self.rank, start)]
+
+    def later(self) -> np.ndarray:
+        """Whether a leaf below an inner node of depth WINDOW or more has an earlier one beside it."""
+        start, earliest = self.below(WINDOW)
+        first = np.repeat(earliest, np.diff(np.append(start, len(self.lcp))))
+        return (self.doc != self.doc[first]) | (self.pos != self.pos[first])
+
+    def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Inner nodes by depth: depth, occurrences, earliest document and place."""
+        for depth in range(WINDOW, DEPTH + 1):
+            start, earliest = self.below(depth)
+            # leaves part here, or several places end here
+            parts = (self.lcp == depth) | (self.size == depth) & (self.count > 1)
+            node = np.maximum.reduceat(parts & ((self.lcp >= depth) | (self.count > 1)), start)
+            yield depth, np.add.reduceat(self.count, start)[node], self.doc[earliest][node], self.pos[earliest][node]
+
+
+def _subtrees(table: pa.Table, most: int = SUBTREE) -> Iterator[Subtree]:
+    """The suffix trees of one group of stretches."""
+    s = np.frombuffer(b"".join(table.column("heads").to_pylist()), _STRETCH)
+    words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint32)
+    sizes = s["size"].astype(np.int64)
+    of = np.repeat(np.arange(len(s)), s["n"])
+    inside = _spans(np.zeros(len(s), np.int64), s["n"].astype(np.int64))[1]
+    begin = (np.cumsum(sizes) - sizes)[of] + inside
+    size = np.minimum(DEPTH, sizes[of] - inside)
+    pos = s["pos"].astype(np.int64)[of] + inside
+    for part in _prefix_parts(words, begin, most):
+        stretch = of[part]
+        yield Subtree(words, begin[part], size[part], s["doc"][stretch], pos[part], s["count"].astype(np.int64)[stretch])
+
+
+def _trees(doc_groups: int, most: int):
+    """Function over a group of stretches: marks of its repeats. Groups of marks pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("grp")[0].as_py() < 0:
-            return table
-        s, later = repeats(np.frombuffer(b"".join(table.column("data").to_pylist()), _SUFFIX))
-        which, blobs = _marks(s[later], doc_groups)
-        return pa.table({"grp": pa.array(which.astype(np.int32)), "data": pa.array(blobs, pa.binary())})
+            return table.select(["grp", "heads"])
+        doc, pos = [], []
+        for tree in _subtrees(table, most):
+            later = tree.later()
+            doc.append(tree.doc[later])
+            pos.append(tree.pos[later])
+        which, blobs = _marks(np.concatenate(doc), np.concatenate(pos), 1, doc_groups)
+        return pa.table({"grp": pa.array(which.astype(np.int32)), "heads": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _nodes(most: int):
+    """Function over a group of stretches: its inner nodes of depth WINDOW and more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [node for tree in _subtrees(table, most) for node in tree.nodes()]
+        depth = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
+        columns = [depth, *(np.concatenate([x[i] for x in out]) for i in (1, 2, 3))]
+        return pa.table([pa.array(c.astype(np.int64), pa.int64()) for c in columns], ["depth", "occurrences", "doc", "pos"])
 
     return run
 
 
 def _runs(table: pa.Table) -> pa.Table:
     """Per document the stretches of removed words as first and end places."""
-    m = np.frombuffer(b"".join(table.column("data").to_pylist()), _MARK)
+    m = np.frombuffer(b"".join(table.column("heads").to_pylist()), _MARK)
     m = m[np.lexsort((m["pos"], m["doc"]))]
-    new = np.ones(len(m), bool)
-    new[1:] = (m["doc"][1:] != m["doc"][:-1]) | (m["pos"][1:] > m["pos"][:-1] + WINDOW)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(m)) - 1
-    pair = np.stack([m["pos"][begin], m["pos"][end] + WINDOW], 1).astype(np.uint32)
-    docs, blobs = packed(pair, m["doc"][begin])
+    pos = m["pos"].astype(np.int64)
+    number = np.cumsum(np.append(True, m["doc"][1:] != m["doc"][:-1])) - 1  # of the document
+    shift = number << 34
+    until = np.maximum.accumulate(pos + m["n"] + WINDOW - 1 + shift)
+    new = np.append(True, pos[1:] + shift[1:] > until[:-1])
+    end = np.append(np.flatnonzero(new)[1:], len(m)) - 1
+    pair = np.stack([pos[new], (until - shift)[end]], 1).astype(np.uint32)
+    docs, blobs = packed(pair, m["doc"][new])
     return pa.table({"_doc": pa.array(docs, pa.int64()), "_runs": pa.array(blobs, pa.binary())})
 
 
-def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(_doc, _runs): the removed stretches of words of each document that has any."""
+def _grouped(docs: DataFrame, group: int) -> tuple[DataFrame, int]:
+    """Stretches and marks by group (grp, heads, words), and the groups of marks."""
     spark = docs.sparkSession
     first = stored(_first_pass(docs), "substring-anchors")
     anchors = first.where("grp >= 0")
     n = anchors.agg(F.sum(F.length("data") / 8)).first()[0] or 0
     bits = min(FILTER_HIGH, max(FILTER_LOW, int(4 * n).bit_length()))
-    pieces = anchors.select("grp", "data").groupBy("grp").applyInArrow(_filter_piece(bits), "grp int, piece binary, held long")
+    parts = min(bits - 3, max(ANCHOR_GROUPS, int(n / ANCHORS).bit_length()))
+    pieces = _finer(anchors, parts).groupBy("grp").applyInArrow(_filter_piece(bits, parts), "grp int, piece binary, held long")
     filter_, held = np.zeros(1 << (bits - 3), np.uint8), 0
-    size = len(filter_) >> ANCHOR_GROUPS
+    size = len(filter_) >> parts
     for grp, piece, repeated in pieces.toLocalIterator():  # together the filter, of bounded size
         filter_[grp * size : (grp + 1) * size] = np.frombuffer(piece, np.uint8)
         held += repeated
@@ -240,11 +386,28 @@ def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
     groups = max(parallelism(spark), likely // group + 1)
     doc_groups = max(parallelism(spark), likely // (4 * group) + 1)
     share = spark.sparkContext.broadcast
-    found = _suffixes(docs, share(filter_), bits, share(long), groups, doc_groups)
-    marks = found.groupBy("grp").applyInArrow(_trees(doc_groups), "grp int, data binary")
+    return _stretches(docs, share(filter_), bits, share(long), groups, doc_groups), doc_groups
+
+
+def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(_doc, _runs): the removed stretches of words of each document that has any."""
+    found, doc_groups = _grouped(docs, group)
+    marks = found.groupBy("grp").applyInArrow(_trees(doc_groups, min(group, SUBTREE)), "grp int, heads binary")
     return marks.groupBy("grp").applyInArrow(_runs, "_doc long, _runs binary")
 
 
+def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """The deep inner nodes: depth (words), occurrences, and the earliest one's doc and pos.
+
+    A node is a sequence of WINDOW to DEPTH words found at several places and not followed
+    by the same word at all of them (at DEPTH: by whatever words). Sequences of an anchor
+    with over ``group`` windows are given at depth WINDOW alone. Rows repeated with one
+    doc_id are one place where they meet in one task; a null doc_id is the largest long.
+    """
+    found, _ = _grouped(docs, group)
+    return found.where("grp >= 0").groupBy("grp").applyInArrow(_nodes(min(group, SUBTREE)), "depth long, occurrences long, doc long, pos long")
+
+
 def kept_words(text: bytes, runs: bytes | None) -> tuple[list[bytes], int]:
     """Words that stay, and the number of words before."""
     words = text.split()

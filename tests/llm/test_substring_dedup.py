@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from marklens.llm.substring_dedup import dedup, without_repeats
+from marklens.llm.substring_dedup import DEPTH, WINDOW, dedup, repeats, without_repeats
 
 
 def words_of(text):
@@ -54,6 +54,33 @@ def test_same_as_brute_force(documents, seed, group):
     assert result(dedup(documents(rows), group)) == brute(rows)
 
 
+def brute_nodes(rows):
+    """Inner nodes of the suffix tree of all texts, cut at DEPTH, from WINDOW on."""
+    places, follow = {}, {}
+    for i, text in rows:
+        words = words_of(text)
+        for p in range(len(words)):
+            for d in range(WINDOW, min(DEPTH, len(words) - p) + 1):
+                key = tuple(words[p : p + d])
+                places.setdefault(key, []).append((i, p))
+                follow.setdefault(key, []).append(words[p + d] if p + d < len(words) else (i, p))
+    return sorted(
+        (len(key), len(at), *min(at))
+        for key, at in places.items()
+        if len(at) > 1 and (len(key) == DEPTH or len(set(follow[key])) > 1)
+    )
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_nodes_same_as_brute_force(documents, seed):
+    rows = corpus(seed)
+    copy = " ".join(f"c{i}" for i in range(70))
+    rows += [(1001, copy), (1002, copy), (1003, copy + " end"), (1004, "x " + copy)]
+    found = repeats(documents(rows).repartition(3)).select("depth", "occurrences", "doc", "pos").collect()
+    assert sorted(tuple(r) for r in found) == brute_nodes(rows)
+    assert repeats(documents([])).collect() == []
+
+
 def test_edge_cases(documents):
     line = " ".join(f"x{i}" for i in range(20))
     long = " ".join(f"y{i}" for i in range(40_000))
