@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from marklens.operators import matching as M
 from marklens.operators import reporting as R
 from marklens.operators.knn import unit_vectors
 from marklens.plans.balanced import balanced_compare as plan_balanced
-from marklens.plans.dashboard import dashboard
-from marklens.session import cut_lineage
+from marklens.plans.dashboard import dashboard, stored_view
+from marklens.session import cut_lineage, ensure_checkpoint_dir
 from marklens.sources import cache as cache_table
 from marklens.sources import files as file_source
 
@@ -141,6 +143,19 @@ _PAGES_SQL = f"""{_RES} SELECT ceil(count(*) / 6.0::DOUBLE)::BIGINT AS pages FRO
 WHERE final_similarity >= 50 AND NOT infringement_detected"""
 
 
+def dashboard_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last page of the clear results, read from the stored order, with positions."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages = stored_view(results(spark, sf_dir), folder, status="clear")
+    return pages.page(max(1, pages.page_count())).select("position", *_SHOW)
+
+
+_LAST_PAGE_SQL = f"""{_RES} SELECT position, ref_id, cmp_id, logo_name, final_similarity, infringement_detected FROM
+(SELECT *, row_number() OVER (ORDER BY coalesce(final_similarity, 0) DESC, ref_id, cmp_id) AS position, count(*) OVER () AS n
+ FROM res WHERE coalesce(final_similarity, 0) >= 0 AND NOT infringement_detected)
+WHERE position > (n - 1) // 6 * 6"""
+
+
 def top_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_results(results(spark, sf_dir), 20, "vit_similarity").select("vit_similarity", *_SHOW)
 
@@ -408,6 +423,31 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CACHE_SQL = """SELECT concat('/logos/', doc_id::VARCHAR) AS path, n_chars AS length FROM documents WHERE doc_id % 3 = 0"""
 
 
+def cache_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lengths through the feature cache: two runs, the cache as each of them left it."""
+    folder = f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/logos/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length"), "doc_id", "text"
+    )
+
+    def compute(df: DataFrame) -> DataFrame:
+        return df.select("signature", "path", F.length("text").cast("long").alias("feature"))
+
+    columns = ("path", "length")
+    cache_table.with_feature_cache(files.filter("doc_id % 3 <> 0"), folder, compute, columns)
+    cache_table.with_feature_cache(files, folder, compute, columns)
+    last = cache_table.cache_version(spark, folder)
+    parts = [
+        cache_table.read_cache(spark, folder, v).select(F.lit(v).cast("long").alias("version"), "path", "feature")
+        for v in range(last + 1)
+    ]
+    return parts[0].unionByName(parts[-1])
+
+
+_CACHE_VERSIONS_SQL = """SELECT v.version, concat('/logos/', doc_id::VARCHAR) AS path, length(text)::BIGINT AS feature
+FROM documents JOIN (VALUES (0::BIGINT), (1::BIGINT)) v(version) ON v.version = 1 OR doc_id % 3 <> 0"""
+
+
 def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base name and normal form of untidy paths."""
     messy = table(spark, sf_dir, "documents").select(
@@ -432,10 +472,10 @@ def dataset_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        score_fusion, per_reference, summary_rollup, dashboard_stats, dashboard_page, dashboard_pages,
+        score_fusion, per_reference, summary_rollup, dashboard_stats, dashboard_page, dashboard_pages, dashboard_last_page,
         top_results, reference_ranking, all_infringements, report_roundtrip, ratio_match, mutual_match, mutual_match_wide,
         feature_score, best_method, template_score, ssim_score, shape_score, balanced_compare, score_bands,
-        dedup_files, dedup_report, cache_misses, path_names, dataset_footprint,
+        dedup_files, dedup_report, cache_misses, cache_versions, path_names, dataset_footprint,
     )
 }
 ORACLE = {
@@ -445,6 +485,7 @@ ORACLE = {
     "dashboard_stats": _STATS_SQL,
     "dashboard_page": _PAGE_SQL,
     "dashboard_pages": _PAGES_SQL,
+    "dashboard_last_page": _LAST_PAGE_SQL,
     "top_results": _TOP_SQL,
     "reference_ranking": _RANKING_SQL,
     "all_infringements": _INFRINGEMENTS_SQL,
@@ -462,5 +503,6 @@ ORACLE = {
     "dedup_files": _DEDUP_SQL,
     "dedup_report": _DEDUP_REPORT_SQL,
     "cache_misses": _CACHE_SQL,
+    "cache_versions": _CACHE_VERSIONS_SQL,
     "path_names": _PATHS_SQL,
 }

@@ -12,7 +12,7 @@ from marklens.operators import dedup as D
 from marklens.operators import reporting as R
 from marklens.plans import index as I
 from marklens.plans.projection import project_vectors
-from marklens.sources import cache, files, index_store, trademarks
+from marklens.sources import cache, files, index_store, sorted_pages, trademarks
 from marklens.streaming.index_stream import index_stream
 
 
@@ -74,8 +74,43 @@ def test_feature_cache(spark, tmp_path):
     assert seen == [4, 2]
     stats = cache.cache_stats(spark, path).first()
     assert stats.files >= 2 and stats.bytes > 0
+    # hits are not written again, an earlier version stays as it was
+    assert cache.read_cache(spark, path, 0).count() == 4 and cache.read_cache(spark, path, 1).count() == 6
+    third = cache.with_feature_cache(listing, path, compute, columns)
+    assert third.count() == 6 and seen == [4, 2, 0] and cache.cache_version(spark, path) == 1
+    cache.compact_cache(spark, path)
+    assert sorted(r.feature for r in cache.read_cache(spark, path).collect()) == [0, 2, 4, 6, 8, 10]
     cache.clear_cache(spark, path)
-    assert spark.read.parquet(path).count() == 0
+    assert cache.read_cache(spark, path).count() == 0 and cache.read_cache(spark, path, 1).count() == 6
+    assert cache.cache_stats(spark, path).first().files == 0
+    assert cache.with_feature_cache(listing, path, compute, columns).count() == 6
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_sorted_pages(spark, tmp_path, descending):
+    # half of the rows share one score, some have none
+    rows = [(i % 7, i, None if i % 10 == 0 else 50.0 if i % 2 else float(i % 13)) for i in range(230)]
+    frame = spark.createDataFrame(rows, "ref_id long, cmp_id long, final_similarity double").repartition(5)
+    path = str(tmp_path / "pages")
+    sorted_pages.save_sorted(frame, path, descending=descending)
+    pages = sorted_pages.open_sorted(spark, path)
+    key = lambda r: ((r[2] or 0.0) * (-1 if descending else 1), r[0], r[1])
+    expected = [(*r, i) for i, r in enumerate(sorted(rows, key=key), 1)]
+    assert pages.total == 230 and pages.page_count(20) == 12
+    for number in (1, 2, 7, 12, 13):
+        assert [tuple(r) for r in pages.page(number, 20).collect()] == expected[(number - 1) * 20 : number * 20]
+    assert [tuple(r) for r in pages.page(1, 1000).collect()] == expected
+    scan = pages.page(12, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "_page_range" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        pages.page(0)
+
+
+def test_sorted_pages_of_nothing(spark, tmp_path):
+    frame = spark.createDataFrame([], "ref_id long, cmp_id long, final_similarity double")
+    sorted_pages.save_sorted(frame, str(tmp_path / "none"))
+    pages = sorted_pages.open_sorted(spark, str(tmp_path / "none"))
+    assert pages.page_count() == 0 and pages.page(1).collect() == []
 
 
 def test_dedup_stages(spark):
