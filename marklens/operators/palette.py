@@ -6,15 +6,22 @@ image, so per-image windows and arrays stay tiny.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklens.functions import color as C
+from marklens.functions.color_arrays import DELTA_E
 from marklens.functions.scoring import clamp_percent
 from marklens.functions.vector import cosine, euclidean, fit_length, l2_norm
 from marklens.session import spread
 
 _FIELDS = ("slot", "r", "g", "b", "weight")
+_LAB = ("lab_l", "lab_a", "lab_b")
 
 
 def prune_palette(
@@ -177,7 +184,7 @@ def _sides(pairs: DataFrame, palette: DataFrame, pad_to: int | None) -> DataFram
     """Pairs with the colour arrays of both sides (a missing palette is empty).
 
     LAB is taken once per palette colour, before the pairs multiply it. Pairs are
-    spread by their key, so the slot rows aggregate without another shuffle.
+    spread by their key, as they are small now and costly to compare.
     """
     flat = pad_palette(palette, pad_to) if pad_to is not None else palette
     fields = [F.col(f).cast("int").alias(f) for f in _FIELDS[:4]]
@@ -193,34 +200,56 @@ def _sides(pairs: DataFrame, palette: DataFrame, pad_to: int | None) -> DataFram
     return spread(joined, "ref_id", "cmp_id")
 
 
-def _slot_pairs(sides: DataFrame) -> DataFrame:
-    """One row per pair and pair of slots, columns ``{r,g,b,weight,slot}{1,2}``."""
-    return (
-        sides.withColumn("_s1", F.explode("_c1"))
-        .withColumn("_s2", F.explode("_c2"))
-        .select(
-            "ref_id",
-            "cmp_id",
-            *[F.col(f"_s1.{f}").alias(f"{f}1") for f in _FIELDS],
-            *[F.col(f"_s2.{f}").alias(f"{f}2") for f in _FIELDS],
-            *[F.col(f"_s{i}.lab_{c}").alias(f"lab{i}_{c}") for i in (1, 2) for c in "lab"],
-        )
-    )
+def _nearest(sides: DataFrame, fields: Sequence[str], distance: Callable) -> DataFrame:
+    """Pairs with ``near``: per first-side colour its weight ``w`` and least distance ``d``.
 
+    All colours of a pair are compared inside the row, in Arrow batches. ``near`` is
+    empty when a side has no colour.
+    """
 
-def _weighted_best(slots: DataFrame, value: Column, best) -> DataFrame:
-    """Best value per first-side slot, then the mean weighted by that side."""
-    return (
-        slots.groupBy("ref_id", "cmp_id", "slot1")
-        .agg(best(value).alias("_v"), F.first("weight1").alias("_w"))
-        .groupBy("ref_id", "cmp_id")
-        .agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_mean"))
-    )
+    def columns(side: pa.ListArray, names: Sequence[str]) -> np.ndarray:
+        flat = side.flatten()
+        return np.stack([flat.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names], 1)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
+                first, second = rows.column("_c1"), rows.column("_c2")
+                n1, n2 = (pc.fill_null(pc.list_value_length(c), 0).to_numpy().astype(np.int64) for c in (first, second))
+                n1 = np.where(n2 > 0, n1, 0)
+                # colours of the first side that have a partner, and where those begin
+                has = np.repeat(n1 > 0, pc.fill_null(pc.list_value_length(first), 0).to_numpy())
+                x, weight = columns(first, fields)[has], columns(first, ["weight"])[has, 0]
+                y, many = columns(second, fields), np.repeat(n2, n1)
+                start = np.cumsum(many) - many
+                inside = np.arange(many.sum()) - np.repeat(start, many)
+                other = np.repeat(np.repeat(np.cumsum(n2) - n2, n1), many) + inside
+                gap = distance(np.repeat(x, many, 0), y[other])
+                least = np.minimum.reduceat(gap, start) if len(start) else gap
+                near = pa.StructArray.from_arrays([pa.array(weight), pa.array(least)], ["w", "d"])
+                offsets = pa.array(np.append(0, np.cumsum(n1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("ref_id"), rows.column("cmp_id"), pa.ListArray.from_arrays(offsets, near)],
+                    ["ref_id", "cmp_id", "near"],
+                )
 
+    ids = ", ".join(f"{n} {sides.schema[n].dataType.simpleString()}" for n in ("ref_id", "cmp_id"))
+    return sides.mapInArrow(run, f"{ids}, near array<struct<w: double, d: double>>")
 
-def _score(pairs: DataFrame, means: DataFrame, score: Column, name: str) -> DataFrame:
-    keys = ["ref_id", "cmp_id"]
-    return pairs.select(*keys).join(means, keys, "left").withColumn(name, score).drop("_mean")
+
+def _total(near: Column, value: Callable[[Column], Column]) -> Column:
+    return F.aggregate(F.transform(near, value), F.lit(0.0), lambda a, x: a + x)
+
+
+def _weighted(near: Column, value: Callable[[Column], Column]) -> Column:
+    """Mean of ``value`` of the least distances by weight, null without colours."""
+    mean = _total(near, lambda x: value(x["d"]) * x["w"]) / F.nullif(_total(near, lambda x: x["w"]), F.lit(0.0))
+    return F.when(F.size(near) > 0, mean)
+
+
+def _rgb_gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(1))
 
 
 def family_overlap(pairs: DataFrame, palette: DataFrame, min_weight: float = 0.05) -> DataFrame:
@@ -260,12 +289,13 @@ def strict_color_score(
     pairs: DataFrame, palette: DataFrame, metric: str = "de2000", slots: int = 8
 ) -> DataFrame:
     """Strict palette similarity with a penalty for different colour families."""
-    rows = _slot_pairs(_sides(pairs, palette, slots)).filter(F.col("weight1") >= 0.05)
-    means = _weighted_best(C.DELTA_E[metric](rows, "lab1_", "lab2_"), F.col("delta_e"), F.min)
+    keys = ["ref_id", "cmp_id"]
+    near = _nearest(_sides(pairs, palette, slots), _LAB, DELTA_E[metric])
+    heavy = F.filter("near", lambda x: x["w"] >= 0.05)
+    means = near.select(*keys, _weighted(heavy, lambda d: d).alias("_mean")).dropDuplicates(keys)
     overlap = family_overlap(pairs, palette)
     penalty = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("family_overlap") * 2)
     raw = C.strict_curve(F.coalesce("_mean", F.lit(100.0)))
-    keys = ["ref_id", "cmp_id"]
     return (
         overlap.join(means, keys, "left")
         .withColumn("color_similarity", clamp_percent(raw * (F.lit(1.0) - penalty)))
@@ -278,39 +308,25 @@ def perceptual_color_score(
 ) -> DataFrame:
     """Weighted best colour similarity; 0 when a side has no usable colour."""
     usable = (F.col("weight") > 0.01) & (F.greatest("r", "g", "b") > 0)
-    rows = _slot_pairs(_sides(pairs, palette.filter(usable), None))
-    scored = C.DELTA_E[metric](rows, "lab1_", "lab2_")
-    means = _weighted_best(scored, C.perceptual_curve(F.col("delta_e")), F.max)
-    return _score(pairs, means, F.coalesce("_mean", F.lit(0.0)), "color_similarity")
+    near = _nearest(_sides(pairs, palette.filter(usable), None), _LAB, DELTA_E[metric])
+    # the curve never rises, so the nearest colour is the most similar one
+    score = F.coalesce(_weighted(F.col("near"), C.perceptual_curve), F.lit(0.0))
+    return near.select("ref_id", "cmp_id", score.alias("color_similarity"))
 
 
 def lab_color_score(pairs: DataFrame, palette: DataFrame, metric: str = "de94") -> DataFrame:
     """Coverage-weighted closeness of the nearest colours in LAB."""
-    rows = _slot_pairs(_sides(pairs, palette.filter(F.col("weight") > 0), None))
-    scored = C.DELTA_E[metric](rows, "lab1_", "lab2_")
-    best = (
-        scored.groupBy("ref_id", "cmp_id", "slot1")
-        .agg(F.min("delta_e").alias("_d"), F.first("weight1").alias("_w"))
-        .groupBy("ref_id", "cmp_id")
-        .agg((F.sum(C.lab_curve(F.col("_d")) * F.col("_w")) / F.sum("_w")).alias("_mean"))
-    )
-    return _score(pairs, best, F.coalesce("_mean", F.lit(0.0)), "color_similarity")
+    near = _nearest(_sides(pairs, palette.filter(F.col("weight") > 0), None), _LAB, DELTA_E[metric])
+    score = F.coalesce(_weighted(F.col("near"), C.lab_curve), F.lit(0.0))
+    return near.select("ref_id", "cmp_id", score.alias("color_similarity"))
 
 
 def rgb_color_score(pairs: DataFrame, palette: DataFrame, slots: int = 5) -> DataFrame:
     """1 - mean nearest RGB distance over the padded palettes, in percent."""
-    rows = _slot_pairs(_sides(pairs, palette, slots))
-    gap = C.rgb_distance(
-        tuple(F.col(f"{c}1") for c in "rgb"), tuple(F.col(f"{c}2") for c in "rgb")
-    )
-    means = (
-        rows.groupBy("ref_id", "cmp_id", "slot1")
-        .agg(F.min(gap).alias("_d"))
-        .groupBy("ref_id", "cmp_id")
-        .agg(F.avg("_d").alias("_mean"))
-    )
-    score = F.coalesce(C.rgb_similarity(F.col("_mean")), F.lit(0.0))
-    return _score(pairs, means, score, "color_similarity")
+    near = _nearest(_sides(pairs, palette, slots), ("r", "g", "b"), _rgb_gap)
+    mean = _total(F.col("near"), lambda x: x["d"]) / F.nullif(F.size("near"), F.lit(0))
+    score = F.coalesce(C.rgb_similarity(mean), F.lit(0.0))
+    return near.select("ref_id", "cmp_id", score.alias("color_similarity"))
 
 
 def vector_color_score(pairs: DataFrame, vectors: DataFrame, method: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklens.functions import color as C
+from marklens.functions.color_arrays import DELTA_E
 from marklens.operators import kmeans
 from marklens.operators import palette as P
 from marklens.operators import pixels as X
@@ -122,3 +123,37 @@ def test_sanity_report_warns(spark):
     pairs = spark.createDataFrame([(0, 0), (0, 1)], "ref_id long, cmp_id long")
     got = {r.cmp_id: r for r in sanity_report(pairs, hist, edges).collect()}
     assert not got[0].warning and got[1].warning and got[1].color_distance == 0
+
+
+@pytest.mark.parametrize("metric", ["de76", "de94", "de2000"])
+def test_color_arrays_equal_columns(spark, metric):
+    rng = np.random.default_rng(5)
+    lab = rng.uniform([0, -100, -100], [100, 100, 100], (400, 2, 3)).transpose(1, 0, 2)
+    lab[:, :40, 1:] = 0  # grays
+    lab[1, 40:80] = lab[0, 40:80]
+    rows = [(i, *x.tolist(), *y.tolist()) for i, (x, y) in enumerate(zip(*lab, strict=True))]
+    names = [f"{p}{c}" for p in ("x_", "y_") for c in "lab"]
+    frame = spark.createDataFrame(rows, "i long, " + ", ".join(f"{n} double" for n in names))
+    got = C.DELTA_E[metric](frame, "x_", "y_").orderBy("i").collect()
+    assert np.allclose([r.delta_e for r in got], DELTA_E[metric](*lab), rtol=1e-9, atol=1e-9)
+
+
+def test_nearest_colours_by_hand(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"a": 3, "b": 1, "c": 8, "d": 0}
+    colours = {k: [(s, *map(int, rng.integers(1, 256, 3)), float(rng.uniform(0.02, 1))) for s in range(n)] for k, n in sizes.items()}
+    palette = spark.createDataFrame([(k, *c) for k, v in colours.items() for c in v], "image_id string, slot int, r int, g int, b int, weight double")
+    keys = [(x, y) for x in sizes for y in sizes] + [("a", "c"), (None, "a"), ("a", "gone")]
+    pairs = spark.createDataFrame(keys, "ref_id string, cmp_id string")
+    expected = []
+    for x, y in keys:
+        one, two = colours.get(x, []), colours.get(y, [])
+        gaps = [min(sum((p - q) ** 2 for p, q in zip(c[1:4], d[1:4], strict=True)) ** 0.5 for d in two) for c in one if two]
+        expected.append((x or "", y, round((1 - np.mean(gaps) / (255 * 3**0.5)) * 100, 6) if gaps else 0.0))
+    flat = P._nearest(P._sides(pairs, palette, None), ("r", "g", "b"), P._rgb_gap)
+    mean = F.expr("aggregate(near, 0D, (a, x) -> a + x.d) / nullif(size(near), 0)")
+    got = flat.select("ref_id", "cmp_id", F.coalesce(C.rgb_similarity(mean), F.lit(0.0)).alias("s")).collect()
+    assert sorted((r.ref_id or "", r.cmp_id, round(r.s, 6)) for r in got) == sorted(expected)
+    for score in (P.strict_color_score, P.perceptual_color_score, P.lab_color_score, P.rgb_color_score):
+        scores = {(r.ref_id, r.cmp_id): r.color_similarity for r in score(pairs, palette).collect()}
+        assert len(scores) == len(set(keys)) and all(0 <= v <= 100 for v in scores.values())
