@@ -21,10 +21,12 @@ def l2_norm(vec: Column) -> Column:
 
 
 def normalised(vec: Column, norm: Column) -> Column:
-    """Unit length by a norm computed before; the zero vector stays as it is."""
-    return F.when(norm == 0, vec).otherwise(
-        F.transform(vec, lambda x: x / F.nullif(norm, F.lit(0.0)))
-    )
+    """Unit length by a norm computed before; the zero vector stays as it is.
+
+    The norm stands beside the numbers, so that it is not computed again for each of them.
+    """
+    norms = F.array_repeat(F.nullif(norm, F.lit(0.0)), F.size(vec))
+    return F.when(norm == 0, vec).otherwise(F.zip_with(vec, norms, lambda x, n: x / n))
 
 
 def euclidean(a: Column, b: Column) -> Column:

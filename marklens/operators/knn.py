@@ -11,32 +11,30 @@ a top-k. Answers are exact, and no id or cluster can make a task larger than two
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.vector import doubles, l2_norm, normalised
+from marklens.operators.blocks import HITS, Deal, best_hits, block_size, hits_of_visits, matrix
 from marklens.operators.grouping import top_k
 from marklens.operators.pivots import pivot_hits
-from marklens.session import fits
+from marklens.session import cut_lineage, fits, spread
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1 << 15
 BROADCAST_CELLS = 4_000_000  # at most 32 MB of doubles
-#: Digits of a score in results; ranking uses all but the noise of summation.
-SCORE_DIGITS, RANK_DIGITS = 6, 12
+#: Digits of a score in results.
+SCORE_DIGITS = 6
 # Least lists and default probes of the inverted-file index.
 MIN_LISTS, MOST_PROBES = 10, 32
 #: Queries on which the number of probes is fitted, and the recall they must reach (0.9 with a margin).
 FIT_QUERIES, FIT_RECALL = 400, 0.95
 
-_HITS = "query_id long, base_id long, score double"
-
-
 def clamp_k(k: int, rows: int, cap: int | None = None) -> int:
     """Search depth: ``k`` within the index size and, if one is asked for, the cap."""
     depth = min(k, rows)
@@ -55,54 +53,6 @@ def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def _scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Scores to rank by, larger is better (L2 is negated squared distance)."""
-    products = q @ b.T
-    if metric == "ip":
-        return np.round(products, RANK_DIGITS)
-    squares = (q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-    return -np.round(np.maximum(squares - 2.0 * products, 0.0), RANK_DIGITS)
-
-
-def _best_hits(
-    q_ids: np.ndarray,
-    q_vecs: np.ndarray,
-    b_ids: np.ndarray,
-    b_vecs: np.ndarray,
-    k: int | None,
-    metric: str,
-    min_score: float | None,
-    skip_self: bool,
-) -> pd.DataFrame:
-    """Best ``k`` base rows per query inside one pair of blocks (ties by base id)."""
-    frames = []
-    for start in range(0, len(q_ids), 256):
-        ids = q_ids[start : start + 256]
-        scores = _scores(q_vecs[start : start + 256], b_vecs, metric)
-        keep = np.ones(scores.shape, dtype=bool)
-        if skip_self:
-            keep &= ids[:, None] != b_ids[None, :]
-        if min_score is not None:
-            keep &= scores >= min_score
-        if k is not None and scores.shape[1] > k + 1:
-            masked = np.where(keep, scores, -np.inf)
-            kth = np.partition(masked, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            keep &= scores >= kth[:, None]
-        rows, cols = np.nonzero(keep)
-        frame = pd.DataFrame(
-            {"query_id": ids[rows], "base_id": b_ids[cols], "score": scores[rows, cols]}
-        )
-        if k is not None and len(frame):
-            frame = frame.sort_values(
-                ["query_id", "score", "base_id"], ascending=[True, False, True]
-            )
-            frame = frame[frame.groupby("query_id").cumcount() < k]
-        frames.append(frame)
-    if not frames:
-        return pd.DataFrame({"query_id": [], "base_id": [], "score": []})
-    return pd.concat(frames, ignore_index=True)
-
-
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
@@ -119,32 +69,31 @@ def _hits_broadcast(queries, base, k, metric, min_score, skip_self) -> DataFrame
         (rows["query_id"].to_numpy(), _matrix(rows["vec"]))
     )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches):
         q_ids, q_vecs = shared.value
         for batch in batches:
-            if len(batch):
-                yield _best_hits(
-                    q_ids, q_vecs, batch["base_id"].to_numpy(), _matrix(batch["vec"]),
+            if batch.num_rows:
+                found = best_hits(
+                    q_ids, q_vecs, batch.column("base_id").to_numpy(), matrix(batch.column("vec")),
                     k, metric, min_score, skip_self,
                 )
+                yield from found.to_batches()
 
-    return base.mapInPandas(scan, _HITS)
+    return base.mapInArrow(scan, HITS)
 
 
 def hits_of_cells(queries, base, k, metric, min_score, skip_self) -> DataFrame:
     """Both sides carry ``cell`` columns; rows of equal cells meet."""
     cells = [c for c in queries.columns if c.startswith("cell")]
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "base_id": [], "score": []})
-        return _best_hits(
-            left["query_id"].to_numpy(), _matrix(left["vec"]),
-            right["base_id"].to_numpy(), _matrix(right["vec"]),
-            k, metric, min_score, skip_self,
-        )
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        q_ids, q_vecs = left.column("query_id").to_numpy(), matrix(left.column("vec"))
+        b_ids, b_vecs = right.column("base_id").to_numpy(), matrix(right.column("vec"))
+        if not len(q_ids) or not len(b_ids):
+            q_ids, q_vecs, b_ids, b_vecs = q_ids[:0], q_vecs[:0], b_ids[:0], b_vecs[:0]
+        return best_hits(q_ids, q_vecs, b_ids, b_vecs, k, metric, min_score, skip_self)
 
-    return queries.groupBy(*cells).cogroup(base.groupBy(*cells)).applyInPandas(meet, _HITS)
+    return queries.groupBy(*cells).cogroup(base.groupBy(*cells)).applyInArrow(meet, HITS)
 
 
 def vector_join(
@@ -179,10 +128,13 @@ def vector_join(
     b = _prepared(base, base_id, vector, "base_id")
     head = q.select(F.size("vec").alias("n")).first()
     if head is None:
-        hits = q.sparkSession.createDataFrame([], _HITS)
+        hits = q.sparkSession.createDataFrame([], HITS)
     elif fits(q, broadcast_cells // max(head["n"], 1)):
-        hits = _hits_broadcast(q, b, k, metric, floor, skip_self)
+        small = fits(b, broadcast_cells // max(head["n"], 1))  # a few files are few tasks
+        hits = _hits_broadcast(q, spread(b, "base_id") if small else b, k, metric, floor, skip_self)
     else:
+        # several rounds read both sides
+        q, b = cut_lineage(spread(q, "query_id")), cut_lineage(spread(b, "base_id"))
         hits = pivot_hits(q, b, k, metric, floor, skip_self, block_rows, copies=copies)
     return _ranked(hits, k, metric)
 
@@ -285,6 +237,30 @@ def fitted_probes(q: DataFrame, b: DataFrame, centroids: DataFrame, k: int, skip
     return int(np.quantile(places, FIT_RECALL, method="higher"))
 
 
+def _hits_of_lists(q: DataFrame, b: DataFrame, centroids: DataFrame, probes: int, k: int, skip_self: bool, block_rows: int) -> DataFrame:
+    """Hits in the ``probes`` best lists of each query, lists dealt by blocks."""
+    table = centroids.toPandas().sort_values("centroid_id", ignore_index=True)  # size checked
+    sizes = {r["cell"]: r["count"] for r in b.groupBy("cell").count().collect()}  # one row per list
+    number = {int(c): i for i, c in enumerate(table["centroid_id"])}
+    rows = np.array([sizes.get(c, 0) for c in number], np.int64)
+    if not rows.sum():
+        return q.sparkSession.createDataFrame([], HITS)
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = Deal(rows, block_size(int(rows.sum()), block_rows, tasks))
+    shared = q.sparkSession.sparkContext.broadcast(_matrix(table["centroid"]))
+    probes = min(probes, len(table))
+
+    def want(batch) -> np.ndarray:
+        scores = matrix(batch.column("vec")) @ shared.value.T
+        wanted = np.zeros(scores.shape, bool)
+        np.put_along_axis(wanted, np.argsort(-scores, axis=1, kind="stable")[:, :probes], True, 1)
+        return wanted & (rows > 0)
+
+    named = q.sparkSession.createDataFrame(list(number.items()), "cell int, _number int")
+    numbered = b.join(F.broadcast(named), "cell").select("base_id", "vec", F.col("_number").alias("cell"))
+    return hits_of_visits(q, numbered, deal, want, k, "ip", None, skip_self)
+
+
 def ivf_knn_join(
     queries: DataFrame,
     index: DataFrame,
@@ -311,7 +287,11 @@ def ivf_knn_join(
         doubles(F.col(vector)).alias("vec"),
         F.col("centroid_id").alias("cell"),
     )
+    q, b = cut_lineage(spread(q, "query_id")), cut_lineage(spread(b, "base_id"))
     probes = fitted_probes(q, b, centroids, k, skip_self) if probes is None else probes
+    width = centroids.select(F.size("centroid")).first()[0]
+    if fits(centroids, BROADCAST_CELLS // max(width, 1)):
+        return _ranked(_hits_of_lists(q, b, centroids, probes, k, skip_self, block_rows), k, "ip")
     q = nearest_lists(q, centroids, probes, "vec", "query_id").withColumnRenamed("centroid_id", "cell")
 
     def parts(df: DataFrame, name: str) -> DataFrame:
@@ -324,7 +304,7 @@ def ivf_knn_join(
     if lists <= BROADCAST_CELLS // 3:
         sizes = F.broadcast(sizes)
 
-    def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str, id_name: str):
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str, id_name: str):
         return (
             df.join(sizes, "cell")
             .withColumn(own, F.pmod(F.xxhash64(id_name), F.col(own_n)))
@@ -332,7 +312,7 @@ def ivf_knn_join(
             .drop("_nb", "_nq")
         )
 
-    q = spread(q, "cell_q", "_nq", "cell_b", "_nb", "query_id")
-    b = spread(b, "cell_b", "_nb", "cell_q", "_nq", "base_id")
+    q = dealt(q, "cell_q", "_nq", "cell_b", "_nb", "query_id")
+    b = dealt(b, "cell_b", "_nb", "cell_q", "_nq", "base_id")
     hits = hits_of_cells(q, b, k, "ip", None, skip_self)
     return _ranked(hits, k, "ip")

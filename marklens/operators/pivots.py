@@ -5,8 +5,8 @@ the triangle inequality a query at distance d from the pivot is at least ``lo -
 ``d - hi`` away from all rows of a ring that spans ``lo`` to ``hi``. A top-k query first
 visits the nearest rings that hold k rows; the k-th distance found there is a bound, and
 in a second round only rings that may beat it are visited. A threshold is such a bound
-from the start. Base rows are not copied but for rings that more queries visit than fit
-a block; queries are copied once per ring visited.
+from the start. Rings travel in blocks (see ``blocks``), near pivots side by side: queries
+are copied once per block visited, blocks once per part of their visitors.
 
 Inner products become distances in one more dimension: a base row gets the coordinate
 ``sqrt(m^2 - |b|^2)`` (m: the largest norm), a query 0, and the larger the product, the
@@ -18,7 +18,6 @@ Pivots, and the rings of a pivot, are bounded in number, so what is broadcast is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.vector import l2_norm
+from marklens.operators.blocks import Deal, block_size, hits_of_visits, matrix, visits
 from marklens.operators.grouping import top_k
 from marklens.session import cut_lineage
 
 #: Most pivots, and most rings of one pivot. They bound every broadcast of this module.
 PIVOTS, RINGS = 2048, 32
+#: Rows of a ring, about, at most.
+RING_ROWS = 4096
 #: Bounds are kept a little loose, so that rounding excludes no row.
 SLACK = 1e-6
 
@@ -85,6 +87,16 @@ def _nearest_pivot(base: DataFrame, pivots: np.ndarray, lift: float | None) -> D
     return base.withColumn("_p", nearest("vec")).select("base_id", "vec", "_p.pivot", "_p.dist")
 
 
+def _side_by_side(table: np.ndarray) -> np.ndarray:
+    """The rows in an order in which each is followed by the nearest one left."""
+    left, order = np.ones(len(table), bool), [0]
+    for _ in range(len(table) - 1):
+        left[order[-1]] = False
+        apart = ((table - table[order[-1]]) ** 2).sum(1)
+        order.append(int(np.where(left, apart, np.inf).argmin()))
+    return table[order]
+
+
 def partition(base: DataFrame, metric: str, block_rows: int, pivots: int | None = None) -> tuple[DataFrame, Partitions]:
     """``base`` (base_id, vec) with its pivot and ring, written down, and their bounds.
 
@@ -96,12 +108,12 @@ def partition(base: DataFrame, metric: str, block_rows: int, pivots: int | None
     wanted = min(PIVOTS, pivots or max(1, math.isqrt(n)))
     picked = base.select("vec", F.xxhash64("base_id").alias("_h")).orderBy("_h").limit(2 * wanted)
     table = np.unique(_matrix([r["vec"] for r in picked.collect()]), axis=0)  # bounded by PIVOTS
-    table = table[np.random.default_rng(7).permutation(len(table))[:wanted]]
+    table = _side_by_side(table[np.random.default_rng(7).permutation(len(table))[:wanted]])
     lift = widest * (1 + 1e-12) if metric == "ip" else None
     placed = cut_lineage(_nearest_pivot(base, table, lift))
     shares = [i / RINGS for i in range(1, RINGS)]
     cuts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("dist", shares).alias("cuts"))
-    every = F.greatest(F.lit(1), F.floor(F.lit(float(RINGS * block_rows)) / F.col("rows"))).cast("int")
+    every = F.greatest(F.lit(1), F.floor(F.lit(float(RINGS * min(block_rows, RING_ROWS))) / F.col("rows"))).cast("int")
     # each n-th quantile, so that a ring holds about a block; one row per pivot
     cuts = cuts.select("pivot", F.filter("cuts", lambda _, i: (i + 1) % every == 0).alias("cuts"))
     ringed = placed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("dist"))))
@@ -111,56 +123,35 @@ def partition(base: DataFrame, metric: str, block_rows: int, pivots: int | None
     return ringed, Partitions(table, lift, pivot, ring, low, high, rows)
 
 
-def _visits(queries: DataFrame, parts: Partitions, k: int | None) -> DataFrame:
-    """One row per query and ring to visit: without ``k`` the rings within ``reach``,
-    else the nearest ones that hold ``k`` rows; ``seen`` tells how many of the nearest
-    rings an earlier round has visited."""
-    shared = queries.sparkSession.sparkContext.broadcast(parts)
-    names = ["query_id", "vec"]
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.iloc[start : start + 256]
-                bounds = p.bounds(_matrix(batch["vec"]))
-                order = np.argsort(bounds, axis=1, kind="stable")
-                if k is None:
-                    reach = batch["reach"].to_numpy()[:, None]
-                    wanted = np.take_along_axis(bounds, order, 1) <= reach
-                    wanted &= np.arange(order.shape[1]) >= batch["seen"].to_numpy()[:, None]
-                else:
-                    held = np.cumsum(p.rows[order], axis=1)
-                    wanted = (held - p.rows[order]) < k
-                row, place = np.nonzero(wanted)
-                cell = order[row, place]
-                yield pd.DataFrame({
-                    "query_id": batch["query_id"].to_numpy()[row], "vec": batch["vec"].to_numpy()[row],
-                    "pivot": p.pivot[cell].astype(np.int32), "ring": p.ring[cell].astype(np.int32),
-                    "seen": wanted.sum(1)[row],
-                })
-
-    more = ["reach", "seen"] if k is None else []
-    return queries.select(*names, *more).mapInPandas(plan, "query_id long, vec array<double>, pivot int, ring int, seen long")
-
-
-def _meet(visits: DataFrame, base: DataFrame, k, metric, floor, skip_self, block_rows) -> DataFrame:
-    """Hits of the visits; rings and visitors beyond a block are split in salted parts."""
-    from marklens.operators.knn import hits_of_cells
-
-    cell = ["pivot", "ring"]
-    size = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
-    # one row per ring: bounded by PIVOTS * RINGS
-    parts = F.broadcast(size(base, "_nb").join(size(visits, "_nq"), cell))
+def _nearest_rings(parts: Partitions, k: int):
+    """Function over a batch of queries: the nearest rings that hold ``k`` rows."""
+
+    def want(batch) -> np.ndarray:
+        bounds = parts.bounds(matrix(batch.column("vec")))
+        order = np.argsort(bounds, axis=1, kind="stable")
+        held = np.cumsum(parts.rows[order], axis=1)
+        wanted = np.zeros(bounds.shape, bool)
+        np.put_along_axis(wanted, order, held - parts.rows[order] < k, 1)
+        return wanted
+
+    return want
 
-    def split(df: DataFrame, own: str, own_n: str, other: str, other_n: str, key: str) -> DataFrame:
-        salted = df.join(parts, cell).withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
-        return salted.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)))
 
-    named = [F.col("pivot").alias("cell_p"), F.col("ring").alias("cell_r"), "cell_q", "cell_b", "vec"]
-    q = split(visits, "cell_q", "_nq", "cell_b", "_nb", "query_id").select("query_id", *named)
-    b = split(base, "cell_b", "_nb", "cell_q", "_nq", "base_id").select("base_id", *named)
-    return hits_of_cells(q, b, k, metric, floor, skip_self)
+def _rings_within(parts: Partitions):
+    """The rings within ``reach``, but for as many of the nearest as an earlier round has ``seen``."""
+
+    def want(batch) -> np.ndarray:
+        bounds = parts.bounds(matrix(batch.column("vec")))
+        wanted = bounds <= batch.column("reach").to_numpy()[:, None]
+        seen = batch.column("seen").to_numpy()
+        if seen.any():
+            # stable, so in the order of the earlier round
+            order = np.argsort(bounds, axis=1, kind="stable")[:, : seen.max()]
+            earlier = np.arange(order.shape[1]) < seen[:, None]
+            np.put_along_axis(wanted, order, np.take_along_axis(wanted, order, 1) & ~earlier, 1)
+        return wanted
+
+    return want
 
 
 def _reach(score, norm, lift: float | None):
@@ -182,29 +173,37 @@ def pivot_hits(
     if not base.head(1):
         return queries.sparkSession.createDataFrame([], "query_id long, base_id long, score double")
     ringed, parts = partition(base, metric, block_rows, pivots)
-    ringed = cut_lineage(ringed)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = Deal(parts.rows, block_size(int(parts.rows.sum()), block_rows, tasks))
+    number = queries.sparkSession.createDataFrame(
+        [(int(p), int(r), i) for i, (p, r) in enumerate(zip(parts.pivot, parts.ring))], "pivot int, ring int, cell int"
+    )
+    # one row per ring: bounded by PIVOTS * RINGS
+    celled = cut_lineage(ringed.join(F.broadcast(number), ["pivot", "ring"]).select("base_id", "vec", "cell"))
     queries = queries.withColumn("_norm", l2_norm(F.col("vec")))
     reach = None if floor is None else _reach(F.lit(float(floor)), F.col("_norm"), parts.lift) * (1 + SLACK) + SLACK
+
+    def round_of(asking: DataFrame, want) -> tuple[DataFrame, DataFrame]:
+        counted = cut_lineage(visits(asking, deal, want, False).select("query_id", "block", "cells"))
+        _noted(copies, counted)
+        return counted, hits_of_visits(asking, celled, deal, want, k, metric, floor, skip_self, counted)
+
     if k is None:
-        near = queries.withColumns({"reach": reach, "seen": F.lit(0).cast("long")})
-        visits = cut_lineage(_visits(near, parts, None))
-        _noted(copies, visits)
-        return _meet(visits, ringed, None, metric, floor, skip_self, block_rows)
-    first = cut_lineage(_visits(queries, parts, k + skip_self))
-    found = _meet(first, ringed, k, metric, floor, skip_self, block_rows)
+        near = queries.select("query_id", "vec", reach.alias("reach"), F.lit(0).cast("long").alias("seen"))
+        return round_of(near, _rings_within(parts))[1]
+    first, found = round_of(queries.select("query_id", "vec"), _nearest_rings(parts, k + skip_self))
     found = cut_lineage(top_k(found, ["query_id"], [F.desc("score"), F.asc("base_id")], k).drop("rank"))
     kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
-    seen = first.groupBy("query_id").agg(F.max("seen").alias("seen"))
+    seen = first.groupBy("query_id").agg(F.max("cells").alias("seen"))
     near = queries.join(seen, "query_id", "left").join(kth, "query_id", "left").fillna(0, ["seen"])
     by_kth = F.when(F.col("_kth").isNotNull(), _reach(F.col("_kth"), F.col("_norm"), parts.lift) * (1 + SLACK) + SLACK)
     widest = F.lit(float("inf")) if reach is None else reach
     near = near.withColumn("reach", F.least(F.coalesce(by_kth, F.lit(float("inf"))), widest))
-    second = cut_lineage(_visits(near, parts, None).select("query_id", "vec", "pivot", "ring"))
-    _noted(copies, first, second)
-    more = _meet(second, ringed, k, metric, floor, skip_self, block_rows)
+    more = round_of(cut_lineage(near.select("query_id", "vec", "reach", "seen")), _rings_within(parts))[1]
     return found.unionByName(more.select(*found.columns))
 
 
-def _noted(copies: list | None, *visits: DataFrame) -> None:
+def _noted(copies: list | None, counted: DataFrame) -> None:
     if copies is not None:
-        copies += [v.count() for v in visits]
+        each = counted.groupBy("query_id").agg(F.max("cells").alias("cells"))
+        copies.append(each.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0])
