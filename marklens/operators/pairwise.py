@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from marklens.session import cut_lineage
 
 PAIR = ["ref_id", "cmp_id"]
-#: Images of a block.
-IMAGE_BLOCK = 128
+#: Images of a block at least, and pairs of a cell, about, where there are enough.
+IMAGE_BLOCK, CELL_PAIRS = 128, 1024
 
 
 def _nested(features: DataFrame, value: str, order: str | None) -> DataFrame:
@@ -36,11 +38,13 @@ def per_pair(
     ``match`` gets the features of both sides as matrices, in the order of the column
     ``order``, and gives one array for each of ``columns`` (name: long or double). Pairs
     are dealt to cells of two blocks of images, so an image goes once to each cell in
-    which it has a pair, and a task holds about ``2 * IMAGE_BLOCK`` images. A side without
-    features has no keys and None for rows. Repeated pairs are matched each.
+    which it has a pair. Many pairs are dealt to blocks of ``IMAGE_BLOCK`` images; few ones
+    to larger blocks, so that there are as many cells as ``CELL_PAIRS`` need and a cell has
+    about two images for each of its pairs at most. A side without features has no keys
+    and None for rows. Repeated pairs are matched each.
     """
     images = cut_lineage(_nested(features, value, order))
-    blocks = images.count() // IMAGE_BLOCK + 1
+    blocks = min(images.count() // IMAGE_BLOCK, math.isqrt(pairs.count() // CELL_PAIRS)) + 1
 
     def block(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks)).alias(f"_{column}")
