@@ -95,6 +95,26 @@ def test_best_marks_with_copies(spark):
         assert got == [i for i in range(60) if i % 3 and i != ref][:4]
 
 
+@pytest.mark.parametrize("entries", [P.LIST_ENTRIES, 0])
+def test_best_marks_ranks_in_the_row(spark, monkeypatch, entries):
+    """Lists are sorted once per text: no window over references, same ranks as brute force."""
+    monkeypatch.setattr(P, "LIST_ENTRIES", entries)
+    names = ["nike", "nikes", "nikee", "puma", "pumas", None, ""]
+    marks = spark.createDataFrame([(i, names[i * i % 7]) for i in range(80)], "mark_id long, mark_text string")
+    texts = P.distinct_texts(marks, "mark_text")
+    pairs = P.containment_score_pairs(texts, texts, 70.0)
+    scores = {(r.text1, r.text2): r.text_similarity for r in pairs.collect()}
+    rows = [(r.mark_id, r.mark_text) for r in marks.collect()]
+    for itself in (True, False):
+        best = P.best_marks(marks, marks, pairs, 5, exclude_self=itself)
+        assert best._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 0
+        want = []
+        for i, a in rows:
+            near = sorted((-scores[a, b], j) for j, b in rows if (a, b) in scores and not (itself and i == j))
+            want += [(i, n, j) for n, (_, j) in enumerate(near[:5], 1)]
+        assert sorted((r.ref_id, r["rank"], r.cmp_id) for r in best.collect()) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
