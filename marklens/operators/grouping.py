@@ -73,7 +73,7 @@ def carry_forward(
         F.min(position).alias("_at"),
         *[F.max_by(v, F.when(F.col(v).isNotNull(), position)).alias(v) for v in values],
     )
-    entering = _carry_before(last_values, parents, values)
+    entering = carry_before(last_values, parents, values)
     return (
         filled.join(
             entering.select(*block, *[F.col(v).alias(f"_in_{v}") for v in values]), block, "left"
@@ -83,7 +83,7 @@ def carry_forward(
     )
 
 
-def _carry_before(
+def carry_before(
     blocks: DataFrame, levels: Sequence[Sequence[str]], values: Sequence[str]
 ) -> DataFrame:
     """Latest value strictly before each block, over ever coarser parents."""
@@ -98,7 +98,7 @@ def _carry_before(
         F.min("_at").alias("_at"),
         *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_at"))).alias(v) for v in values],
     )
-    entering = _carry_before(summary, further, values)
+    entering = carry_before(summary, further, values)
     return (
         filled.join(
             entering.select(*parent, *[F.col(v).alias(f"_in_{v}") for v in values]),

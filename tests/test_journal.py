@@ -94,3 +94,32 @@ def test_logo_placeholder(spark):
     images = spark.createDataFrame([(1, 0, 3), (1, 0, 2)], "doc_id int, page_no int, img_index int")
     got = {r.application_number: r.logo_path for r in J.extract_trademarks(lines, "client", images).collect()}
     assert got == {"1": "1_page_0_img_2.png", "2": "2_page_0_img_2.png", "9": None}
+
+
+def test_lines_of_orders_equal_the_view(spark):
+    from catalog.fixtures import view
+    from catalog.journal import _lines
+
+    folder = "/root/testdata/sf0.001"
+    got, want = _lines(spark, folder), view(spark, folder, "journal_lines")
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_are_shuffled_once_in_partitions_that_follow_them(spark, monkeypatch):
+    """Values pass blocks without marks, and the only shuffle of lines has a part for each TASK_LINES."""
+    monkeypatch.setattr(J, "PAGE_BLOCK", 2)
+    monkeypatch.setattr(J, "TASK_LINES", 10)
+    pages = [(1, 0, "Trade Marks Journal No: 7 , 01/01/2020 Class 4\n1 01/01/2020\nA CO\nClass 8")]
+    pages += [(1, n, f"{n} 02/01/2020\nB CO\nUsed Since :01/01/2000") for n in range(1, 40)]
+    pages += [(1, 40, "Class 9\n40 02/01/2020\nC"), (2, 0, "50 02/01/2020\nD")]
+    lines = J.page_lines(spark.createDataFrame(pages, "doc_id int, page_no int, text string"))
+    found = J.extract_trademarks(lines, "client")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # 125 lines are 13 parts; the other shuffle is that of the values of blocks
+    assert plan.count("Exchange") == 2 and plan.count(", 13), REPARTITION_BY_NUM") == 2
+    got = {(r.doc_id, r.application_number): (r["class"], r.journal_no) for r in found.collect()}
+    want = {(1, str(n)): ("8", "7") for n in range(2, 40)} | {(1, "40"): ("9", "7"), (2, "50"): (None, None)}
+    assert {k: v for k, v in got.items() if k != (1, "1")} == want
+    both = sorted((r.page_no, r["class"]) for r in found.collect() if r.application_number == "1")
+    assert both == [(0, "4"), (1, "8")]
