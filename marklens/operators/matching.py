@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from marklens.functions import scoring as S
-from marklens.operators.grouping import top_k
 from marklens.operators.pairwise import PAIR, per_pair
 
 #: Keypoints of the first side that are compared at once.
@@ -175,11 +175,13 @@ def shape_score(contours: DataFrame, top: int = 3) -> DataFrame:
     ``contours`` holds one row per pair of contours: ids ``c1, c2``, areas
     ``area1, area2`` and the distances ``hu`` and ``shape`` (null when unknown).
     """
-    def largest(side: str) -> DataFrame:
-        own = contours.select(*PAIR, f"c{side}", f"area{side}").distinct()
-        return top_k(own, PAIR, [F.desc(f"area{side}"), F.asc(f"c{side}")], top).select(
-            *PAIR, f"c{side}"
-        )
+    def area(side: str) -> Column:
+        own = F.col(f"area{side}")
+        return F.nanvl(own, F.lit(float("inf"))) if isinstance(contours.schema[f"area{side}"].dataType, (FloatType, DoubleType)) else own
+
+    def largest(side: str) -> Column:
+        keys = F.transform("_rows", lambda x: F.struct(x[f"area{side}"].isNull(), -x[f"area{side}"], x[f"c{side}"].alias("c")))
+        return F.transform(F.slice(F.sort_array(F.array_distinct(keys)), 1, top), lambda x: x["c"])
 
     parts = F.array_compact(
         F.array(
@@ -189,10 +191,10 @@ def shape_score(contours: DataFrame, top: int = 3) -> DataFrame:
         )
     )
     mean = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(parts), F.lit(0))
-    return (
-        contours.join(largest("1"), [*PAIR, "c1"])
-        .join(largest("2"), [*PAIR, "c2"])
-        .groupBy(*PAIR)
-        .agg(F.max(mean).alias("_best"))
-        .select(*PAIR, F.coalesce(S.shape_boost(F.col("_best")), F.lit(0.0)).alias("shape_score"))
-    )
+    # the contours of a pair are few, so a pair is one row and the table is grouped once
+    entry = F.struct("c1", "c2", area("1").alias("area1"), area("2").alias("area2"), mean.alias("mean"))
+    pairs = contours.groupBy(*PAIR).agg(F.collect_list(entry).alias("_rows"))
+    pairs = pairs.withColumns({"_l1": largest("1"), "_l2": largest("2")})
+    kept = F.filter("_rows", lambda x: F.array_contains("_l1", x["c1"]) & F.array_contains("_l2", x["c2"]))
+    best = pairs.withColumn("_kept", kept).filter(F.size("_kept") > 0).withColumn("_best", F.array_max(F.transform("_kept", lambda x: x["mean"])))
+    return best.select(*PAIR, F.coalesce(S.shape_boost(F.col("_best")), F.lit(0.0)).alias("shape_score"))

@@ -117,3 +117,45 @@ def test_consensus(spark, monkeypatch, block):
     np.testing.assert_allclose([got[p] for p in want], list(want.values()))
     once = spark.createDataFrame(sorted(set(listed)), "ref_id long, cmp_id long")
     assert variant_join(once, variants).count() == sum(len(images.get(a, ())) * len(images.get(b, ())) for a, b in set(listed))
+
+
+def test_scores_of_a_pair_meet_without_joins(spark):
+    """Shapes are grouped once, the four scores meet without a shuffle, null ids stay alone."""
+    from marklens.operators import matching as M
+    from marklens.plans.balanced import balanced_compare
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for pair in range(12):
+        for _ in range(int(rng.integers(1, 12))):
+            c1, c2, a1, a2 = (int(x) for x in rng.integers(0, 5, 4))
+            shape = None if rng.random() < 0.3 else float(rng.random())
+            rows.append((pair % 4, pair // 4, None if c1 == 4 else c1, c2, a1 or None, a2, float(rng.random()), shape))
+    contours = spark.createDataFrame(rows, "ref_id long, cmp_id long, c1 int, c2 int, area1 int, area2 int, hu double, shape double")
+
+    def largest(own, c, a):
+        keys = sorted({(r[a] is None, -(r[a] or 0), r[c] is not None, r[c] or 0) for r in own})[:3]
+        return {key[3] for key in keys if key[2]}
+
+    want = {}
+    for pair in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == pair]
+        one, two = largest(own, 2, 4), largest(own, 3, 5)
+        for r in (r for r in own if r[2] in one and r[3] in two):
+            parts = [1 / (1 + r[6])] + ([1 / (1 + r[7])] if r[7] is not None else [])
+            big = max(x for x in r[4:6] if x is not None)
+            parts += [min(x for x in r[4:6] if x is not None) / big] if big else []
+            want[pair] = max(want.get(pair, 0), sum(parts) / len(parts))
+    boosted = {p: min(0.85, b * 1.2) if b > 0.6 else min(0.7, b * 1.1) if b > 0.4 else b for p, b in want.items()}
+    scored = M.shape_score(contours)
+    assert {(r.ref_id, r.cmp_id): pytest.approx(r.shape_score) for r in scored.collect()} == boosted
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+    counts = spark.createDataFrame([(0, 0, "ORB", 30, 20, 90, 90), (None, 1, "ORB", 30, 20, 90, 90)], "ref_id long, cmp_id long, method string, good_matches int, inliers int, kp1 int, kp2 int")
+    seen = spark.createDataFrame([(0, 0, 64, 0.9, 0.8), (None, 1, 64, 0.9, 0.8), (7, 7, 64, 0.9, 0.8)], "ref_id long, cmp_id long, size int, mv double, em double")
+    fused = balanced_compare(counts, seen, seen, contours)
+    assert "Join" not in fused._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.ref_id, r.cmp_id): r for r in fused.collect() if r.ref_id is not None}
+    assert set(got) == set(boosted) | {(0, 0), (7, 7)} and fused.count() == len(got) + 3
+    assert (got[0, 0].best_method, got[0, 0].inlier_matches) == ("ORB", 20)
+    assert (got[7, 7].best_method, got[7, 7].inlier_matches) == (None, 0)
