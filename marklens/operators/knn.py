@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.vector import doubles, l2_norm, normalised
-from marklens.operators.blocks import HITS, Deal, best_hits, block_size, hits_of_visits, matrix
+from marklens.operators.blocks import HITS, SCORES, Deal, best_hits, block_size, hits_of_visits, matrix
 from marklens.operators.grouping import top_k
 from marklens.operators.pivots import pivot_hits
 from marklens.session import cut_lineage, fits, spread
 
 BLOCK_ROWS = 1 << 15
 BROADCAST_CELLS = 4_000_000  # at most 32 MB of doubles
+#: Broadcast queries whose hits a task holds at once, about.
+QUERY_ROWS = 4096
 #: Digits of a score in results.
 SCORE_DIGITS = 6
 # Least lists and default probes of the inverted-file index.
@@ -63,6 +65,14 @@ def _prepared(df: DataFrame, id_col: str, vector: str, id_name: str) -> DataFram
     )
 
 
+def _hits_by_parts(q_ids, q_vecs, b_ids, b_vecs, *options):
+    """``best_hits`` for some queries after others, so that a task never holds the hits of all."""
+    step = max(1, SCORES // len(b_ids))
+    step *= max(1, QUERY_ROWS // step)
+    for at in range(0, len(q_ids), step):
+        yield best_hits(q_ids[at : at + step], q_vecs[at : at + step], b_ids, b_vecs, *options)
+
+
 def _hits_broadcast(queries, base, k, metric, min_score, skip_self) -> DataFrame:
     rows = queries.toPandas()
     shared = base.sparkSession.sparkContext.broadcast(
@@ -73,11 +83,9 @@ def _hits_broadcast(queries, base, k, metric, min_score, skip_self) -> DataFrame
         q_ids, q_vecs = shared.value
         for batch in batches:
             if batch.num_rows:
-                found = best_hits(
-                    q_ids, q_vecs, batch.column("base_id").to_numpy(), matrix(batch.column("vec")),
-                    k, metric, min_score, skip_self,
-                )
-                yield from found.to_batches()
+                own = batch.column("base_id").to_numpy(), matrix(batch.column("vec"))
+                for found in _hits_by_parts(q_ids, q_vecs, *own, k, metric, min_score, skip_self):
+                    yield from found.to_batches()
 
     return base.mapInArrow(scan, HITS)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.vector import l2_norm
-from marklens.operators.blocks import Deal, block_size, hits_of_visits, matrix, visits
+from marklens.operators.blocks import SCORES, Deal, block_size, hits_of_visits, matrix, visits
 from marklens.operators.grouping import top_k
 from marklens.session import cut_lineage
 
@@ -73,6 +73,17 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray, lift: float | None, quer
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _nearest_of(vectors: np.ndarray, pivots: np.ndarray, lift: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each vector and its distance, for as many vectors at once as SCORES allows."""
+    at, dist = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    step = max(1, SCORES // len(pivots))
+    for start in range(0, len(vectors), step):
+        found = _distances(vectors[start : start + step], pivots, lift, False)
+        own = found.argmin(1)
+        at[start : start + step], dist[start : start + step] = own, found[np.arange(len(own)), own]
+    return at, dist
+
+
 def _nearest_pivot(base: DataFrame, pivots: np.ndarray, lift: float | None) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast(pivots)
 
@@ -80,9 +91,8 @@ def _nearest_pivot(base: DataFrame, pivots: np.ndarray, lift: float | None) -> D
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         if not len(vectors):
             return pd.DataFrame({"pivot": np.zeros(0, np.int32), "dist": np.zeros(0)})
-        found = _distances(_matrix(vectors), shared.value, lift, False)
-        at = found.argmin(1)
-        return pd.DataFrame({"pivot": at.astype(np.int32), "dist": found[np.arange(len(at)), at]})
+        at, dist = _nearest_of(_matrix(vectors), shared.value, lift)
+        return pd.DataFrame({"pivot": at.astype(np.int32), "dist": dist})
 
     return base.withColumn("_p", nearest("vec")).select("base_id", "vec", "_p.pivot", "_p.dist")
 

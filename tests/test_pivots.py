@@ -100,3 +100,25 @@ def test_bounds_hold():
         if lift is not None:
             true = (queries**2).sum(1)[:, None] + lift**2 - 2 * queries @ base.T
         assert (least[:, near] <= np.sqrt(np.maximum(true, 0)) + 1e-6).all()
+
+
+def test_a_task_holds_no_more_for_more_queries_or_pivots(monkeypatch):
+    """Distances from pivots come by bounded matrices, hits of broadcast queries part by part."""
+    from marklens.operators import knn
+    from marklens.operators.blocks import best_hits
+
+    rng = np.random.default_rng(2)
+    rows, table = rng.standard_normal((3000, 6)), rng.standard_normal((700, 6))
+    plain, seen = pivots._distances(rows, table, None, False), []
+    real = pivots._distances
+    monkeypatch.setattr(pivots, "_distances", lambda v, *a: seen.append(len(v) * len(table)) or real(v, *a))
+    at, dist = pivots._nearest_of(rows, table, None)
+    assert max(seen) <= pivots.SCORES < plain.size
+    assert (at == plain.argmin(1)).all() and dist == pytest.approx(plain.min(1))
+
+    ids, q = np.arange(20000), rng.standard_normal((20000, 6))
+    options = (np.arange(3000), rows, 3, "l2", None, True)
+    found = list(knn._hits_by_parts(ids, q, *options))
+    assert max(len(f) for f in found) <= 3 * knn.QUERY_ROWS and len(found) > 1
+    whole = best_hits(ids, q, *options)
+    assert whole.equals(whole.schema.empty_table().from_batches([b for f in found for b in f.to_batches()]))
