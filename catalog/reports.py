@@ -269,6 +269,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cmp_id, kp1 ORDER BY d,
 SELECT ref_id, cmp_id, kp1::INT AS kp1, kp2::INT AS kp2, d AS distance FROM r WHERE f = 1 AND b = 1 AND d < 100"""
 
 
+def _of_pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input whose rows are grouped by pair, dealt by pair."""
+    return view(spark, sf_dir, name, "l_suppkey", "l_partkey")
+
+
 def feature_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = view(spark, sf_dir, "match_counts")
     scored = M.method_scores(counts)
@@ -294,7 +299,7 @@ SELECT ref_id, cmp_id, method, round(score, 6) AS score,
 
 
 def best_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = M.best_method(M.method_scores(view(spark, sf_dir, "match_counts")))
+    best = M.best_method(M.method_scores(_of_pairs(spark, sf_dir, "match_counts")))
     return best.withColumn("feature_score", F.round("feature_score", 6))
 
 
@@ -305,7 +310,7 @@ _BEST_SQL = f"""{with_views("match_counts")}, {_FEATURE}, {_BEST} SELECT ref_id,
 
 
 def template_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = M.template_score(view(spark, sf_dir, "observations"))
+    scored = M.template_score(_of_pairs(spark, sf_dir, "observations"))
     return scored.withColumn("template_score", F.round("template_score", 6))
 
 
@@ -318,7 +323,7 @@ _TEMPLATE_SQL = f"""{with_views("observations")}, {_TEMPLATE} SELECT ref_id, cmp
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of the observations as image sizes: 64, 128, 256 and so on."""
-    obs = view(spark, sf_dir, "observations")
+    obs = _of_pairs(spark, sf_dir, "observations")
     return obs.withColumn("size", F.expr("shiftleft(64, step)"))
 
 
@@ -334,7 +339,7 @@ _SSIM_SQL = f"""{with_views("observations")}, {_SSIM} SELECT ref_id, cmp_id, rou
 
 
 def shape_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.shape_score(view(spark, sf_dir, "contours")).withColumn("shape_score", F.round("shape_score", 6))
+    return M.shape_score(_of_pairs(spark, sf_dir, "contours")).withColumn("shape_score", F.round("shape_score", 6))
 
 
 _SHAPE = """d1 AS (SELECT ref_id, cmp_id, c1 FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, cmp_id ORDER BY area1 DESC, c1) AS rn
@@ -351,10 +356,10 @@ _SHAPE_SQL = f"""{with_views("contours")}, {_SHAPE} SELECT ref_id, cmp_id, round
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     # scores are short decimals that may lie half-way; 1e-9 settles those alike in SQL
     return plan_balanced(
-        view(spark, sf_dir, "match_counts"),
-        view(spark, sf_dir, "observations"),
+        _of_pairs(spark, sf_dir, "match_counts"),
+        _of_pairs(spark, sf_dir, "observations"),
         _sizes(spark, sf_dir),
-        view(spark, sf_dir, "contours"),
+        _of_pairs(spark, sf_dir, "contours"),
     ).withColumn("similarity_score", F.round(F.col("similarity_score") + 1e-9, 6))
 
 

@@ -113,8 +113,8 @@ def _tie_order(method: Column) -> Column:
 
 def best_method(scores: DataFrame) -> DataFrame:
     """Best detector of each pair with its score and counts."""
-    key = F.struct(F.col("score"), -_tie_order(F.col("method")))
-    best = F.max_by(F.struct("method", "score", "inliers", "kp1", "kp2"), key)
+    # one struct, compared field by field: equal scores of a method go to the larger counts
+    best = F.max(F.struct("score", (-_tie_order(F.col("method"))).alias("order"), "method", "inliers", "kp1", "kp2"))
     return (
         scores.groupBy(*PAIR)
         .agg(best.alias("b"))
@@ -149,22 +149,23 @@ def ssim_score(observations: DataFrame, weights: dict[int, float] = SIZE_WEIGHTS
     for size, share in weights.items():
         weight = F.when(F.col("size") == size, share).otherwise(weight)
     known = F.coalesce(F.col("size").isin(*weights), F.lit(False))
+    # one flag per size, where a distinct count would shuffle the observations once more
+    flags = {f"_has{i}": F.bool_or(F.col("size") == size) for i, size in enumerate(weights)}
+    whole = F.col("_known")
+    for flag in flags:
+        whole = whole & F.col(flag)
     return (
         observations.filter(F.col("mv").isNotNull())
         .groupBy(*PAIR)
         .agg(
-            F.count_distinct("size").alias("_sizes"),
             F.bool_and(known).alias("_known"),
             F.sum(value * weight).alias("_weighted"),
             F.avg(value).alias("_mean"),
+            *[found.alias(flag) for flag, found in flags.items()],
         )
         .select(
             *PAIR,
-            S.structure_calibration(
-                F.when(F.col("_known") & (F.col("_sizes") == len(weights)), F.col("_weighted")).otherwise(
-                    F.col("_mean")
-                )
-            ).alias("ssim_score"),
+            S.structure_calibration(F.when(whole, F.col("_weighted")).otherwise(F.col("_mean"))).alias("ssim_score"),
         )
     )
 
@@ -183,18 +184,30 @@ def shape_score(contours: DataFrame, top: int = 3) -> DataFrame:
         keys = F.transform("_rows", lambda x: F.struct(x[f"area{side}"].isNull(), -x[f"area{side}"], x[f"c{side}"].alias("c")))
         return F.transform(F.slice(F.sort_array(F.array_distinct(keys)), 1, top), lambda x: x["c"])
 
-    parts = F.array_compact(
-        F.array(
-            F.lit(1.0) / (F.col("hu") + 1.0),
-            F.lit(1.0) / (F.col("shape") + 1.0),
-            F.least("area1", "area2") / F.nullif(F.greatest("area1", "area2"), F.lit(0.0)),
-        )
-    )
-    mean = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(parts), F.lit(0))
+    parts = [
+        F.lit(1.0) / (F.col("hu") + 1.0),
+        F.lit(1.0) / (F.col("shape") + 1.0),
+        F.least("area1", "area2") / F.nullif(F.greatest("area1", "area2"), F.lit(0.0)),
+    ]
+    total, known = F.lit(0.0), F.lit(0)
+    for part in parts:
+        total, known = total + F.coalesce(part, F.lit(0.0)), known + part.isNotNull().cast("int")
     # the contours of a pair are few, so a pair is one row and the table is grouped once
-    entry = F.struct("c1", "c2", area("1").alias("area1"), area("2").alias("area2"), mean.alias("mean"))
+    entry = F.struct("c1", "c2", area("1").alias("area1"), area("2").alias("area2"), (total / F.nullif(known, F.lit(0))).alias("mean"))
     pairs = contours.groupBy(*PAIR).agg(F.collect_list(entry).alias("_rows"))
-    pairs = pairs.withColumns({"_l1": largest("1"), "_l2": largest("2")})
-    kept = F.filter("_rows", lambda x: F.array_contains("_l1", x["c1"]) & F.array_contains("_l2", x["c2"]))
-    best = pairs.withColumn("_kept", kept).filter(F.size("_kept") > 0).withColumn("_best", F.array_max(F.transform("_kept", lambda x: x["mean"])))
-    return best.select(*PAIR, F.coalesce(S.shape_boost(F.col("_best")), F.lit(0.0)).alias("shape_score"))
+
+    def means(kept: Column) -> Column:
+        return F.transform(kept, lambda x: x["mean"])
+
+    # each step is the element of a list of one, which is worked out once for all rows of the pair
+    ranked = F.transform(
+        F.array(F.struct(largest("1").alias("l1"), largest("2").alias("l2"))),
+        lambda l: means(F.filter("_rows", lambda x: F.array_contains(l["l1"], x["c1"]) & F.array_contains(l["l2"], x["c2"]))),
+    )
+    # a pair of few rows has no more contours than are kept
+    every = F.array(means(F.filter("_rows", lambda x: x["c1"].isNotNull() & x["c2"].isNotNull())))
+    kept = F.when(F.size("_rows") <= top, every).otherwise(ranked)
+    best = F.transform(F.filter(kept, lambda x: F.size(x) > 0), F.array_max)
+    return pairs.select(*PAIR, F.explode(best).alias("_best")).select(
+        *PAIR, F.coalesce(S.shape_boost(F.col("_best")), F.lit(0.0)).alias("shape_score")
+    )

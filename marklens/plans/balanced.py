@@ -15,7 +15,7 @@ def balanced_compare(
     """One fused 0..0.95 score with confidence per pair that any of the tables holds.
 
     A pair without observations of a method scores 0 there; without match counts it
-    has no best method and counts of 0.
+    has no best method and counts of 0. Tables dealt by pair alike are not shuffled again.
     """
     # each part has one row per pair, so their union is grouped where joins would shuffle every result again
     parts = [M.best_method(M.method_scores(match_counts))]

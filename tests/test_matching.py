@@ -1,5 +1,6 @@
 """Descriptor and code matching against loops over all keypoints."""
 
+import os
 import random
 
 import numpy as np
@@ -159,3 +160,49 @@ def test_scores_of_a_pair_meet_without_joins(spark):
     assert set(got) == set(boosted) | {(0, 0), (7, 7)} and fused.count() == len(got) + 3
     assert (got[0, 0].best_method, got[0, 0].inlier_matches) == ("ORB", 20)
     assert (got[7, 7].best_method, got[7, 7].inlier_matches) == (None, 0)
+
+
+def test_structure_of_sizes_seen(spark):
+    """Exactly the weighted sizes, repeated or not, give the weighted sum, others the mean, in one shuffle."""
+    seen = {1: [(64, 0.9), (128, 0.5), (256, 0.4)], 2: [(64, 0.9), (64, 0.8), (128, 0.5), (256, 0.4)], 3: [(64, 0.9), (128, 0.5)]}
+    seen |= {4: [(64, 0.9), (128, 0.5), (256, 0.4), (512, 0.7)], 5: [(64, 0.9), (128, 0.5), (None, 0.8)], 6: [(256, None), (64, 0.9), (128, 0.5)]}
+    rows = [(p, 0, size, mv) for p, own in seen.items() for size, mv in own] + [(7, 0, 64, None)]
+    scored = M.ssim_score(spark.createDataFrame(rows, "ref_id long, cmp_id long, size int, mv double"))
+    want = {}
+    for p, own in seen.items():
+        own = [(size, mv) for size, mv in own if mv is not None]
+        sizes = {size for size, _ in own}
+        weighted = sum(mv * M.SIZE_WEIGHTS.get(size, 0) for size, mv in own)
+        value = weighted if sizes == set(M.SIZE_WEIGHTS) else sum(mv for _, mv in own) / len(own)
+        want[p] = pytest.approx(0.0 if value < 0.3 else min(0.9, (value - 0.3) / 0.7 * 0.9))
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.ref_id: r.ssim_score for r in scored.collect()} == want
+
+
+def test_pairs_are_dealt_once_by_size(spark, monkeypatch):
+    """Each input of the bands is shuffled once, by pair, in partitions that follow its rows."""
+    import duckdb
+
+    import marklens.session as session
+    from __spark_entry__ import oracle_sql, queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    bands = queries()["score_bands"](spark, folder)
+    plan = bands._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert plan.count(f", {-(-rows // 500)}), REPARTITION_BY_NUM") == 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    assert [tuple(bands.first())] == con.execute(oracle_sql()["score_bands"]).fetchall()
+
+
+def test_best_method_of_equals(spark):
+    """Equal scores go to the first method, rows without a score are last."""
+    rows = [(1, "AKAZE", 0.5, 9), (1, "ORB", 0.5, 7), (1, "SIFT", None, 8), (2, "ORB", None, 3), (3, "other", 0.6, 2), (3, "SIFT", 0.5, 9)]
+    scores = spark.createDataFrame([(p, 0, *r, 10, 10) for p, *r in rows], "ref_id long, cmp_id long, method string, score double, inliers int, kp1 int, kp2 int")
+    best = {r.ref_id: (r.best_method, r.feature_score, r.inlier_matches) for r in M.best_method(scores).collect()}
+    assert best == {1: ("ORB", 0.5, 7), 2: ("ORB", None, 3), 3: ("other", 0.6, 2)}
