@@ -6,7 +6,9 @@ the triangle inequality a query at distance d from the pivot is at least ``lo -
 visits the nearest rings that hold k rows; the k-th distance found there is a bound, and
 in a second round only rings that may beat it are visited. A threshold is such a bound
 from the start. Rings travel in blocks (see ``blocks``), near pivots side by side: queries
-are copied once per block visited, blocks once per part of their visitors.
+are copied once per block visited, blocks once per part of their visitors. A threshold
+join copies neither: blocks of queries and of rows are one row each, written once, and a
+task reads the two that meet, so its disk does not grow with the pairs of blocks.
 
 Inner products become distances in one more dimension: a base row gets the coordinate
 ``sqrt(m^2 - |b|^2)`` (m: the largest norm), a query 0, and the larger the product, the
@@ -22,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.vector import l2_norm
-from marklens.operators.blocks import SCORES, Deal, block_size, hits_of_visits, matrix, visits
+from marklens.operators.blocks import HITS, SCORES, Deal, best_hits, block_size, hits_of_visits, matrix, visits
 from marklens.operators.grouping import top_k
 from marklens.session import cut_lineage
 
@@ -34,6 +37,8 @@ from marklens.session import cut_lineage
 PIVOTS, RINGS = 2048, 32
 #: Rows of a ring, about, at most.
 RING_ROWS = 4096
+#: Most numbers of a block that is one row (8 MB), and queries of one multiplied at once.
+NUMBERS, STEP = 1 << 20, 256
 #: Bounds are kept a little loose, so that rounding excludes no row.
 SLACK = 1e-6
 
@@ -63,6 +68,11 @@ class Partitions:
         d = self.distances(vectors, True)[:, self.pivot]
         return np.maximum(np.maximum(d - self.high, self.low - d), 0.0)
 
+    def bounds_of(self, vectors: np.ndarray, first: int, end: int) -> np.ndarray:
+        """The same for the rings from ``first`` to before ``end``."""
+        d = _distances(vectors, self.pivots[self.pivot[first:end]], self.lift, True)
+        return np.maximum(np.maximum(d - self.high[first:end], self.low[first:end] - d), 0.0)
+
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray, lift: float | None, query: bool) -> np.ndarray:
     squares = (vectors * vectors).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * vectors @ pivots.T
@@ -199,8 +209,10 @@ def pivot_hits(
         return counted, hits_of_visits(asking, celled, deal, want, k, metric, floor, skip_self, counted)
 
     if k is None:
-        near = queries.select("query_id", "vec", reach.alias("reach"), F.lit(0).cast("long").alias("seen"))
-        return round_of(near, _rings_within(parts))[1]
+        near = queries.select("query_id", "vec", reach.alias("reach"))
+        width = max(1, parts.pivots.shape[1])
+        deal = Deal(parts.rows, min(deal.size, max(1, NUMBERS // width)))
+        return _hits_of_blocks(near, celled, parts, deal, metric, floor, skip_self, copies)
     first, found = round_of(queries.select("query_id", "vec"), _nearest_rings(parts, k + skip_self))
     found = cut_lineage(top_k(found, ["query_id"], [F.desc("score"), F.asc("base_id")], k).drop("rank"))
     kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
@@ -213,6 +225,93 @@ def pivot_hits(
     return found.unionByName(more.select(*found.columns))
 
 
+def _query_blocks(queries: DataFrame, parts: Partitions, deal: Deal) -> DataFrame:
+    """Queries (query_id, vec, reach) in rows of at most about ``deal.size``, those of near rings together.
+
+    ``wants`` names the blocks of base rows in which any of them wants a ring, ``cells``
+    counts the rings wanted.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((parts, deal))
+
+    def chunks(vecs: np.ndarray):
+        step = max(1, SCORES // len(shared.value[0].rows))
+        for at in range(0, len(vecs), step):
+            yield at, shared.value[0].bounds(vecs[at : at + step])
+
+    def place(batches):
+        for batch in batches:
+            home = np.zeros(batch.num_rows, np.int64)
+            for at, bounds in chunks(matrix(batch.column("vec"))):
+                home[at : at + len(bounds)] = shared.value[1].start[bounds.argmin(1)] // shared.value[1].size
+            yield batch.append_column("home", pa.array(home))
+
+    def pack(table: pa.Table) -> pa.Table:
+        vecs, reach = matrix(table.column("vec")), table.column("reach").to_numpy()
+        wanted = np.zeros(len(shared.value[0].rows), np.int64)
+        for at, bounds in chunks(vecs):
+            wanted += (bounds <= reach[at : at + len(bounds), None]).sum(0)
+        blocks = [i for i, (a, b) in enumerate(zip(shared.value[1].first, shared.value[1].end)) if wanted[a:b].any()]
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (table.column("query_id").to_numpy(), vecs, reach)]
+        return pa.table([*blobs, pa.array([blocks], pa.list_(pa.int64())), pa.array([wanted.sum()])], ["q_ids", "q_vecs", "reach", "wants", "cells"])
+
+    placed = cut_lineage(queries.mapInArrow(place, "query_id long, vec array<double>, reach double, home long"))
+    sizes = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(deal.size)).alias("_parts"))  # one row per block
+    part = F.pmod(F.xxhash64("query_id"), F.col("_parts")).alias("part")
+    dealt = placed.join(F.broadcast(sizes), "home").select("query_id", "vec", "reach", "home", part)
+    packed = dealt.groupBy("home", "part").applyInArrow(pack, "q_ids binary, q_vecs binary, reach binary, wants array<long>, cells long")
+    return cut_lineage(packed)
+
+
+def _base_blocks(base: DataFrame, deal: Deal) -> DataFrame:
+    """Base rows (base_id, vec, cell) of each block of ``deal`` as one row."""
+    spark = base.sparkSession
+    cells = spark.createDataFrame(list(enumerate(zip(deal.start.tolist(), deal.rows.tolist()))), "cell int, _at struct<start: long, rows: long>")
+    # dealt by number within the cell, so that blocks are about equally long
+    place = F.col("_at.start") + F.pmod(F.xxhash64("base_id"), F.col("_at.rows"))
+    dealt = base.join(F.broadcast(cells), "cell").select("base_id", "vec", "cell", F.floor(place / deal.size).alias("block"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        blobs = [table.column("base_id").to_numpy(), matrix(table.column("vec")), table.column("cell").to_numpy()]
+        return pa.table([table.column("block")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["block", "b_ids", "b_vecs", "b_cells"])
+
+    return cut_lineage(dealt.groupBy("block").applyInArrow(pack, "block long, b_ids binary, b_vecs binary, b_cells binary"))
+
+
+def _hits_of_blocks(
+    queries: DataFrame, base: DataFrame, parts: Partitions, deal: Deal, metric: str, floor: float, skip_self: bool, copies: list | None
+) -> DataFrame:
+    """HITS of ``floor`` and more: each block of queries with each block of base rows it wants."""
+    asking, rows = _query_blocks(queries, parts, deal), _base_blocks(base, deal)
+    n = asking.agg(F.count(F.lit(1)), F.coalesce(F.sum("cells"), F.lit(0))).first()
+    if copies is not None:
+        copies.append(n[1])
+    shared = base.sparkSession.sparkContext.broadcast((parts, deal))
+
+    def meet(batches):
+        parts, deal = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                names = {"q_ids": "<i8", "reach": "<f8", "b_ids": "<i8", "b_cells": "<i4", "q_vecs": "<f8", "b_vecs": "<f8"}
+                got = {c: np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in names.items()}
+                q, b = got["q_vecs"].reshape(len(got["q_ids"]), -1), got["b_vecs"].reshape(len(got["b_ids"]), -1)
+                first, end = int(deal.first[block]), int(deal.end[block])
+                cell = got["b_cells"] - first
+                for at in range(0, len(q), STEP):
+                    some = slice(at, at + STEP)
+                    wanted = parts.bounds_of(q[some], first, end) <= got["reach"][some, None]
+                    near = wanted.any(0)[cell]
+                    if near.any():
+                        found = best_hits(got["q_ids"][some], q[some], got["b_ids"][near], b[near], None, metric, floor, skip_self, wanted, cell[near])
+                        yield from found.to_batches()
+
+    # a task for about each two blocks; the product reads both sides where they lie and writes nothing
+    asking = asking.drop("cells").repartitionByRange(max(1, n[0]), F.xxhash64("q_ids"))
+    rows = rows.repartitionByRange(len(deal.first), "block")
+    met = asking.hint("shuffle_replicate_nl").join(rows, F.array_contains("wants", F.col("block")))
+    return met.drop("wants").mapInArrow(meet, HITS)
+
+
 def _noted(copies: list | None, counted: DataFrame) -> None:
     if copies is not None:
         each = counted.groupBy("query_id").agg(F.max("cells").alias("cells"))

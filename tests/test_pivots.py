@@ -122,3 +122,27 @@ def test_a_task_holds_no_more_for_more_queries_or_pivots(monkeypatch):
     assert max(len(f) for f in found) <= 3 * knn.QUERY_ROWS and len(found) > 1
     whole = best_hits(ids, q, *options)
     assert whole.equals(whole.schema.empty_table().from_batches([b for f in found for b in f.to_batches()]))
+
+
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = (files.apply(i) for i in range(files.size()))
+    return {f.getPath(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+
+def test_threshold_join_writes_no_copies_for_pairs_of_blocks(spark):
+    rows = np.random.default_rng(5).normal(size=(3000, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, embedding array<double>").repartition(4)
+    before = _shuffled(spark)
+    hits = vector_join(
+        frame, frame, min_score=0.75, query_id="id", base_id="id", skip_self=True, block_rows=64, broadcast_cells=0
+    ).collect()
+    written = sum(n for path, n in _shuffled(spark).items() if path not in before)
+    scores = np.round(rows @ rows.T, 12)
+    np.fill_diagonal(scores, -1)
+    want = {(a, b, round(float(scores[a, b]), 6)) for a, b in zip(*np.nonzero(scores >= 0.75))}
+    assert len(hits) == len(want) > 1000
+    assert {(h.query_id, h.base_id) for h in hits} == {w[:2] for w in want}
+    # 47 blocks of 64 rows: a copy of both sides for each of them would be over 30 MB
+    assert written < 12 * rows.nbytes
